@@ -84,3 +84,35 @@ def utf8_column(column) -> tuple[np.ndarray, np.ndarray]:
     off = np.frombuffer(a.buffers()[1], np.int64, len(a) + 1 + a.offset)[a.offset :]
     data = np.frombuffer(a.buffers()[2], np.uint8)[off[0] : off[-1]] if len(a) and off[-1] > off[0] else np.zeros(0, np.uint8)
     return data, off - off[0]
+
+
+def pack(arrays: dict, compress: bool = False) -> bytes:
+    """Arrays as bytes; compressed where they hold text."""
+    import pickle
+
+    raw = pickle.dumps(arrays, protocol=5)
+    if compress:
+        import zstandard
+
+        return zstandard.ZstdCompressor(level=1).compress(raw)
+    return raw
+
+
+def unpack(raw: bytes, compressed: bool = False) -> dict:
+    import pickle
+
+    if compressed:
+        import zstandard
+
+        raw = zstandard.ZstdDecompressor().decompress(raw)
+    return pickle.loads(raw)
+
+
+def split_by(part: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(value, indexes) of each value of part."""
+    if not len(part):
+        return []
+    order = np.argsort(part, kind="stable")
+    ordered = part[order]
+    cut = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+    return [(int(part[x[0]]), x) for x in np.split(order, cut)]
