@@ -5,7 +5,7 @@ _WARC = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 h AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM p),
 b AS (SELECT page_id, payload_bytes, hex,
-  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + CAST((CAST('0x' || substr(hex, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS INT), 1)), '') AS payload_digest,
   min(page_id) OVER (PARTITION BY hex) AS first FROM h)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
