@@ -58,18 +58,19 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     each = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])[off]).astype(np.float64)
     upper, digit, symbol, high, pipe, exclaim, stop, comma, line, space = (each(_CLASS[:, k][data]) for k in range(10))
     mark = _CLASS[:, 2][data]
+    first = np.zeros(len(data) + 1, bool)  # of a text, or the end of all
+    first[off] = True
     twice = np.zeros(len(data), bool)
-    twice[1:] = mark[1:] & (data[1:] == data[:-1])
-    # a symbol before white space or the end of all, other than full stops and commas
-    ends = np.zeros(len(data), bool)
-    plain = mark & (data != ord(".")) & (data != ord(","))
-    ends[:-1] = plain[:-1] & _CLASS[:, 9][data[1:]]
+    twice[1:] = mark[1:] & (data[1:] == data[:-1]) & ~first[1:-1]
+    # a symbol before white space or the end, other than full stops and commas
+    blank = np.append(_CLASS[:, 9][data], True)
+    ends = mark & (data != ord(".")) & (data != ord(",")) & (blank[1:] | first[1:])
     text, h = words(data, off)
     at = np.searchsorted(text, np.arange(n + 1))
-    solid = ~_CLASS[:, 9][data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8)))
-    length = edge[1::2] - edge[::2]
-    home = np.searchsorted(off, edge[::2], "right") - 1
+    solid = ~blank[:-1]
+    begin = np.flatnonzero(solid & (np.concatenate([[True], blank[:-2]]) | first[:-1])[: len(solid)])
+    length = np.flatnonzero(solid & (blank[1:] | first[1:])) + 1 - begin
+    home = np.searchsorted(off, begin, "right") - 1
     short, long = (np.bincount(home[x], minlength=n).astype(np.float64)[:n] for x in (length <= 2, length >= 14))
     count = np.diff(at).astype(np.float64)
     out = np.zeros((n, len(FEATURES)))
