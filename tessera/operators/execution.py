@@ -1,0 +1,86 @@
+"""Batching of rows and execution of untrusted programs."""
+
+from __future__ import annotations
+
+import os
+import subprocess
+import sys
+import tempfile
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def length_batches(df: DataFrame, key: str, length: str, max_tokens: int, max_rows: int, shards: int = 16) -> DataFrame:
+    """(shard, batch, key, length): rows in order of length, a new batch when padding would exceed max_tokens or max_rows are in.
+
+    The rule is sequential, so it runs within shards of the key's hash; rows of a shard stream through in order.
+    """
+    schema = df.select(F.lit(0).cast("int").alias("shard"), F.lit(0).cast("long").alias("batch"), key, length).schema
+    kind = {f.name: f.dataType for f in schema}
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        shard, batch, rows, longest = None, -1, 0, 0
+        for b in batches:
+            out = []
+            for s, n in zip(b.column("shard").to_pylist(), b.column(length).to_pylist(), strict=True):
+                if s != shard:
+                    shard, batch, rows, longest = s, 0, 0, 0
+                elif rows and (max(longest, n) * (rows + 1) > max_tokens or rows >= max_rows):
+                    batch, rows, longest = batch + 1, 0, 0
+                rows, longest = rows + 1, max(longest, n)
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(out, pa.int64()), b.column(key), b.column(length)], schema=pa.schema([(c, to_arrow_type(kind[c])) for c in ("shard", "batch", key, length)]))
+
+    dealt = df.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), key, length).repartition(shards, "shard")
+    return dealt.sortWithinPartitions("shard", length, key).mapInArrow(run, schema)
+
+
+def pad(ids: str, width, filler: int):
+    """ids filled up to width."""
+    return F.concat(ids, F.array_repeat(F.lit(filler), (width - F.size(ids)).cast("int")))
+
+
+def run_python(code: str, timeout: float) -> tuple[bool, str, str]:
+    """(passed, reason, output) of a program in a process of its own, with limits on time, memory, files and size of output."""
+
+    def limits():
+        import resource
+
+        resource.setrlimit(resource.RLIMIT_AS, (1 << 30, 1 << 30))
+        resource.setrlimit(resource.RLIMIT_FSIZE, (1 << 24, 1 << 24))
+        resource.setrlimit(resource.RLIMIT_CPU, (int(timeout) + 1, int(timeout) + 1))
+
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "program.py")
+        with open(path, "w", encoding="utf-8", errors="replace") as f:
+            f.write(code)
+        try:
+            compile(code, path, "exec")
+        except (SyntaxError, ValueError) as e:
+            return False, "compile_error", str(e)[:2000]
+        try:
+            done = subprocess.run([sys.executable, "-I", path], cwd=folder, env={}, stdin=subprocess.DEVNULL, capture_output=True, timeout=timeout, preexec_fn=limits, start_new_session=True)
+        except subprocess.TimeoutExpired:
+            return False, "timeout", ""
+        output = (done.stdout + done.stderr).decode("utf-8", "replace")[-2000:]
+        return done.returncode == 0, "" if done.returncode == 0 else "test_failed", output
+
+
+def run_tests(programs: DataFrame, key: str, language: str, code: str, timeout: float = 10.0) -> DataFrame:
+    """(key, passed, reason, output) of programs with their tests, on the executors."""
+    picked = programs.select(key, F.col(language).alias("__language"), F.col(code).alias("__code"))
+    schema = f"{key} {picked.schema[0].dataType.simpleString()}, passed boolean, reason string, output string"
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [run_python(c or "", timeout) if lang == "python" else (False, "unsupported_language", "") for lang, c in zip(b.column("__language").to_pylist(), b.column("__code").to_pylist(), strict=True)]
+            passed, reason, output = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(passed, pa.bool_()), pa.array(reason, pa.string()), pa.array(output, pa.string())], names=[key, "passed", "reason", "output"])
+
+    return picked.mapInArrow(run, schema)

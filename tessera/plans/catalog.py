@@ -2,10 +2,407 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import jsontext, scoring, text
+from ..operators import curation, evaluation, events, execution, graph
+from ..sources import files
+
+SEED = "13"
+#: SQL twins of expressions.
+KEY = "substr(trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), 1, 160)"
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def t(spark, sf, name):
+    return files.parquet_table(spark, sf, name)
+
+
+# ---- curation
+
+@query(f"SELECT doc_id, lang, {KEY.format('text')} AS norm_key FROM (SELECT *, row_number() OVER (PARTITION BY {KEY.format('text')} ORDER BY doc_id) AS n FROM documents WHERE length(text) <= 6000) WHERE n = 1")
+def norm_dedupe_documents(spark, sf):
+    docs = t(spark, sf, "documents").select("doc_id", "lang", "text")
+    return curation.dedupe_inputs(docs).select("doc_id", "lang", text.norm_key(F.col("text")).alias("norm_key"))
+
+
+@query("""SELECT lang, reason, count(*) AS n FROM (SELECT lang, CASE WHEN doc_id % 7 = 0 THEN 'truncated' WHEN coalesce(trim(text), '') = '' THEN 'empty' WHEN length(text) > 6000 THEN 'too_long' ELSE 'kept' END AS reason FROM documents) GROUP BY ALL""")
+def drop_reason_counts(spark, sf):
+    docs = t(spark, sf, "documents")
+    checked = curation.check_answer(F.col("text"), F.col("doc_id") % 7 != 0, F.lit(False), F.lit(False))["reason"]
+    reason = F.when(checked != "", checked).when(F.length("text") > 6000, "too_long").otherwise("kept")
+    return docs.groupBy("lang", reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE {KEY.format('text')} NOT IN (SELECT {KEY.format('text')} FROM benchmark)")
+def seen_anti_join(spark, sf):
+    docs, seen = t(spark, sf, "documents"), t(spark, sf, "benchmark")
+    return curation.unseen(docs, text.norm_key(F.col("text")), seen, text.norm_key(F.col("text"))).select("doc_id")
+
+
+@query(f"SELECT norm_key, min(doc_id) AS first_seen FROM (SELECT {KEY.format('text')} AS norm_key, doc_id FROM documents) GROUP BY norm_key")
+def ordered_distinct_keys(spark, sf):
+    docs = t(spark, sf, "documents").select("doc_id", text.norm_key(F.col("text")).alias("norm_key"))
+    return curation.ordered_distinct(docs, "norm_key", "doc_id")
+
+
+@query(f"""SELECT doc_id, source, CASE WHEN r <= least(10, n // 5) THEN 'heldout' WHEN r <= least(10, n // 5) + 20 THEN 'train' ELSE 'unused' END AS part
+FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('{SEED}' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents)""")
+def hash_split(spark, sf):
+    docs = t(spark, sf, "documents").select("doc_id", "source")
+    return curation.hash_split(docs, "doc_id", SEED, 10, 20, ["source"]).select("doc_id", "source", "part")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS shared")
+def split_disjoint(spark, sf):
+    rows = hash_split(spark, sf)
+    train, held = (rows.where(F.col("part") == p).select("doc_id") for p in ("train", "heldout"))
+    return train.intersect(held).agg(F.count("*").alias("shared"))
+
+
+@query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id FROM labels WHERE quality = 1 UNION ALL SELECT doc_id FROM labels WHERE quality = 1) GROUP BY doc_id")
+def oversample_seed_union(spark, sf):
+    train = t(spark, sf, "documents").where("doc_id % 3 <> 0").select("doc_id")
+    seeds = t(spark, sf, "labels").where("quality = 1").select("doc_id")
+    return curation.oversample(train, seeds).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT source, doc_id, shot FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('{SEED}' || doc_id), doc_id) AS shot FROM documents) WHERE shot <= 3")
+def few_shot_sample(spark, sf):
+    return curation.few_shot(t(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id", SEED).select("source", "doc_id", "shot")
+
+
+@query("SELECT conv_id, string_agg(role || ':' || text, '|' ORDER BY turn, role, text) AS chat FROM conversations GROUP BY conv_id")
+def chat_rows_in_order(spark, sf):
+    rows = curation.chat_rows(t(spark, sf, "conversations"))
+    return rows.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|").alias("chat"))
+
+
+@query("""SELECT conv_id, n FROM (SELECT conv_id, count(*) AS n, arg_max(role, (turn, role, text)) AS last FROM conversations WHERE text <> '' GROUP BY conv_id) WHERE n >= 2 AND last = 'assistant'""")
+def chat_valid_filter(spark, sf):
+    rows = curation.chat_rows(t(spark, sf, "conversations"))
+    rows = rows.withColumn("kept", curation.to_messages(rows.columns)).where("kept is not null")
+    return rows.select("conv_id", F.size("kept").cast("long").alias("n"))
+
+
+@query("""SELECT conv_id, turn, prompt, response FROM (SELECT conv_id, turn, role, text AS prompt, lead(role) OVER w AS next_role, lead(text) OVER w AS response FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'""")
+def prompt_response_pairs(spark, sf):
+    return curation.prompt_response_pairs(t(spark, sf, "conversations"))
+
+
+@query("SELECT item_id, cut, labels, bears_loss FROM (SELECT item_id, list_slice(range(len(p)) || range(len(r)), 1, 12) AS ids, least(12, len(p) + len(r)) AS cut, array_to_string(list_slice(list_transform(p, lambda x: -100) || list_transform(r, lambda x: CAST(length(x) AS INT)), 1, 12), ',') AS labels, least(len(p) + len(r), 12) > greatest(len(p), 1) AS bears_loss FROM (SELECT item_id, list_slice(w, 1, 8) AS p, list_slice(w, 9, 99999) AS r FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)))")
+def masked_examples(spark, sf):
+    words = F.split("text", " ")
+    ids = F.transform(words, lambda w: F.length(w))
+    rows = t(spark, sf, "benchmark").select("item_id", curation.mask_prompt(F.slice(ids, 1, 8), F.slice(ids, 9, 99999), 12).alias("e"))
+    return rows.select("item_id", F.size("e.input_ids").cast("long").alias("cut"), F.array_join(F.transform("e.labels", lambda x: x.cast("string")), ",").alias("labels"), curation.bears_loss(F.col("e.labels")).alias("bears_loss"))
+
+
+# ---- text and JSON
+
+@query("""SELECT page_id, html_tags, approx_tokens, slug FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '<[a-z]+')) AS BIGINT) AS html_tags, CAST(length(html) // 4 AS BIGINT) AS approx_tokens, regexp_replace(substr(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS slug FROM pages)""")
+def page_shapes(spark, sf):
+    tags = F.size(F.regexp_extract_all("html", F.lit("(<[a-z]+)"), F.lit(1))).cast("long")
+    return t(spark, sf, "pages").select("page_id", tags.alias("html_tags"), text.approx_tokens(F.col("html")).alias("approx_tokens"), text.slug(F.col("url")).alias("slug"))
+
+
+@query("""SELECT page_id, arg_max(v, (length(v), -i)) AS longest FROM (SELECT page_id, unnest(b) AS v, generate_subscripts(b, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS b FROM pages)) GROUP BY page_id""")
+def longest_fence_block(spark, sf):
+    blocks = F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), F.lit(1))
+    return t(spark, sf, "pages").select("page_id", text.longest(blocks).alias("longest")).where("longest is not null")
+
+
+@query("SELECT event_id, k, CASE WHEN k IS NULL THEN 'missing' WHEN k % 2 = 0 THEN 'even' ELSE 'odd' END AS kind FROM (SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
+def json_props_validate(spark, sf):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
+    return t(spark, sf, "events").select("event_id", k.alias("k")).withColumn("kind", F.when(F.col("k").isNull(), "missing").when(F.col("k") % 2 == 0, "even").otherwise("odd"))
+
+
+@query("""SELECT a.event_id, 'k' AS field, json_extract_string(a.props, '$.k') AS expected, json_extract_string(b.props, '$.k') AS found, coalesce(json_extract_string(a.props, '$.k') = json_extract_string(b.props, '$.k'), false) AS same
+FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE json_extract_string(a.props, '$.k') IS NOT NULL""")
+def field_diff(spark, sf):
+    e = t(spark, sf, "events").select("event_id", "props")
+    both = e.join(e.select((F.col("event_id") - 1).alias("event_id"), F.col("props").alias("next_props")), "event_id")
+    return evaluation.field_diff(both, "props", "next_props", "event_id")
+
+
+@query("""SELECT source, lang, CASE WHEN source LIKE '%1%' THEN 'mistral' WHEN source LIKE '%2%' THEN 'gemma' ELSE 'chatml' END AS family, count(*) AS n FROM documents GROUP BY ALL""")
+def template_families(spark, sf):
+    named = F.when(F.col("source").contains("1"), F.concat(F.lit("Mistral-"), "source")).when(F.col("source").contains("2"), F.concat(F.lit("gemma-"), "source")).otherwise(F.col("source"))
+    return t(spark, sf, "documents").groupBy("source", "lang", text.template_family(named).alias("family")).agg(F.count("*").alias("n"))
+
+
+# ---- scores
+
+@query("""WITH tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents), a AS (SELECT id, w, count(*) AS n FROM tok GROUP BY ALL), an AS (SELECT id, sum(n) AS s FROM a GROUP BY id),
+bt AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM benchmark), b AS (SELECT id, w, count(*) AS n FROM bt GROUP BY ALL), bn AS (SELECT id, sum(n) AS s FROM b GROUP BY id),
+c AS (SELECT a.id AS doc_id, b.id AS item_id, sum(least(a.n, b.n)) AS common FROM a JOIN b USING (w) GROUP BY ALL),
+f AS (SELECT doc_id, item_id, 2.0 * common / (an.s + bn.s) AS f1 FROM c JOIN an ON an.id = doc_id JOIN bn ON bn.id = item_id)
+SELECT doc_id, item_id, round(f1, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(f1, 6) DESC, item_id) AS r FROM f) WHERE r = 1""")
+def benchmark_overlap_f1(spark, sf):
+    count = lambda df, k: df.select(k, F.explode(text.tokens(F.col("text"))).alias("w")).groupBy(k, "w").agg(F.count("*").alias("n"))
+    a, b = count(t(spark, sf, "documents"), "doc_id"), count(t(spark, sf, "benchmark"), "item_id")
+    an, bn = a.groupBy("doc_id").agg(F.sum("n").alias("sa")), b.groupBy("item_id").agg(F.sum("n").alias("sb"))
+    common = a.join(b.withColumnRenamed("n", "m"), "w").groupBy("doc_id", "item_id").agg(F.sum(F.least("n", "m")).alias("common"))
+    f1 = common.join(an, "doc_id").join(bn, "item_id").withColumn("f1", F.round(2.0 * F.col("common") / (F.col("sa") + F.col("sb")), 6))
+    return f1.groupBy("doc_id").agg(F.max_by(F.struct("item_id", "f1"), F.struct("f1", -F.col("item_id"))).alias("r")).select("doc_id", "r.item_id", "r.f1")
+
+
+@query("""WITH p AS (SELECT event_type AS suite, user_id AS id, CAST(count(*) AS INT) AS n, CAST(count(*) FILTER (WHERE value > 50) AS INT) AS c FROM events GROUP BY ALL HAVING count(*) >= 2)
+SELECT suite, count(*) AS problems, round(avg(c / n), 4) AS pass_at_1, round(avg(CASE WHEN n - c < 2 THEN 1.0 ELSE 1 - ((n - c) * (n - c - 1.0)) / (n * (n - 1.0)) END), 4) AS pass_at_2 FROM p GROUP BY suite""")
+def pass_at_k_by_type(spark, sf):
+    e = t(spark, sf, "events").select(F.col("event_type").alias("suite"), F.col("user_id").alias("id"), (F.col("value") > 50).alias("passed"))
+    p = evaluation.per_problem(e).where("n >= 2")
+    k = lambda k: F.round(F.avg(scoring.pass_at_k(F.col("n"), F.col("c"), k)), 4).alias(f"pass_at_{k}")
+    return p.groupBy("suite").agg(F.count("*").alias("problems"), k(1), k(2))
+
+
+_RATES = "SELECT event_type AS suite, round(avg(CAST(value > 50 AS INT)), 4) AS pass_at_1 FROM events WHERE event_id % 2 = {0} GROUP BY ALL"
+
+
+def _rates(spark, sf, part):
+    return t(spark, sf, "events").where(F.col("event_id") % 2 == part).groupBy(F.col("event_type").alias("suite")).agg(F.round(F.avg((F.col("value") > 50).cast("int")), 4).alias("pass_at_1"))
+
+
+@query(f"SELECT a.suite, round(a.pass_at_1 / b.pass_at_1, 4) AS share FROM ({_RATES.format(0)}) a JOIN ({_RATES.format(1)}) b USING (suite) WHERE b.pass_at_1 <> 0")
+def share_of_ref(spark, sf):
+    return evaluation.share_of_ref(_rates(spark, sf, 0), _rates(spark, sf, 1))
+
+
+@query(f"SELECT round(avg(pass_at_1), 4) AS mean_pass_at_1 FROM ({_RATES.format(0)})")
+def macro_mean(spark, sf):
+    return evaluation.macro_mean(_rates(spark, sf, 0))
+
+
+@query("""SELECT event_type AS suite, CASE WHEN value > 50 THEN 'pass' WHEN value > 25 THEN 'timeout' ELSE 'test_failed' END AS status, count(*) AS n FROM events GROUP BY ALL""")
+def status_histogram(spark, sf):
+    e = t(spark, sf, "events").select(F.col("event_type").alias("suite"), (F.col("value") > 50).alias("passed"), F.when(F.col("value") > 25, "timeout").otherwise("").alias("reason"))
+    return evaluation.status_counts(e)
+
+
+@query("""WITH c AS (SELECT s_suppkey AS name, round(s_acctbal, 2) AS score, s_acctbal <= 5000 AND s_nationkey >= 5 AS fits FROM supplier), a AS (SELECT * FROM c WHERE fits OR NOT (SELECT bool_or(fits) FROM c))
+SELECT name, score FROM a ORDER BY CAST(name = 7 AND score >= (SELECT max(score) FROM a) - 0.02 AS INT) DESC, score DESC, name LIMIT 1""")
+def winner_selection(spark, sf):
+    c = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("name"), F.round("s_acctbal", 2).alias("score"), evaluation.meets_target(F.col("s_acctbal"), F.col("s_nationkey").cast("double"), 5000, 5).alias("meets_target"))
+    return evaluation.winner(c, "score", "name", F.col("name") == 7).select("name", "score")
+
+
+@query("SELECT l_suppkey, l_orderkey, l_linenumber, rank FROM (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_quantity DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 3")
+def topk_per_group(spark, sf):
+    top = evaluation.top_k(t(spark, sf, "lineitem"), "l_suppkey", [F.desc("l_extendedprice"), F.desc("l_quantity"), "l_orderkey", "l_linenumber"], 3)
+    return top.select("l_suppkey", "l_orderkey", "l_linenumber", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT l_partkey, round(sum(l_discount * l_quantity) / greatest(count(*), 1) + 1e-9, 6) AS saliency, count(*) AS freq FROM lineitem GROUP BY l_partkey")
+def saliency_mean(spark, sf):
+    s = evaluation.saliency(t(spark, sf, "lineitem"), ["l_partkey"], "l_discount", "l_quantity")
+    return s.select("l_partkey", F.round(F.col("saliency") + 1e-9, 6).alias("saliency"), "freq")
+
+
+@query("""WITH a AS (SELECT l_suppkey, avg(l_discount) AS i, sum(l_quantity) AS e FROM lineitem GROUP BY ALL), b AS (SELECT l_suppkey, i / avg(i) OVER () AS i, e / avg(e) OVER () AS e FROM a), c AS (SELECT l_suppkey, i * pow(e, 0.25) AS raw FROM b)
+SELECT l_suppkey, round(least(4.0, greatest(0.25, raw / avg(raw) OVER ())), 6) AS sensitivity FROM c""")
+def normalise_clip(spark, sf):
+    a = t(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("i"), F.sum("l_quantity").alias("e"))
+    return evaluation.sensitivities(a, "i", "e").select("l_suppkey", F.round("sensitivity", 6).alias("sensitivity"))
+
+
+@query("""WITH m AS (SELECT s_nationkey AS layer, avg(s_acctbal) AS x FROM supplier WHERE s_nationkey % 3 <> 0 GROUP BY ALL) SELECT n_nationkey AS layer, round(coalesce(x, (SELECT avg(x) FROM m)), 4) AS x FROM nation LEFT JOIN m ON layer = n_nationkey""")
+def layer_fill_missing(spark, sf):
+    m = t(spark, sf, "supplier").where("s_nationkey % 3 <> 0").groupBy(F.col("s_nationkey").alias("layer")).agg(F.avg("s_acctbal").alias("x"))
+    layers = t(spark, sf, "nation").select(F.col("n_nationkey").alias("layer"))
+    return evaluation.fill_layers(m, layers, "layer", "x").select("layer", F.round("x", 4).alias("x"))
+
+
+@query("SELECT lang, n, round(n / (SELECT count(*) FROM documents), 6) AS share FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang LIMIT 4)")
+def label_histogram_top4(spark, sf):
+    return evaluation.shares(t(spark, sf, "documents").select("lang"), "lang").select("lang", "n", F.round("share", 6).alias("share"))
+
+
+@query("""SELECT o_orderpriority, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2) AS F, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 2) AS O, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'P'), 2) AS P FROM orders GROUP BY ALL""")
+def candidate_suite_pivot(spark, sf):
+    return evaluation.matrix(t(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"], F.round(F.avg("o_totalprice"), 2))
+
+
+@query("SELECT l_returnflag, median(l_extendedprice) AS median_speed FROM lineitem GROUP BY ALL")
+def median_speed(spark, sf):
+    return t(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.median("l_extendedprice").alias("median_speed"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, s_acctbal > 5000 AS big, s_nationkey < 5 AS slow FROM supplier) SELECT id, concat_ws(', ', CASE WHEN big THEN 'too large' END, CASE WHEN slow THEN 'too slow' END) AS missed FROM s WHERE big OR slow""")
+def target_misses(spark, sf):
+    s = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), evaluation.missed(F.col("s_acctbal"), F.col("s_nationkey").cast("double"), 5000, 5).alias("missed"))
+    return s.where("missed <> ''")
+
+
+@query("SELECT o_custkey, coalesce(n.n_name, 'none') AS target FROM orders LEFT JOIN nation n ON n_nationkey = o_custkey")
+def model_route(spark, sf):
+    ask = t(spark, sf, "orders").select("o_custkey", F.concat(F.col("o_custkey").cast("string"), F.lit("@1")).alias("model"))
+    routes = t(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("name"), F.col("n_name").alias("target"))
+    return evaluation.model_route(ask, routes, "model", "none").select("o_custkey", "target")
+
+
+# ---- events
+
+@query("""WITH m AS (SELECT user_id, max(event_id) FILTER (WHERE event_type = 'signup') AS last FROM events GROUP BY ALL) SELECT event_id, user_id FROM events JOIN m USING (user_id) WHERE event_id >= coalesce(last, -1)""")
+def latest_run_slice(spark, sf):
+    return events.latest_run(t(spark, sf, "events"), F.col("event_type") == "signup", "event_id", ["user_id"]).select("event_id", "user_id")
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
+def last_event_per_key(spark, sf):
+    return events.last_per_key(t(spark, sf, "events"), ["user_id", "event_type"], "event_id", ["event_id", "value"])
+
+
+_AS_STATUS = "CASE WHEN event_type IN ('click', 'view') THEN 'running' ELSE 'done' END"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS u, {_AS_STATUS} AS status FROM events), m AS (SELECT *, status = 'running' AND coalesce(lag(status) OVER (PARTITION BY user_id ORDER BY event_id), '') <> 'running' AS opens FROM e),
+a AS (SELECT user_id, max(u) FILTER (WHERE opens) AS started, max(u) FILTER (WHERE status <> 'running') AS ended FROM m GROUP BY ALL) SELECT user_id, started, ended, CASE WHEN ended >= started THEN ended - started END AS seconds FROM a""")
+def stage_durations(spark, sf):
+    e = t(spark, sf, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.when(F.col("event_type").isin("click", "view"), "running").otherwise("done").alias("status"))
+    return events.stage_times(e, ["user_id"], "event_id", "at")
+
+
+@query("""WITH s AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM events GROUP BY user_id), m AS (SELECT a AS u, 1 AS d FROM s UNION ALL SELECT b, -1 FROM s), g AS (SELECT u, sum(d) AS d FROM m GROUP BY u)
+SELECT CAST(max(level) AS BIGINT) AS peak FROM (SELECT sum(d) OVER (ORDER BY u) AS level FROM g)""")
+def peak_concurrency(spark, sf):
+    s = t(spark, sf, "events").groupBy("user_id").agg(F.unix_micros(F.min("ts").cast("timestamp")).alias("a"), F.unix_micros(F.max("ts").cast("timestamp")).alias("b"))
+    return events.peak_concurrency(s, "a", "b")
+
+
+@query("""WITH l AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)), n AS (SELECT *, sum(CAST(length(line) < 40 AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS segment FROM l),
+g AS (SELECT doc_id, segment, string_agg(line, chr(10) ORDER BY i) AS text, max(segment) OVER (PARTITION BY doc_id) AS last FROM n WHERE segment > 0 GROUP BY doc_id, segment)
+SELECT doc_id, CAST(segment AS BIGINT) AS segment, CAST(length(text) AS BIGINT) AS chars FROM g WHERE segment < last AND len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) >= 20""")
+def article_segments(spark, sf):
+    lines = t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    seg = events.segments(lines, ["doc_id"], "i", F.length("line") < 40, words=20)
+    return seg.select("doc_id", F.col("segment").cast("long").alias("segment"), F.length("text").cast("long").alias("chars"))
+
+
+@query("""SELECT event_id, CASE WHEN n = 1 THEN event_type || '.c' ELSE event_type || '_' || n || '.c' END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)""")
+def numbered_names(spark, sf):
+    e = t(spark, sf, "events").select("event_id", "user_id", F.concat("event_type", F.lit(".c")).alias("name"))
+    return events.number_names(e, ["user_id"], "name", "event_id").select("event_id", "unique_name")
+
+
+@query("""WITH a AS (SELECT user_id, count(*) AS attempts, arg_max(event_type, event_id) AS last FROM events GROUP BY ALL), s AS (SELECT *, CASE last WHEN 'purchase' THEN 'done' WHEN 'click' THEN 'failed' ELSE 'skipped' END AS state FROM a),
+t AS (SELECT count(*) FILTER (WHERE state = 'done') AS done, count(*) FILTER (WHERE state = 'failed') AS failed, count(*) FILTER (WHERE state = 'skipped') AS skipped, count(*) FILTER (WHERE state = 'done' AND attempts = 1) AS first_try FROM s)
+SELECT *, (SELECT count(*) FROM events) AS calls, round(first_try / greatest(1, done), 6) AS first_try_share FROM t""")
+def run_summary(spark, sf):
+    e = t(spark, sf, "events")
+    last = F.max_by("event_type", "event_id")
+    s = e.groupBy("user_id").agg(F.count("*").alias("attempts"), F.when(last == "purchase", "done").when(last == "click", "failed").otherwise("skipped").alias("state"))
+    out = events.run_summary(s, e.select(F.lit(1).alias("tokens"), F.lit(1).alias("ms")))
+    return out.select("done", "failed", "skipped", "first_try", "calls", F.round("first_try_share", 6).alias("first_try_share"))
+
+
+@query("""WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, round(sum(value * CASE WHEN i = 1 THEN 1 ELSE 0.1 END * pow(0.9, n - i)), 6) AS ema FROM o GROUP BY ALL""")
+def ema_loss(spark, sf):
+    return evaluation.moving_loss(t(spark, sf, "events"), "event_type", "event_id", "value").select("event_type", F.round("ema", 6).alias("ema"))
+
+
+@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling_windows(spark, sf):
+    w = F.window(F.col("ts").cast("timestamp"), "1 day")
+    out = t(spark, sf, "events").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
+
+
+@query("""WITH a AS (SELECT user_id, ts, CAST(ts - lag(ts) OVER w >= INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL AS INT) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)
+SELECT user_id, min(ts) AS started, count(*) AS n FROM b GROUP BY user_id, s""")
+def session_windows(spark, sf):
+    s = F.session_window(F.col("ts").cast("timestamp"), "6 hours")
+    out = t(spark, sf, "events").groupBy("user_id", s.alias("s")).agg(F.count("*").alias("n"))
+    return out.select("user_id", F.col("s.start").cast("timestamp_ntz").alias("started"), "n")
+
+
+# ---- graphs: a supplier depends on its nation, a nation on its region; an order owns the parts of its lines
+
+_EDGES = "SELECT 's' || s_suppkey AS id, 'n' || s_nationkey AS dep FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation"
+
+
+def _edges(spark, sf):
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    s = t(spark, sf, "supplier").select(name("s", "s_suppkey").alias("id"), name("n", "s_nationkey").alias("dep"))
+    return s.unionByName(t(spark, sf, "nation").select(name("n", "n_nationkey").alias("id"), name("r", "n_regionkey").alias("dep")))
+
+
+@query(f"WITH RECURSIVE e AS ({_EDGES}), r(id, anc) AS (SELECT id, dep FROM e UNION SELECT r.id, e.dep FROM r JOIN e ON r.anc = e.id) SELECT id, anc FROM r")
+def dag_ancestors(spark, sf):
+    return graph.ancestors(_edges(spark, sf))
+
+
+@query(f"WITH e AS ({_EDGES}), f AS (SELECT id FROM e WHERE id LIKE 'n%' AND dep IN ('r1', 'r2') AND id <> 'n7'), s AS (SELECT id FROM e WHERE dep IN (SELECT id FROM f)) SELECT DISTINCT id FROM s WHERE id NOT IN (SELECT id FROM f)")
+def skip_propagation(spark, sf):
+    e = _edges(spark, sf)
+    failed = e.where("id like 'n%' and dep in ('r1', 'r2') and id <> 'n7'").select("id")
+    return graph.skipped(graph.ancestors(e), failed)
+
+
+@query("""WITH o AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS p FROM lineitem WHERE l_quantity > 45) SELECT a.id AS a, b.id AS b, string_agg(CAST(a.p AS VARCHAR), ', ' ORDER BY CAST(a.p AS VARCHAR)) AS shared FROM o a JOIN o b ON a.p = b.p AND a.id < b.id
+WHERE NOT (b.id = a.id + 1) GROUP BY ALL""")
+def ownership_conflicts(spark, sf):
+    l = t(spark, sf, "lineitem").where("l_quantity > 45")
+    owned = l.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").cast("string").alias("path"))
+    chain = owned.select("id").distinct().select(F.col("id"), (F.col("id") - 1).alias("anc"))
+    return graph.ownership_conflicts(owned, chain)
+
+
+@query(f"WITH e AS ({_EDGES}) SELECT id, dep FROM e WHERE dep NOT IN (SELECT id FROM e)")
+def unknown_dependencies(spark, sf):
+    e = _edges(spark, sf)
+    return graph.unknown_dependencies(e.groupBy("id").agg(F.collect_list("dep").alias("depends_on")))
+
+
+@query("""SELECT s_suppkey, rule FROM (SELECT s_suppkey, unnest(list_filter([CASE WHEN s_acctbal < 0 THEN 'balance' END, CASE WHEN s_nationkey NOT BETWEEN 1 AND 20 THEN 'nation' END], lambda x: x IS NOT NULL)) AS rule FROM supplier)""")
+def rule_violations(spark, sf):
+    return graph.violations(t(spark, sf, "supplier"), "s_suppkey", {"balance": F.col("s_acctbal") >= 0, "nation": F.col("s_nationkey").between(1, 20)})
+
+
+@query("SELECT url, regexp_matches(url, '^https?://[^/]*/.*1.*$') AS hit, NOT (url = '' OR url LIKE '/%' OR contains(url, chr(92)) OR regexp_matches(url, '[*?\\[\\]]') OR len(list_filter(string_split(url, '/'), lambda x: x IN ('', '.', '..'))) > 0 OR string_split(url, '/')[1] = '.git') AS safe FROM pages")
+def glob_and_paths(spark, sf):
+    p = t(spark, sf, "pages")
+    pattern = F.replace(text.glob_pattern(F.lit("http?://*/**1**")), F.lit("http[^/]"), F.lit("https?"))
+    return p.select("url", F.regexp_like("url", pattern).alias("hit"), text.safe_path(F.col("url")).alias("safe"))
+
+
+# ---- what SQL can't express
+
+@query()
+def length_batches(spark, sf):
+    docs = t(spark, sf, "documents").select("doc_id", F.size(F.split("text", " ")).cast("long").alias("n"))
+    return execution.length_batches(docs, "doc_id", "n", 16384, 64)
+
+
+@query()
+def sandbox_pass_filter(spark, sf):
+    items = t(spark, sf, "benchmark").select("item_id", F.lit("python").alias("language"), F.length("text").alias("n"))
+    code = text.with_tests(F.format_string("def f():\n    return %d", "n"), F.format_string("assert f() == %d", F.when(F.col("item_id") % 4 == 0, F.col("n") + 1).otherwise(F.col("n"))))
+    return execution.run_tests(items.withColumn("code", code), "item_id", "language", "code").select("item_id", "passed", "reason")
+
+
+@query()
+def answer_agreement(spark, sf):
+    e = t(spark, sf, "events").select("event_id", "props", F.lead("props").over(Window.partitionBy("user_id").orderBy("event_id")).alias("answer")).where("answer is not null")
+    return e.select("event_id", scoring.agreement(F.col("answer"), F.col("props")).alias("agreement"), jsontext.same(F.col("answer"), F.col("props")).alias("same"))
