@@ -331,3 +331,47 @@ def test_entry_without_llm(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stored_cases(spark):
+    import base64
+    import pickle
+    import zlib
+
+    from tessera.operators import answers
+
+    cases = json.dumps([{"input": "1", "output": "2", "testtype": "stdin"}])
+    hidden = base64.b64encode(zlib.compress(pickle.dumps(cases))).decode()
+    evil = base64.b64encode(zlib.compress(pickle.dumps(print))).decode()
+    rows = [(1, cases), (2, hidden), (3, evil), (4, None), (5, "junk")]
+    got = {r["i"]: r["cases"] for r in answers.decode_cases(spark.createDataFrame(rows, "i int, s string"), "s").collect()}
+    assert [got[1][0]["output"], got[2][0]["output"], got[3], got[4], got[5]] == ["2", "2", None, None, None]
+
+
+def test_assembly_and_fields(spark):
+    from tessera.operators import answers
+
+    cols = [F.col(c) for c in ("a", "l", "s", "e", "t")]
+    rows = [
+        ("```python\ndef f():\n    return 1\nif __name__ == '__main__':\n    f()\n```", "python", "import os\ndef f():\n", "f", "assert f() == 1"),
+        ("    return 1;", "c", "int f(void) {", "f", "int main(void) { return f() - 1; }"),
+    ]
+    got = [r[0] for r in values(spark, rows, "a string, l string, s string, e string, t string", p=answers.assembled(*cols))]
+    assert got[0] == "import os\ndef f():\n    return 1\n\nassert f() == 1\n"
+    assert got[1].startswith("int f(void) {\n    return 1;}") and got[1].endswith("int main(void) { return f() - 1; }\n")
+    doc = json.dumps({"header": "#ifndef OBS_H\n#define OBS_H\n#endif", "source": '#include "obs.h"\nint x;\n', "notes": "one\ntwo", "short": "x"})
+    found = {r["field"]: r["unique_name"] for r in answers.code_fields(spark.createDataFrame([(1, doc)], "k int, d string"), "k", "d").collect()}
+    assert found == {"header": "obs.h", "source": "obs.c", "notes": "notes.txt"}
+    shown = values(spark, [('{"v": true}',), ('{"v": null}',), ('{"v": ["a", "b"]}',), ('{"v": {"x": 1}}',), ('{"v": 3}',)], "j string", s=answers.shown(F.try_variant_get(F.try_parse_json("j"), "$.v", "variant")))
+    assert [s[0] for s in shown] == ["yes", "-", "a, b", '{"x":1}', "3"]
+
+
+def test_experts(spark):
+    from tessera.operators import models
+
+    stats = spark.createDataFrame([(0, 0, 0.5, 3), (0, 1, 0.9, 1), (0, 2, 0.5, 4), (0, 3, 0.0, 0)], "layer int, expert int, saliency double, freq int")
+    kept = models.choose_keep(stats, 2)
+    assert [r["expert"] for r in kept.collect()] == [1, 2]
+    assert tuple(models.kept_and_pruned(stats, kept).first()) == (0, 1.4, 0.5, 1)
+    times = spark.createDataFrame([("data", 0, 149), ("reap", 149, 668), ("x", 5, None)], "stage string, start long, end long")
+    assert {tuple(r) for r in models.stage_seconds(times).collect()} == {("data", 149), ("reap", 519), (None, 668)}
