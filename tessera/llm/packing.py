@@ -51,6 +51,9 @@ class WordBPE:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _one(self, word: str) -> bytes:
+        bare = word.rstrip(".,!?;:|*$%&#")
+        if bare != word and bare.isalpha():  # the pattern splits letters from what follows them
+            return self.words[bare] + self.words[word[len(bare) :]]
         return self._ids(word)
 
     def encode(self, text: str) -> bytes:
@@ -58,7 +61,7 @@ class WordBPE:
         if self.odd(text):
             return self._ids(text)
         words = self.words
-        return b"".join([words[w] for w in text.split()])
+        return b"".join([words[w] for w in text.lower().split()])
 
 
 @functools.lru_cache(maxsize=2)
