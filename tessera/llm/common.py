@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -41,16 +40,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def drop_staged(*frames: DataFrame) -> None:
-    """Delete tables made by stage() once nothing reads them any more."""
+    """Delete tables that stage() made, once nothing reads them any more."""
     for df in frames:
         spark = df.sparkSession
-        for d in {os.path.dirname(f) for f in df.inputFiles()}:
-            p = spark._jvm.org.apache.hadoop.fs.Path(d)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

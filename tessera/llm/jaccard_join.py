@@ -13,9 +13,12 @@ Some segments more than needed (SPARE of H) are cut, so linked documents share m
 segments: a document with at most `spare` empty or hot ones (signatures that more than HOT distinct sets
 share) has a partner's signature elsewhere too, and needs no look at those. No partner is dropped.
 
-Sets that are equal are one node. In each signature's group every node is compared with the first; the
-nodes that are then still in different components are compared pair by pair, in blocks. Every link is
-verified on the whole sets. Components come from large-star/small-star rounds.
+Sets that are equal are one node. Members of a signature's group are compared by parity sketches, whose
+distance is never above the number of elements that differ, so a pair that it rules out has no link.
+First each node gives its least remaining partner; the closest pair of any two components follows; at
+last all remaining pairs of nodes in different components. These are verified on the whole sets.
+Groups of more than BLOCK members are compared in pairs of blocks, by several tasks. Components come
+from large-star/small-star rounds.
 
 Edge cases: a text that is null, empty or white space has no shingles and links with nothing; rows with
 a null id take part, a component's id is its smallest non-null id; repeated rows are equal sets; an empty
@@ -31,17 +34,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, pack, partitions, split_by, stage, table, unpack, utf8_column
+from .common import U64, drop_staged, mix, pack, partitions, split_by, stage, table, unpack, utf8_column
 
 SHINGLE, PERCENT = 5, 80
 #: Share of H by which segments exceed what the pigeonhole principle needs.
-SPARE = 0.12
+SPARE = 0.08
 #: Distinct sets with a signature from which on it is hot.
 HOT = 40
-#: Members of a block when the rest of a group is compared pair by pair.
-BLOCK = 256
+#: Members of a block; larger groups are compared in pairs of blocks.
+BLOCK = 2048
+#: Bits of a sketch.
+BITS = 1024
 #: Signatures that a task holds before it writes them out.
-FLUSH = 2_500_000
+FLUSH = 1_500_000
 _SEED, _STEP = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 
@@ -74,7 +79,7 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(solid & ~before)
     after = np.concatenate([solid[1:], [False]]) & ~edge[1:]
     end = np.flatnonzero(solid & ~after) + 1
-    size = 1 << max(20, (n - 1).bit_length())
+    size = 1 << max(21, (n - 1).bit_length())
     up, down = _powers(size)
     total = np.concatenate([np.zeros(1, U64), np.cumsum(_BYTE[low] * up[:n], dtype=U64)])
     h = mix((total[end] - total[start]) * down[start] + (end - start).astype(U64) * _SEED)
@@ -117,7 +122,7 @@ def batch_sets(column):
     data, off = utf8_column(column)
     at, n = 0, len(off) - 1
     while at < n:
-        end = max(at + 1, int(np.searchsorted(off, off[at] + (8 << 20), "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(off, off[at] + (2 << 20), "right")) - 1)
         s, o = sets(data[off[at] : off[end]], off[at : end + 1] - off[at])
         yield at, s, o
         at = end
@@ -194,19 +199,31 @@ def signatures(s: np.ndarray, off: np.ndarray, band: int, population: int) -> tu
     return np.concatenate(out_set), np.concatenate(out_sig), np.where(rich, spare - blank, 0)
 
 
+def sketches(s: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """(sets, BITS / 8) bytes: for each bit whether an odd number of elements hash to it."""
+    n = len(off) - 1
+    of = np.repeat(np.arange(n), np.diff(off))
+    hits = np.bincount(of * BITS + (s & U64(BITS - 1)).astype(np.int64), minlength=n * BITS) & 1
+    return np.packbits(hits.astype(np.uint8).reshape(n, BITS), axis=1)
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """docs (id, body) to (id, n_shingles, node)."""
+    """docs (id, body) to (id, n_shingles, node, sketch)."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, U64)
+            marks: list[bytes] = []
             for at, s, off in batch_sets(batch.column("body")):
                 n[at : at + len(off) - 1], node[at : at + len(off) - 1] = np.diff(off), node_ids(s, off)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(node.view(np.int64))], names=["id", "n_shingles", "node"])
+                for k in range(0, len(off) - 1, 2048):
+                    o = off[k : k + 2049]
+                    marks += [m.tobytes() for m in sketches(s[o[0] : o[-1]], o - o[0])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(node.view(np.int64)), pa.array(marks, pa.binary())], names=["id", "n_shingles", "node", "sketch"])
 
-    return docs.select("id", "body").mapInArrow(run, "id long, n_shingles long, node long")
+    return docs.select("id", "body").mapInArrow(run, "id long, n_shingles long, node long, sketch binary")
 
 
 def find_signatures(docs: DataFrame, buckets: int, population: dict[int, int]) -> DataFrame:
@@ -217,16 +234,16 @@ def find_signatures(docs: DataFrame, buckets: int, population: dict[int, int]) -
             mine = [h for h in held if h[0] == role]
             if not mine:
                 continue
-            base = np.concatenate([[0], np.cumsum([len(h[2]) for h in mine])])
-            band, size, spare = (np.concatenate([np.full(len(h[2]), h[1]) for h in mine]), np.concatenate([h[3] for h in mine]), np.concatenate([h[4] for h in mine]))
-            node = np.concatenate([h[2] for h in mine])
-            doc = np.concatenate([h[5] + b for h, b in zip(mine, base, strict=False)])
-            sig = np.concatenate([h[6] for h in mine])
+            base = np.concatenate([[0], np.cumsum([len(h[1]) for h in mine])])
+            node, size, spare = (np.concatenate([h[k] for h in mine]) for k in (1, 2, 3))
+            doc = np.concatenate([h[4] + b for h, b in zip(mine, base, strict=False)])
+            sig = np.concatenate([h[5] for h in mine])
             rows = []
             for b, i in split_by((sig & U64(0xFFFF)).astype(np.int64) % buckets):
-                used, at = np.unique(doc[i], return_inverse=True)
+                used, count = np.unique(doc[i], return_counts=True)  # doc ascends, and so the runs of a set need no index
                 x = sig[i]
-                rows.append((b, pack({"role": role, "node": node[used], "size": size[used].astype(np.uint32), "band": band[used].astype(np.uint8), "spare": np.minimum(spare[used], 65535).astype(np.uint16), "doc": at.astype(np.uint16 if len(used) < 65536 else np.uint32), "high": (x >> U64(32)).astype(np.uint32), "low": (x >> U64(16)).astype(np.uint16), "last": (x & U64(0xFFFF)).astype(np.uint16) if buckets < 64 else None})))
+                few = buckets < 64
+                rows.append((b, pack({"role": role, "node": node[used], "size": size[used].astype(np.uint32), "spare": np.minimum(spare[used], 255).astype(np.uint8), "count": count.astype(np.uint32 if count.max() > 65535 else np.uint16 if count.max() > 255 else np.uint8), "high": (x >> U64(32)).astype(np.uint32), "low": (x >> U64(16)).astype(np.uint16), "last": (x & U64(0xFFFF)).astype(np.uint16) if few else None})))
             import pyarrow as pa
 
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "raw"])
@@ -252,7 +269,8 @@ def find_signatures(docs: DataFrame, buckets: int, population: dict[int, int]) -
                     for role, b in ((0, band), (1, band - 1)):
                         if b >= 0:
                             doc, sig, spare = signatures(part, o, int(b), population.get(int(b), 0))
-                            held.append((role, int(b), node[i], size[i], spare, doc, sig))
+                            order = np.argsort(doc, kind="stable")
+                            held.append((role, node[i], size[i], spare, doc[order], sig[order]))
                             n += len(sig)
                 if n > FLUSH:
                     yield from flush(held)
@@ -264,22 +282,21 @@ def find_signatures(docs: DataFrame, buckets: int, population: dict[int, int]) -
 
 
 def groups(found: DataFrame) -> DataFrame:
-    """Groups of distinct sets with a signature in common: (grp, lead, node, size, band, spare, hot); equal groups once."""
+    """Groups of distinct sets with a signature in common: (grp, node, size, band * 2 + role, spare, hot); equal groups once."""
     import pyarrow as pa
 
-    names = ["grp", "lead", "node", "lead_size", "size", "band", "spare", "hot"]
-    kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.bool_()]
+    names = ["grp", "node", "size", "band", "spare", "hot"]
+    kinds = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.bool_()]
 
     def reduce(tables):
         parts = [unpack(x.as_py()) for x in tables.column("raw")]
-        base = np.concatenate([[0], np.cumsum([len(p["node"]) for p in parts])])
         raw_node = np.concatenate([p["node"] for p in parts])
-        size, band, spare = (np.concatenate([p[k] for p in parts]).astype(np.int32) for k in ("size", "band", "spare"))
-        role = np.concatenate([np.full(len(p["node"]), p["role"]) for p in parts])
-        # a set under another role or band of its own is another entry; tasks that saw the same set share one
-        what = mix(raw_node ^ mix(band.astype(U64) * U64(2) + role.astype(U64) + U64(7)))
-        _, entry, same = np.unique(what, return_index=True, return_inverse=True)
-        doc = np.concatenate([same[p["doc"] + b] for p, b in zip(parts, base, strict=False)])
+        size, spare = (np.concatenate([p[k] for p in parts]).astype(np.int32) for k in ("size", "spare"))
+        role = np.concatenate([np.full(len(p["node"]), p["role"], np.int32) for p in parts])
+        # a set under its other role is another entry; tasks that saw the same set share one
+        _, entry, same = np.unique(raw_node ^ mix(role.astype(U64) + U64(7)), return_index=True, return_inverse=True)
+        count = np.concatenate([p["count"] for p in parts]).astype(np.int64)
+        doc = np.repeat(same, count).astype(np.int32)
         sig = np.concatenate([(p["high"].astype(U64) << U64(32)) | (p["low"].astype(U64) << U64(16)) | (p["last"].astype(U64) if p["last"] is not None else U64(0)) for p in parts])
         del parts
         order = np.argsort(sig)
@@ -295,29 +312,24 @@ def groups(found: DataFrame) -> DataFrame:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         count = np.diff(np.append(first, len(sig)))
-        node, role, size, band, spare = raw_node[entry], role[entry], size[entry], band[entry], spare[entry]
+        node, role, size, spare = raw_node[entry], role[entry], size[entry], spare[entry]
+        band = np.searchsorted(bounds(), size, "right").astype(np.int32) - 1 - role
         # the same members with another signature: the group is needed once, unless hot signatures are counted
-        ids = np.add.reduceat(mix(node[doc] ^ (role[doc].astype(U64) << U64(63)) ^ mix(band[doc].astype(U64) + U64(99))), first)
+        ids = np.add.reduceat(mix(node[doc] ^ (role[doc].astype(U64) << U64(63))), first)
         inner = np.add.reduceat((role[doc] == 0).astype(np.int64), first)
-        fine = (count > 1) & (inner > 0)
         hot = count > HOT
-        _, once = np.unique(np.where(hot, mix(sig[first]), ids), return_index=True)
+        group = np.where(hot, mix(sig[first]), ids)
+        _, once = np.unique(group, return_index=True)
         chosen = np.zeros(len(first), bool)
         chosen[once] = True
-        chosen &= fine
+        chosen &= (count > 1) & (inner > 0)
         of = np.repeat(np.arange(len(first)), count)
         pick = chosen[of]
         of, doc = of[pick], doc[pick]
-        # the first member is the smallest of the band itself
-        order = np.lexsort((node[doc], role[doc], of))
-        of, doc = of[order], doc[order]
-        start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
-        lead = np.repeat(doc[start], np.diff(np.append(start, len(of)))) if len(of) else doc
-        group = np.where(hot, mix(sig[first]), ids)[of]
-        columns = [group.view(np.int64), node[lead].view(np.int64), node[doc].view(np.int64), size[lead], size[doc], band[doc] * 2 + role[doc], spare[doc], hot[of]]
+        columns = [group[of].view(np.int64), node[doc].view(np.int64), size[doc], band[doc] * 2 + role[doc], spare[doc], hot[of]]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return found.groupBy("bucket").applyInArrow(reduce, "grp long, lead long, node long, lead_size int, size int, band int, spare int, hot boolean")
+    return found.groupBy("bucket").applyInArrow(reduce, "grp long, node long, size int, band int, spare int, hot boolean")
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, held: DataFrame) -> DataFrame:
@@ -370,20 +382,116 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         new = stage(small.where("a <> b").distinct(), "edges")
         same = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        drop_staged(edges)
         edges = new
         if same:
             break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out.staged_at = edges.staged_at
+    return out
 
 
-def near(size_a: str, size_b: str):
-    return (100 * F.least(size_a, size_b) >= PERCENT * F.greatest(size_a, size_b))
+def members(found: DataFrame) -> DataFrame:
+    """(grp, node, size, inner) of the groups that must be looked at, each member once."""
+    # who has more hot signatures than segments to spare must be looked for there
+    busy = found.where("hot").groupBy("node", "band").agg(F.count_distinct("grp").alias("n"), F.first("spare").alias("s")).where("n > s").select("node", "band")
+    kept = found.where("not hot").unionByName(found.where("hot").join(busy, ["node", "band"], "left_semi"))
+    return kept.groupBy("grp", "node").agg(F.first("size").alias("size"), F.max(F.col("band") % 2 == 0).alias("inner"))
+
+
+def compare(rows: dict[str, np.ndarray], how: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Pairs (a, b) of one group or pair of blocks that sketches and sizes leave, as places in rows."""
+    node, size, inner, root, sketch = (rows[k] for k in ("node", "size", "inner", "root", "sketch"))
+    block = rows["block"]
+    left = np.flatnonzero(block == block.min())
+    right = np.flatnonzero(block == block.max())
+    out_a, out_b = [], []
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    step = max(1, 4_000_000 // (16 * len(right)))
+    for at in range(0, len(left), step):
+        i = left[at : at + step]
+        d = np.bitwise_count(sketch[i][:, None, :] ^ sketch[right][None, :, :]).sum(2, dtype=np.int32)
+        a, b = size[i][:, None].astype(np.int64), size[right][None, :].astype(np.int64)
+        fine = ((100 + PERCENT) * d <= (100 - PERCENT) * (a + b)) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+        fine &= (inner[i][:, None] | inner[right][None, :]) & (node[i][:, None] != node[right][None, :])
+        if how != "first":
+            fine &= root[i][:, None] != root[right][None, :]
+        p, q = np.nonzero(fine)
+        if not len(p):
+            continue
+        x, y = i[p], right[q]
+        if how == "best":
+            for u, v, n in zip(x.tolist(), y.tolist(), d[p, q].tolist(), strict=True):
+                key = (int(min(root[u], root[v])), int(max(root[u], root[v])))
+                if key not in best or n < best[key][0]:
+                    best[key] = (n, u, v)
+        else:
+            out_a.append(x), out_b.append(y)
+    if how == "best":
+        return [np.array([v[1] for v in best.values()], np.int64)], [np.array([v[2] for v in best.values()], np.int64)]
+    if how == "first" and out_a:
+        x, y = np.concatenate(out_a), np.concatenate(out_b)
+        x, y = np.concatenate([x, y]), np.concatenate([y, x])
+        order = np.lexsort((node[y], x))  # each one's partner of least id
+        x, y = x[order], y[order]
+        new = np.concatenate([[True], x[1:] != x[:-1]])
+        return [x[new]], [y[new]]
+    return out_a, out_b
+
+
+def candidates(member: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+    """Distinct pairs (a > b) of a group's members (grp, node, size, inner, root, blocks) that may link.
+
+    how: "first" gives each node one partner, "best" any two components one pair, "all" every pair of nodes in different components.
+    """
+    import pyarrow as pa
+
+    spark = member.sparkSession
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    full = member.withColumn("block", block).join(marks, "node")
+    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = full.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    buckets = max(partitions(spark), member.count() // 100_000)
+    full = full.withColumn("bucket", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(buckets)).cast("int"))
+
+    def work(t):
+        n = t.num_rows
+        rows = {c: t.column(c).to_numpy() for c in ("node", "size", "root", "block", "grp", "i", "j")}
+        rows["inner"] = t.column("inner").to_numpy(zero_copy_only=False)
+        rows["sketch"] = np.frombuffer(b"".join(t.column("sketch").to_pylist()), U64).reshape(n, BITS // 64)
+        order = np.lexsort((rows["j"], rows["i"], rows["grp"]))
+        rows = {k: v[order] for k, v in rows.items()}
+        key = [rows[k] for k in ("grp", "i", "j")]
+        cut = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1 if n else np.zeros(0, np.int64)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, e in zip(np.append(0, cut), np.append(cut, n), strict=True):
+            if e - s > 1:
+                x, y = compare({k: v[s:e] for k, v in rows.items()}, how)
+                a += [rows["node"][s + v] for v in x]
+                b += [rows["node"][s + v] for v in y]
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    return full.select("bucket", "grp", "i", "j", "block", "node", "size", "inner", "root", "sketch").groupBy("bucket").applyInArrow(work, "a long, b long").distinct()
+
+
+def with_roots(member: DataFrame, roots: DataFrame) -> DataFrame:
+    """member of the groups that span components, with each one's root."""
+    rooted = member.drop("root", "blocks").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("grp").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return rooted.join(mixed.select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "grp")
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
+    done: list[DataFrame] = []  # tables that only the rounds below read
+
+    def aside(df: DataFrame, label: str) -> DataFrame:
+        done.append(stage(df, label))
+        return done[-1]
+
     held = stage(describe(docs), "sets")
     total = held.agg(F.sum("n_shingles")).first()[0] or 0
     sizes = held.where("n_shingles > 0").groupBy(F.floor(F.log2("n_shingles") * 8).alias("b")).agg(F.count("*").alias("n"), F.min("n_shingles").alias("s"))  # at most 8 rows a doubling
@@ -391,16 +499,30 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     for r in sizes.collect():
         band = int(np.searchsorted(bounds(), r["s"], "right")) - 1
         population[band] = population.get(band, 0) + r["n"]
-    buckets = min(65536, max(partitions(spark), total // 2_000_000))
-    found = stage(groups(find_signatures(docs, buckets, population)), "groups")
-    elements = stage(node_sets(docs, found.select("node").distinct(), held), "elements")
-    star = found.where((F.col("lead") != F.col("node")) & near("lead_size", "size")).select(F.greatest("lead", "node").alias("a"), F.least("lead", "node").alias("b")).distinct()
-    links = stage(verify(star, elements), "links")
+    buckets = min(65536, max(partitions(spark), total // 2_500_000))
+    found = aside(members(aside(groups(find_signatures(docs, buckets, population)), "groups")), "members")
+    drop_staged(done.pop(0))
+    marks = held.join(found.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    marks = aside(marks, "sketches")
+    sized = found.join(found.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "grp")
+    pairs = aside(candidates(sized.withColumn("root", F.col("node")), marks, "first"), "pairs")
+    # every node that any other may link with is in one of these pairs, so these sets suffice for all rounds
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    elements = aside(node_sets(docs, wanted, held.select("id", "node")), "elements")
+    links, tried = aside(verify(pairs, elements), "links"), pairs
     roots = components(links)
-    more = stage(verify(apart(found, roots, star), elements), "links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
-    named = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = found.join(wanted, "node", "left_semi")
+    for how in ("best", "all"):
+        mixed = aside(with_roots(found, roots), "mixed")
+        pairs = aside(candidates(mixed, marks, how).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = aside(verify(pairs, elements), "links")
+        tried = tried.unionByName(pairs)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            drop_staged(roots)
+            roots = components(links)
+    drop_staged(*done)
+    named = held.drop("sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # sets without shingles link with nothing: spread them instead of gathering them under one root
     named = named.withColumn("root", F.when(F.col("n_shingles") == 0, F.xxhash64("id")).otherwise(F.col("root")))
     least = named.where("n_shingles > 0").groupBy("root").agg(F.min("id").alias("least"))
@@ -408,23 +530,6 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return named.select("id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def apart(found: DataFrame, roots: DataFrame, star: DataFrame) -> DataFrame:
-    """Distinct pairs of a group's members that are in different components and weren't compared with the first."""
-    member = found.select("grp", "node", "size", "band", "spare", "hot").distinct()
-    # who has more hot signatures than segments to spare must be looked for there
-    busy = member.where("hot").groupBy("node", "band").agg(F.count("*").alias("n"), F.first("spare").alias("s")).where("n > s").select("node", "band")
-    member = member.where("not hot").unionByName(member.where("hot").join(busy, ["node", "band"], "left_semi"))
-    member = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = member.groupBy("grp").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 2 and lo <> hi")
-    member = stage(member.join(mixed.select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "grp"), "members")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = member.where("band % 2 = 0").select("grp", block.alias("i"), every.alias("j"), F.col("node").alias("p"), F.col("size").alias("sp"), F.col("root").alias("rp"))
-    right = member.select("grp", every.alias("i"), block.alias("j"), F.col("node").alias("q"), F.col("size").alias("sq"), F.col("root").alias("rq"))
-    pairs = left.join(right, ["grp", "i", "j"]).where((F.col("rp") != F.col("rq")) & near("sp", "sq"))
-    return pairs.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-
-
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that another of their component represents; of repeated rows of the first one stays.
 
