@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, pack, partitions, split_by, stage, table, unpack, utf8_column
+from .common import U64, drop_staged, mix, pack, partitions, split_by, stage, table, unpack, utf8_column
 
 #: Bytes of the strings that count as repeated.
 LENGTH = 100
@@ -41,7 +41,7 @@ HOT = 200
 #: Bytes of text that a group of documents holds, and that a chunk holds, about.
 GROUP, CHUNK = 8 << 20, 4 << 20
 _WINDOW = LENGTH - Q + 1
-_BLOCK = 8 << 20
+_BLOCK = 2 << 20
 
 
 def words8(data: np.ndarray) -> np.ndarray:
@@ -411,6 +411,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bo
     names = rep.select(group(F.col("sha")), F.lit(1).alias("kind"), F.concat(F.unhex(F.lpad(F.hex(F.coalesce("id", last)), 16, "0")), F.unhex("sha")).alias("raw"))
     lists = stage(repeated(find_anchors(grouped, max(partitions(spark), size // (2 * GROUP)))), "repeated")
     chunks = stage(gather(grouped, lists.select("grp", F.lit(0).alias("kind"), "raw").unionByName(names)), "chunks")
+    drop_staged(lists)
     marks = stage(refine(contexts(chunks, max(partitions(spark), size // (2 * GROUP)))), "marks")
     done = results(chunks, marks, with_text)
     # a hot text's many rows meet one row of its smallest id: small rows, and adaptive execution splits the join
