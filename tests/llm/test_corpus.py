@@ -77,6 +77,13 @@ def test_jaccard_join(spark):
     assert sorted(map(tuple, got), key=str) == plain_components(rows)
 
 
+def test_jaccard_join_in_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rows = corpus()
+    got = jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(map(tuple, got), key=str) == plain_components(rows)
+
+
 def test_jaccard_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string, node string")
     assert jaccard_join.link(none).collect() == []
