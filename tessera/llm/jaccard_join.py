@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, drop_staged, mix, pack, partitions, split_by, stage, table, unpack, utf8_column
+from .common import U64, drop_staged, mix, pack, partitions, release, split_by, stage, table, unpack, utf8_column
 
 SHINGLE, PERCENT = 5, 80
 #: Share of H by which segments exceed what the pigeonhole principle needs.
@@ -277,6 +277,8 @@ def find_signatures(docs: DataFrame, buckets: int, population: dict[int, int]) -
                     held, n, seen = [], 0, set()
         if n:
             yield from flush(held)
+        held, seen = [], set()
+        release()
 
     return docs.select("body").mapInArrow(run, "bucket int, raw binary")
 
@@ -326,6 +328,8 @@ def groups(found: DataFrame) -> DataFrame:
         of = np.repeat(np.arange(len(first)), count)
         pick = chosen[of]
         of, doc = of[pick], doc[pick]
+        del sig, order, many, keep
+        release()
         columns = [group[of].view(np.int64), node[doc].view(np.int64), size[doc], band[doc] * 2 + role[doc], spare[doc], hot[of]]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 

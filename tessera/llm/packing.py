@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Memo, vocabulary
-from .common import partitions, stage, table
+from .common import partitions, release, stage, table
 
 #: Salted parts in which the pieces of a class are ranked.
 PARTS = 64
+#: Words a worker memoises within a task.
+WORDS = 300_000
 #: Columns that the linear program generates at most; it ends earlier when no pattern improves it.
 COLUMNS = 600
 
@@ -43,7 +45,7 @@ class WordBPE:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.words = Memo(self._one)
+        self.words = Memo(self._one, WORDS)
         #: What the whole library must see: special tokens, a final sigma, white space on which splitters differ, marks that NFC joins across.
         self.odd = regex.compile(r"<\||[\x1c-\x1f\x85Σİ᠎\p{M}ᄀ-ᇿ]").search
 
@@ -103,6 +105,8 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", en
                         ids.append(piece)
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total))]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, schema=arrow)
+        bpe.words.clear()  # the worker lives on
+        release()
 
     return kept.mapInArrow(run, schema)
 

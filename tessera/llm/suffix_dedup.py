@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, drop_staged, mix, pack, partitions, split_by, stage, table, unpack, utf8_column
+from .common import U64, drop_staged, mix, pack, partitions, release, split_by, stage, table, unpack, utf8_column
 
 #: Bytes of the strings that count as repeated.
 LENGTH = 100
@@ -40,6 +40,8 @@ Q = 16
 HOT = 200
 #: Bytes of text that a group of documents holds, and that a chunk holds, about.
 GROUP, CHUNK = 8 << 20, 4 << 20
+#: Bytes of contexts that are refined at a time.
+SLICE = 2 << 20
 _WINDOW = LENGTH - Q + 1
 _BLOCK = 2 << 20
 
@@ -213,6 +215,8 @@ def gather(docs: DataFrame, lists: DataFrame) -> DataFrame:
                     _, again, *_ = anchors(body, new)
                     rows.append((grp, pack({"id": ids[part], "sha": [sha[j] for j in part], "off": new, "data": body, "known": np.packbits(np.isin(again, rep)), "hot": np.packbits(np.isin(again, hot))}, True)))
                     part, size = [], 0
+        left = right = data = None
+        release()
         return pa.Table.from_batches([_emit(rows, schema)])
 
     schema = _schema("grp", "raw")
@@ -299,7 +303,8 @@ def refine(dealt: DataFrame) -> DataFrame:
         out = [(p["grp"], p["id"], p["tie"], p["from"], p["to"]) for p in parts if "from" in p]
         cold, hot = [p for p in parts if "h" in p], [p for p in parts if "w" in p]
         if cold:
-            out += marked(cold, *_refined(cold))
+            for part in _refined(cold):
+                out += marked(cold, *part)
         if hot:
             n = [len(p["w"]) for p in hot]
             w, start = (np.concatenate([p[k] for p in hot]) for k in ("w", "start"))
@@ -313,6 +318,8 @@ def refine(dealt: DataFrame) -> DataFrame:
         for g, some in by.items():
             i, t, s, e = (np.concatenate(x) for x in zip(*some, strict=True))
             rows.append((g, pack({"id": i, "tie": t, "from": s, "to": e}, True)))
+        del parts, cold, hot, out, by
+        release()
         return pa.Table.from_batches([_emit(rows, schema)])
 
     def marked(parts, part, doc, start, w):
@@ -333,11 +340,21 @@ def refine(dealt: DataFrame) -> DataFrame:
         return [(parts[k]["grp"], ids[d[i]], tie[d[i]], s[i], e[i]) for k, i in split_by(owner)]
 
     def _refined(parts):
+        """Refine in slices of the bucket: equal strings have the same anchor, so a slice has all or none of them."""
         data = np.concatenate([p["data"] for p in parts])
         n = np.concatenate([p["n"] for p in parts]).astype(np.int64)
         before, place, h, doc = (np.concatenate([p[k].astype(t) for p in parts]) for k, t in (("before", np.int64), ("place", np.int64), ("h", U64), ("doc", np.int64)))
         part = np.repeat(np.arange(len(parts)), [len(p["n"]) for p in parts])
         first = np.cumsum(n + LENGTH) - (n + LENGTH)  # of each context in data
+        for p in parts:
+            del p["data"]
+        slices = -(-len(data) // SLICE)
+        for _, own in split_by((h >> U64(40)).astype(np.int64) % slices):
+            at, _ = _spread(first[own], first[own] + n[own] + LENGTH - 1)
+            yield _slice(data[at], n[own], before[own], place[own], h[own], doc[own], part[own])
+
+    def _slice(data, n, before, place, h, doc, part):
+        first = np.cumsum(n + LENGTH) - (n + LENGTH)
         step, of = _spread(np.zeros(len(n), np.int64), n)
         at = first[of] + step
         g25 = grams(data, 25)
