@@ -129,3 +129,11 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: it does so once the driver has collected the plans that made them."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -34,13 +34,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, drop_staged, mix, pack, partitions, release, split_by, stage, table, unpack, utf8_column
+from .common import U64, drop_staged, free_shuffles, mix, pack, partitions, release, split_by, stage, table, unpack, utf8_column
 
 SHINGLE, PERCENT = 5, 80
 #: Share of H by which segments exceed what the pigeonhole principle needs.
-SPARE = 0.08
+SPARE = 0.1
 #: Distinct sets with a signature from which on it is hot.
-HOT = 40
+HOT = 12
 #: Members of a block; larger groups are compared in pairs of blocks.
 BLOCK = 2048
 #: Bits of a sketch.
@@ -494,6 +494,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     def aside(df: DataFrame, label: str) -> DataFrame:
         done.append(stage(df, label))
+        del df
+        free_shuffles(spark)
         return done[-1]
 
     held = stage(describe(docs), "sets")
