@@ -29,12 +29,22 @@ from .common import partitions, release, stage, table
 
 #: Salted parts in which the pieces of a class are ranked.
 PARTS = 64
-#: Words a worker memoises within a task.
-WORDS = 300_000
+#: Words a worker memoises before it starts anew.
+WORDS = 500_000
 #: Columns that the linear program generates at most; it ends earlier when no pattern improves it.
 COLUMNS = 600
 
 
+class Words(Memo):
+    """Ids of words; of letters with marks after them only the parts are kept, as the pattern splits there."""
+
+    def __missing__(self, word: str) -> bytes:
+        bare = word.rstrip(".,!?;:|*$%&#")
+        if bare != word and bare.isalpha():
+            return self[bare] + self[word[len(bare) :]]
+        return super().__missing__(word)
+
+
 class WordBPE:
     """A lower-casing tokenizer file; words repeat, so the library encodes each distinct one once."""
 
@@ -45,18 +55,13 @@ class WordBPE:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.words = Memo(self._one, WORDS)
+        self.words = Words(self._ids, WORDS)
         #: What the whole library must see: special tokens, a final sigma, white space on which splitters differ, marks that NFC joins across.
         self.odd = regex.compile(r"<\||[\x1c-\x1f\x85Σİ᠎\p{M}ᄀ-ᇿ]").search
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _one(self, word: str) -> bytes:
-        bare = word.rstrip(".,!?;:|*$%&#")
-        if bare != word and bare.isalpha():  # the pattern splits letters from what follows them
-            return self.words[bare] + self.words[word[len(bare) :]]
-        return self._ids(word)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -105,7 +110,6 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", en
                         ids.append(piece)
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total))]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, schema=arrow)
-        bpe.words.clear()  # the worker lives on
         release()
 
     return kept.mapInArrow(run, schema)
