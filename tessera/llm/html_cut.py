@@ -8,7 +8,8 @@ blocking flows) is the labelling of least total cost: a short block amid content
 wordy one amid boilerplate does not.
 
 Edge cases: a null or empty page has the empty text; markup that is not closed, closed twice or cut off
-is read as browsers do, roughly; text outside any element is a block; other columns are kept by
+is read as browsers do, roughly; scripts, styles and other raw text are no text of the page, and neither is
+what closed elements of HIDDEN hold; text outside any element is a block; other columns are kept by
 extract(); rows repeat as often as they come; an empty table gives an empty result.
 """
 
@@ -24,15 +25,20 @@ from pyspark.sql import functions as F
 from .common import table
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|canvas|math|textarea|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*|[^>]*)>|<[!?][^>]*>""",
+    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*|[^>]*)>|<[!?][^>]*>""",
     re.S | re.I,
 )
+#: Elements whose text browsers read as raw up to the end tag, or the end of the page; it is not shown.
+RAW = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>|\Z", re.I) for x in "script style noscript iframe textarea title".split()}
+#: Elements that show nothing of the markup inside, where they are closed.
+HIDDEN = frozenset("template svg object canvas".split())
 _NAMES = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Elements that end a block of text; what opens in them closes with them.
 CONTAINERS = frozenset("html body main article section nav header footer aside div form fieldset table thead tbody tfoot tr ul ol dl menu dialog figure details blockquote select button label".split())
 BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre hr option summary figcaption caption legend address center optgroup".split())
+#: Tags that end an svg that was not closed.
+BREAKOUT = BREAKS | frozenset("b big br code em embed i img meta nobr ruby s small span strong strike sub sup tt u var".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 #: Elements and words of names that speak against content, and for it.
 BAD_TAGS = frozenset("nav footer aside form menu dialog select button label fieldset head".split())
@@ -52,6 +58,37 @@ ADJACENT, SIBLING, COUSIN = 0.15, 0.9, 0.35
 _SCALE = 1000
 
 
+def tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, whether it is an end tag, attributes) of all markup; raw text and what closed elements hide are one token, without a tag as comments are."""
+    out: list = []
+    opened: dict[str, list[int]] = {x: [] for x in HIDDEN}
+    hidden: dict[int, int] = {}
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        tag, end, attrs = (m["tag"] or "").lower(), bool(m["end"]), m["attrs"] or ""
+        if tag in BREAKOUT:
+            opened["svg"].clear()
+        if tag in RAW and not end and not (opened["svg"] and attrs.endswith("/")):
+            at = RAW[tag].search(page, at).end()
+            tag = ""
+        elif tag in HIDDEN:
+            if end:
+                if opened[tag]:
+                    hidden[opened[tag].pop()] = len(out)
+            elif not (tag == "svg" and attrs.endswith("/")):
+                opened[tag].append(len(out))
+        out.append((m.start(), at, tag, end, attrs))
+    if not hidden:
+        return out
+    shown, k = [], 0
+    while k < len(out):
+        last = hidden.get(k, k)
+        shown.append((out[k][0], out[last][1], "", False, "") if last > k else out[k])
+        k = last + 1
+    return shown
+
+
 def blocks(page: str) -> list[tuple[str, dict[str, float], tuple[int, ...]]]:
     """(text, inputs of the classifier, ids of the elements around it from the outermost) of all blocks in page order."""
     out: list = []
@@ -73,22 +110,20 @@ def blocks(page: str) -> list[tuple[str, dict[str, float], tuple[int, ...]]]:
             text = []
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    for start, stop, tag, end, attrs in tokens(page):
+        if start > at:
+            piece = page[at:start]
             text.append(piece)
             if links:
                 linked += len(piece)
-        at = m.end()
-        tag = m["tag"]
+        at = stop
         if not tag:
             continue
-        tag = tag.lower()
         if tag == "a":
-            links = 0 if m["end"] else 1
+            links = 0 if end else 1
         elif tag in BREAKS:
             flush()
-            if m["end"]:
+            if end:
                 leaf = ""
                 if tag in CONTAINERS:
                     for k in range(len(stack) - 1, 0, -1):
@@ -102,8 +137,8 @@ def blocks(page: str) -> list[tuple[str, dict[str, float], tuple[int, ...]]]:
                     number += 1
                     _, _, bad, good = stack[-1]
                     names = set()
-                    if m["attrs"] and "=" in m["attrs"]:
-                        for n in _NAMES.findall(m["attrs"]):
+                    if "=" in attrs:
+                        for n in _NAMES.findall(attrs):
                             names.update(_WORD.findall("".join(n).lower()))
                     inside = good and tag == "header"  # an article's own heading
                     wide = tag in ("html", "body")

@@ -234,3 +234,20 @@ def test_html(spark):
     assert html_cut.extract(rows.limit(0)).collect() == []
     deep = "<article>" + "<div>" * 3000 + "<p>" + "long text here. " * 200000 + "</article>"
     assert len(html_cut.main_text(deep)) == 16 * 200000 - 1
+
+
+ARTICLE = "<article><p>One sentence of the article, long enough to be read.</p><p>Another sentence of it, which is also long enough.</p></article>"
+ARTICLE_TEXT = "One sentence of the article, long enough to be read. Another sentence of it, which is also long enough."
+
+
+def test_html_raw_elements():
+    nav = lambda x: html_cut.main_text(f"<body><nav>{x}</nav>{ARTICLE}</body>")
+    for x in ('<svg-icon name="m"></svg-icon>', "<title-bar></title-bar>", "<object-x>", "<svg class=i/>", "<math/>", "<svg><path d=x>", "<svg><style/></svg>", "<template>", "<object data=x>", "<canvas>"):
+        assert nav(x) == ARTICLE_TEXT, x
+        assert html_cut.main_text(f"<body><nav>{x}</nav>{ARTICLE}<svg></svg><object></object><canvas></canvas><template></template></body>") == ARTICLE_TEXT, x
+    inside = lambda x: html_cut.main_text(f"<article><p>It is known that {x} holds for all of these numbers.</p></article>")
+    assert inside("<math><mi>a</mi><mo>=</mo><mi>b</mi></math>") == "It is known that a=b holds for all of these numbers."
+    for x in ("<svg><g><svg><text>in</text></svg><text>out</text></g></svg>", "<SCRIPT>if (a</b) x='<p>'</script >", "<style>p{}</style>", "<template><p>not yet</p></template>", "<canvas><p>old</p></canvas>", "<iframe src=x><p>old</iframe>"):
+        assert inside(x) == "It is known that holds for all of these numbers.", x
+    assert html_cut.main_text(f"{ARTICLE}<script>never closed <p>x</p>") == ARTICLE_TEXT
+    assert html_cut.main_text("<article>" + "<svg><template>" * 100000 + "<p>One sentence, long enough to be read.</p></article>") == "One sentence, long enough to be read."
