@@ -51,6 +51,16 @@ BAD_WORDS = frozenset(
     "form search social share sharing follow like comment comments commentlist disqus reply replies respond discussion feedback reviews".split()
 )
 GOOD_WORDS = frozenset("article articles content post entry story body main text maincontent articlebody blogpost".split())
+#: Bad words that an article's own parts have in their names too; they don't speak against what is inside one.
+SOFT_WORDS = frozenset("more notice notices alert warning disclaimer top bottom side tabs feedback discussion reviews legal".split())
+#: Names "has-sidebar" and "no-header" tell of the layout, not of what is inside.
+_LAYOUT = re.compile(r"(?<![a-z])(?:has|no|not|with|without|hide|hides|show|shows)[-_]+[\w-]+")
+#: An article in one of these, or in an element named only so or one of FIRM_WORDS, is a teaser or a comment; any other is content whatever holds it.
+FIRM_TAGS = frozenset("nav footer aside menu dialog select button label".split())
+FIRM_NAMES = frozenset("sidebar rail footer nav menu ads".split())
+FIRM_WORDS = frozenset("comment comments commentlist disqus reply replies related recommended recommendations trending popular widget widgets outbrain taboola".split())
+#: What is in a page-wide form, but not in one to fill in.
+PAGE_PARTS = frozenset("article main nav header footer aside".split())
 #: Weights of the classifier's inputs.
 WEIGHTS = {"bias": -0.2, "bad": -6.0, "good": 3.2, "links": -3.5, "length": 0.9, "heading": 0.4, "sentence": 0.6, "list": -0.4}
 #: Capacities of edges: between neighbours in page order, more in the same element, and in the same grandparent.
@@ -89,10 +99,37 @@ def tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
     return shown
 
 
+def wrappers(found: list[tuple[int, int, str, bool, str]]) -> set[int]:
+    """Numbers of the start tags among found that hold a main element, or are forms around parts of a page."""
+    out: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    mains = parts = 0  # how many open elements, from the outermost, are known to hold them
+    for k, (_, _, tag, end, _) in enumerate(found):
+        if tag not in CONTAINERS:
+            continue
+        if end:
+            for j in range(len(stack) - 1, -1, -1):
+                if stack[j][0] == tag:
+                    del stack[j:]
+                    mains, parts = min(mains, j), min(parts, j)
+                    break
+            continue
+        if tag == "main":
+            out.update(n for _, n in stack[mains:])
+            mains = len(stack)
+        if tag in PAGE_PARTS:
+            out.update(n for t, n in stack[parts:] if t == "form")
+            parts = len(stack)
+        stack.append((tag, k))
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, dict[str, float], tuple[int, ...]]]:
     """(text, inputs of the classifier, ids of the elements around it from the outermost) of all blocks in page order."""
     out: list = []
-    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, id, bad, good
+    stack: list[tuple[str, int, int, int, bool]] = [("", 0, 0, 0, False)]  # tag, id, bad, good, whether an article inside stays bad
+    found = tokens(page)
+    around = wrappers(found)
     text: list[str] = []
     linked = links = 0
     leaf, number, at = "", 0, 0
@@ -102,7 +139,7 @@ def blocks(page: str) -> list[tuple[str, dict[str, float], tuple[int, ...]]]:
         if text:
             words = " ".join(html.unescape("".join(text)).split())
             if words:
-                _, _, bad, good = stack[-1]
+                _, _, bad, good, _ = stack[-1]
                 n = len(words)
                 share = min(1.0, linked / n)
                 x = {"bad": float(min(bad, 2)), "good": float(min(good, 1)) if not bad else 0.0, "links": share, "length": min(1.5, math.log10(n) - 1), "heading": float(leaf in ("h1", "h2", "h3") and not bad), "sentence": float(words[-1] in ".!?…\"”»"), "list": float(leaf in ("li", "dt", "dd", "option"))}
@@ -110,7 +147,7 @@ def blocks(page: str) -> list[tuple[str, dict[str, float], tuple[int, ...]]]:
             text = []
         linked = 0
 
-    for start, stop, tag, end, attrs in tokens(page):
+    for k, (start, stop, tag, end, attrs) in enumerate(found):
         if start > at:
             piece = page[at:start]
             text.append(piece)
@@ -126,25 +163,33 @@ def blocks(page: str) -> list[tuple[str, dict[str, float], tuple[int, ...]]]:
             if end:
                 leaf = ""
                 if tag in CONTAINERS:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == tag:
-                            del stack[k:]
+                    for j in range(len(stack) - 1, 0, -1):
+                        if stack[j][0] == tag:
+                            del stack[j:]
                             break
             else:
                 links = 0
                 leaf = tag
                 if tag in CONTAINERS and tag not in VOID:
                     number += 1
-                    _, _, bad, good = stack[-1]
-                    names = set()
+                    _, _, bad, good, firm = stack[-1]
+                    names, whole = set(), set()
                     if "=" in attrs:
                         for n in _NAMES.findall(attrs):
-                            names.update(_WORD.findall("".join(n).lower()))
+                            name = _LAYOUT.sub(" ", "".join(n).lower())
+                            names.update(_WORD.findall(name))
+                            whole.update(name.split())
                     inside = good and tag == "header"  # an article's own heading
-                    wide = tag in ("html", "body")
-                    bad += not wide and (tag in BAD_TAGS or (tag == "header" and not inside) or bool(names & BAD_WORDS) and not (inside or (tag in GOOD_TAGS and not names & {"comment", "comments", "reply"})))
+                    wide = tag in ("html", "body") or k in around and tag not in FIRM_TAGS
+                    if tag == "main" or tag == "article" and not firm:
+                        bad, firm = 0, False
+                    against = names & BAD_WORDS
+                    if good and not bad:
+                        against -= SOFT_WORDS
+                    bad += not wide and (tag in BAD_TAGS or (tag == "header" and not inside) or bool(against) and not (inside or (tag in GOOD_TAGS and not names & {"comment", "comments", "reply"})))
                     good += tag in GOOD_TAGS or (not wide and not bad and bool(names & GOOD_WORDS))
-                    stack.append((tag, number, bad, good))
+                    firm = firm or not wide and tag not in GOOD_TAGS and (tag in FIRM_TAGS or bool(names & FIRM_WORDS or whole & FIRM_NAMES))
+                    stack.append((tag, number, bad, good, firm))
         elif tag == "br":
             text.append(" ")
     if at < len(page):

@@ -251,3 +251,21 @@ def test_html_raw_elements():
         assert inside(x) == "It is known that holds for all of these numbers.", x
     assert html_cut.main_text(f"{ARTICLE}<script>never closed <p>x</p>") == ARTICLE_TEXT
     assert html_cut.main_text("<article>" + "<svg><template>" * 100000 + "<p>One sentence, long enough to be read.</p></article>") == "One sentence, long enough to be read."
+
+
+def test_html_wrapped_articles():
+    side = '<div class="sidebar"><article><p>Teaser of some other story, long enough to be read.</p></article></div>'
+    for wrap in ('<div class="page has-sidebar">{}</div>', '<div class="wrapper no-header">{}</div>', '<div class="sidebar-layout">{}</div>', '<form id=form1><header>Site</header>{}</form>', "<form id=aspnetForm><div>{}</div></form>", '<div class="top"><div id="footer-pushed">{}</div></div>'):
+        for text in (ARTICLE, ARTICLE.replace("article>", "main>"), f"<main>{ARTICLE}</main>"):
+            assert html_cut.main_text("<body>" + wrap.format(text + side) + "</body>") == ARTICLE_TEXT, wrap
+    assert html_cut.main_text(f'<form id=form1><nav>Home</nav><div class="content">{ARTICLE[9:-10]}</div></form>') == ARTICLE_TEXT
+    assert html_cut.main_text(f'<div class="with-sidebar"><div class="content">{ARTICLE[9:-10]}</div></div>') == ARTICLE_TEXT
+    two = f'<div class="has-sidebar">{ARTICLE}</div><div class="has-sidebar">{ARTICLE}</div>'
+    assert html_cut.main_text(two) == f"{ARTICLE_TEXT} {ARTICLE_TEXT}"
+    for name in ("read-more", "warning", "notice"):
+        assert html_cut.main_text(f'<article><div class="{name}">{ARTICLE[9:-10]}</div></article>') == ARTICLE_TEXT, name
+    for x in (side, side.replace('div class="sidebar"', "aside").replace("/div", "/aside"), side.replace("sidebar", "related-posts"), '<section class="comments"><article><p>Great, I like this very much indeed, thank you!</p></article></section>', "<form><label>Name</label><p>Write to us, we will answer as soon as we can.</p></form>"):
+        assert html_cut.main_text(f"<body>{ARTICLE}{x}</body>") == ARTICLE_TEXT, x
+    assert html_cut.main_text(f'<body><div class="cookie-notice"><p>We use cookies to improve the site and your experience.</p></div>{ARTICLE}</body>') == ARTICLE_TEXT
+    deep = "<div>" * 20000 + "<form><main>" * 2000 + "<p>One sentence, long enough to be read.</p>"
+    assert html_cut.main_text(deep) == "One sentence, long enough to be read."
