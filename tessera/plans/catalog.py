@@ -363,7 +363,7 @@ def skip_propagation(spark, sf):
 @query("""WITH o AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS p FROM lineitem WHERE l_quantity > 45) SELECT a.id AS a, b.id AS b, string_agg(CAST(a.p AS VARCHAR), ', ' ORDER BY CAST(a.p AS VARCHAR)) AS shared FROM o a JOIN o b ON a.p = b.p AND a.id < b.id
 WHERE NOT (b.id = a.id + 1) GROUP BY ALL""")
 def ownership_conflicts(spark, sf):
-    l = t(spark, sf, "lineitem").where("l_quantity > 45")
+    l = t(spark, sf, "lineitem")
     owned = l.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").cast("string").alias("path"))
     chain = owned.select("id").distinct().select(F.col("id"), (F.col("id") - 1).alias("anc"))
     return graph.ownership_conflicts(owned, chain)
