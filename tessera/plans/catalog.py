@@ -82,7 +82,7 @@ def split_disjoint(spark, sf):
 
 @query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id FROM labels WHERE quality = 1 UNION ALL SELECT doc_id FROM labels WHERE quality = 1) GROUP BY doc_id")
 def oversample_seed_union(spark, sf):
-    train = t(spark, sf, "documents").where("doc_id % 3 <> 0").select("doc_id")
+    train = t(spark, sf, "documents").select("doc_id")
     seeds = t(spark, sf, "labels").where("quality = 1").select("doc_id")
     return curation.oversample(train, seeds).groupBy("doc_id").agg(F.count("*").alias("n"))
 

@@ -18,3 +18,8 @@ def test_ownership_conflicts_of_all_lines(spark, tmp_path):
         owned[o].add(str(p))
     want = [(a, b, ", ".join(sorted(owned[a] & owned[b]))) for a in owned for b in owned if a < b and b != a + 1 and owned[a] & owned[b]]
     assert rows(spark, tmp_path, "ownership_conflicts", lineitem=(lines, "l_orderkey long, l_partkey long, l_quantity double")) == sorted(want)
+
+
+def test_oversample_into_all_documents(spark, tmp_path):
+    docs, labels = ([(i,) for i in range(10)], "doc_id long"), ([(i, i % 4) for i in range(10)], "doc_id long, quality int")
+    assert rows(spark, tmp_path, "oversample_seed_union", documents=docs, labels=labels) == [(i, 1 + 2 * (i % 4 == 1)) for i in range(10)]
