@@ -180,8 +180,9 @@ def pass_at_k_by_type(spark, sf):
 _RATES = "SELECT event_type AS suite, round(avg(CAST(value > 50 AS INT)), 4) AS pass_at_1 FROM events WHERE event_id % 2 = {0} GROUP BY ALL"
 
 
-def _rates(spark, sf, part):
-    return t(spark, sf, "events").where(F.col("event_id") % 2 == part).groupBy(F.col("event_type").alias("suite")).agg(F.round(F.avg((F.col("value") > 50).cast("int")), 4).alias("pass_at_1"))
+def _rates(spark, sf, part=None):
+    e = t(spark, sf, "events")
+    return (e if part is None else e.where(F.col("event_id") % 2 == part)).groupBy(F.col("event_type").alias("suite")).agg(F.round(F.avg((F.col("value") > 50).cast("int")), 4).alias("pass_at_1"))
 
 
 @query(f"SELECT a.suite, round(a.pass_at_1 / b.pass_at_1, 4) AS share FROM ({_RATES.format(0)}) a JOIN ({_RATES.format(1)}) b USING (suite) WHERE b.pass_at_1 <> 0")
@@ -191,7 +192,7 @@ def share_of_ref(spark, sf):
 
 @query(f"SELECT round(avg(pass_at_1), 4) AS mean_pass_at_1 FROM ({_RATES.format(0)})")
 def macro_mean(spark, sf):
-    return evaluation.macro_mean(_rates(spark, sf, 0))
+    return evaluation.macro_mean(_rates(spark, sf))
 
 
 @query("""SELECT event_type AS suite, CASE WHEN value > 50 THEN 'pass' WHEN value > 25 THEN 'timeout' ELSE 'test_failed' END AS status, count(*) AS n FROM events GROUP BY ALL""")
@@ -228,7 +229,7 @@ def normalise_clip(spark, sf):
 
 @query("""WITH m AS (SELECT s_nationkey AS layer, avg(s_acctbal) AS x FROM supplier WHERE s_nationkey % 3 <> 0 GROUP BY ALL) SELECT n_nationkey AS layer, round(coalesce(x, (SELECT avg(x) FROM m)), 4) AS x FROM nation LEFT JOIN m ON layer = n_nationkey""")
 def layer_fill_missing(spark, sf):
-    m = t(spark, sf, "supplier").where("s_nationkey % 3 <> 0").groupBy(F.col("s_nationkey").alias("layer")).agg(F.avg("s_acctbal").alias("x"))
+    m = t(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("layer")).agg(F.avg("s_acctbal").alias("x"))
     layers = t(spark, sf, "nation").select(F.col("n_nationkey").alias("layer"))
     return evaluation.fill_layers(m, layers, "layer", "x").select("layer", F.round("x", 4).alias("x"))
 

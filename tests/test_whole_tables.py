@@ -23,3 +23,16 @@ def test_ownership_conflicts_of_all_lines(spark, tmp_path):
 def test_oversample_into_all_documents(spark, tmp_path):
     docs, labels = ([(i,) for i in range(10)], "doc_id long"), ([(i, i % 4) for i in range(10)], "doc_id long, quality int")
     assert rows(spark, tmp_path, "oversample_seed_union", documents=docs, labels=labels) == [(i, 1 + 2 * (i % 4 == 1)) for i in range(10)]
+
+
+def test_macro_mean_of_all_events(spark, tmp_path):
+    events = [(0, "a", 90.0), (1, "a", 10.0), (2, "b", 90.0), (3, "b", 80.0), (5, "c", 10.0)]
+    assert rows(spark, tmp_path, "macro_mean", events=(events, "event_id long, event_type string, value double")) == [(0.5,)]
+    parts = [(0, "a", 90.0), (2, "a", 10.0), (1, "a", 90.0), (3, "a", 80.0)]
+    assert rows(spark, tmp_path, "share_of_ref", events=(parts, "event_id long, event_type string, value double")) == [("a", 0.5)]
+
+
+def test_layers_of_all_suppliers(spark, tmp_path):
+    suppliers = ([(0, 10.0), (0, 20.0), (1, 5.0), (3, 100.0)], "s_nationkey int, s_acctbal double")
+    got = rows(spark, tmp_path, "layer_fill_missing", supplier=suppliers, nation=([(k,) for k in range(5)], "n_nationkey int"))
+    assert got == [(0, 15.0), (1, 5.0), (2, 40.0), (3, 100.0), (4, 40.0)]
