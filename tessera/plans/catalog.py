@@ -114,7 +114,7 @@ def prompt_response_pairs(spark, sf):
 def masked_examples(spark, sf):
     words = F.split("text", " ")
     ids = F.transform(words, lambda w: F.length(w))
-    rows = t(spark, sf, "benchmark").select("item_id", curation.mask_prompt(F.slice(ids, 1, 8), F.slice(ids, 9, 99999), 12).alias("e"))
+    rows = t(spark, sf, "benchmark").select("item_id", curation.mask_prompt(F.slice(ids, 1, 8), F.slice(ids, 9, F.size(ids)), 2048).alias("e"))
     return rows.select("item_id", F.size("e.input_ids").cast("long").alias("cut"), F.array_join(F.transform("e.labels", lambda x: x.cast("string")), ",").alias("labels"), curation.bears_loss(F.col("e.labels")).alias("bears_loss"))
 
 

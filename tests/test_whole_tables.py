@@ -36,3 +36,13 @@ def test_layers_of_all_suppliers(spark, tmp_path):
     suppliers = ([(0, 10.0), (0, 20.0), (1, 5.0), (3, 100.0)], "s_nationkey int, s_acctbal double")
     got = rows(spark, tmp_path, "layer_fill_missing", supplier=suppliers, nation=([(k,) for k in range(5)], "n_nationkey int"))
     assert got == [(0, 15.0), (1, 5.0), (2, 40.0), (3, 100.0), (4, 40.0)]
+
+
+def test_masked_examples_up_to_2048(spark, tmp_path):
+    texts = [" ".join("x" * (i % 7 + 1) for i in range(n)) for n in (3, 8, 9, 13, 2048, 2049, 5000)]
+    got = rows(spark, tmp_path, "masked_examples", benchmark=(list(enumerate(texts)), "item_id long, text string"))
+    want = []
+    for k, s in enumerate(texts):
+        labels = ([-100] * len(s.split(" ")[:8]) + [len(w) for w in s.split(" ")[8:]])[:2048]
+        want.append((k, len(labels), ",".join(map(str, labels)), any(x != -100 for x in labels[1:])))
+    assert got == want
