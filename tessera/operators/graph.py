@@ -46,19 +46,25 @@ def in_cycles(closure: DataFrame) -> DataFrame:
     return closure.where("id = anc").select("id").distinct()
 
 
-def cycle_paths(edge: DataFrame, longest: int = 64) -> DataFrame:
-    """A path id -> ... -> id for every cycle through its smallest id; only ids in cycles are walked."""
+def cycle_paths(edge: DataFrame) -> DataFrame:
+    """A path id -> ... -> id for every cycle through its smallest id; only ids in cycles are walked.
+
+    Paths don't repeat ids, so the walk ends. Checkpoints cut the lineage.
+    """
     inside = in_cycles(ancestors(edge))
     e = edge.join(inside, "id", "left_semi").join(inside.select(F.col("id").alias("dep")), "dep", "left_semi")
     step = e.select(F.col("id").alias("__from"), F.col("dep").alias("__to"))
     walk = e.where("dep >= id").select(F.col("id").alias("start"), F.array("id", "dep").alias("path"))
     found = walk.where("element_at(path, -1) = start")
     walk = walk.where("element_at(path, -1) <> start")
-    for _ in range(longest):
-        if walk.isEmpty():
-            break
+    saves = edge.sparkSession.sparkContext.getCheckpointDir()
+    if saves:
+        step = step.checkpoint()
+    while not walk.isEmpty():
         more = walk.join(step, F.element_at("path", -1) == F.col("__from")).where("__to = start or (__to > start and not array_contains(path, __to))")
         more = more.select("start", F.concat("path", F.array("__to")).alias("path"))
+        if saves:
+            more = more.checkpoint()
         found = found.unionByName(more.where("element_at(path, -1) = start"))
         walk = more.where("element_at(path, -1) <> start")
     return found.select("path")

@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+from tessera.operators import graph
 from tessera.plans import catalog
 
 
@@ -46,3 +47,9 @@ def test_masked_examples_up_to_2048(spark, tmp_path):
         labels = ([-100] * len(s.split(" ")[:8]) + [len(w) for w in s.split(" ")[8:]])[:2048]
         want.append((k, len(labels), ",".join(map(str, labels)), any(x != -100 for x in labels[1:])))
     assert got == want
+
+
+def test_cycle_paths_of_long_cycles(spark):
+    ids = [f"t{k:03}" for k in range(70)]
+    edge = spark.createDataFrame([*zip(ids, ids[1:] + ids[:1], strict=True), ("x", "t000"), ("y", "z"), ("z", "y")], "id string, dep string")
+    assert sorted(r["path"] for r in graph.cycle_paths(edge).collect()) == [[*ids, "t000"], ["y", "z", "y"]]
