@@ -1,4 +1,4 @@
-"""Blocks of vectors: a stated query set against all rows, block by block."""
+"""Vectors that take part in a search, and blocks of them: a stated query set against all rows, block by block."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack, partitions
+from .common import pack
 
-#: Rows of a block and queries of a block.
-ROWS, QUERIES = 8192, 1024
+#: Numbers in a block: its rows are so many by the dimension, whatever the cluster's settings.
+NUMBERS = 1 << 18
 
 
 def usable(df: DataFrame, key: str, vector: str, zero: bool) -> DataFrame:
@@ -25,6 +25,14 @@ def usable(df: DataFrame, key: str, vector: str, zero: bool) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
 
 
+def matrix(column, dim: int) -> np.ndarray:
+    """The rows of an Arrow list column of vectors of dim components."""
+    import pyarrow as pa
+
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+
+
 def packed(rows: DataFrame, key: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """rows (key, dim, vec_id, v, extra) to (key, dim, raw): one row a block."""
     import pyarrow as pa
@@ -32,16 +40,16 @@ def packed(rows: DataFrame, key: str, extra: tuple[str, ...] = ()) -> DataFrame:
     def work(t):
         dim = t.column("dim")[0].as_py()
         order = np.argsort(t.column("vec_id").to_numpy())
-        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, dim)
+        flat = matrix(t.column("v"), dim)
         blob = pack({"id": t.column("vec_id").to_numpy()[order], "v": flat[order]} | {c: t.column(c).to_numpy()[order] for c in extra})
         return pa.table({key: pa.array([t.column(key)[0].as_py()], pa.int32()), "dim": pa.array([dim], pa.int32()), "raw": pa.array([blob], pa.binary())})
 
     return rows.groupBy(key, "dim").applyInArrow(work, f"{key} int, dim int, raw binary")
 
 
-def counts(spark, n_rows: int, n_queries: int) -> tuple[int, int]:
-    """Numbers of row blocks and of query blocks."""
-    return max(2 * partitions(spark), -(-n_rows // ROWS)), max(1, -(-n_queries // QUERIES))
+def blocks(rows: DataFrame) -> int:
+    """How many blocks hold rows (dim, ...)."""
+    return max(1, -(-int(rows.agg(F.sum("dim")).first()[0] or 0) // NUMBERS))
 
 
 def block_of(column: str, n: int):

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import histogram_topk, jaccard_join, lsh_forest, quality_gam, suffix_dedup
 
@@ -202,15 +203,52 @@ def test_nearest_neighbours(spark):
     hit = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in got)
     assert hit >= 0.9 * sum(map(len, want.values()))
     assert all(x == sorted(x) for x in got.values())
-    whole = lsh_forest.search(spark.createDataFrame(rows, VECTORS), "vec_id % 100 = 0", 10, share=1e9)  # everything is compared
+    whole = lsh_forest.search(spark.createDataFrame(rows, VECTORS), "vec_id % 100 = 0", 10, work=1e9)  # everything is compared
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in whole.collect()} == {(q, k + 1, i) for q in want for k, (_, i) in enumerate(want[q])}
 
 
-def test_ascent_widens_to_the_empty_prefix():
-    index = np.array([[0, 1, 2, 3]], np.uint64)
-    assert [sorted(c.tolist()) for c in lsh_forest.candidates(index, np.array([[3]], np.uint64), 1)] == [[3]]
-    assert [sorted(c.tolist()) for c in lsh_forest.candidates(index, np.array([[3]], np.uint64), 2)] == [[2, 3]]
-    assert [sorted(c.tolist()) for c in lsh_forest.candidates(index, np.array([[3]], np.uint64), 3)] == [[0, 1, 2, 3]]
+def test_nearest_neighbours_of_few_and_none(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0], "x"), (100, [1.0, 0.0], None), (7, [0.0, 1.0], "y"), (200, [5.0], None)], VECTORS)
+    got = {tuple(r) for r in lsh_forest.search(rows, "vec_id % 100 = 0", 10).collect()}
+    far = float(np.sqrt(2.0))
+    assert got == {(0, 1, 100, 0.0), (0, 2, 7, far), (100, 1, 0, 0.0), (100, 2, 7, far)}
+    assert lsh_forest.search(rows.limit(0), "vec_id % 100 = 0", 10).collect() == []
+
+
+def test_many_copies_of_a_vector(spark):
+    copies = [(i, [0.5, 0.25, 1.0], None) for i in range(700)] + [(1000 + i, [float(i), 1.0, 0.0], None) for i in range(50)]
+    got = lsh_forest.search(spark.createDataFrame(copies, VECTORS), "vec_id % 100 = 0", 3).collect()
+    near = {q: sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q) for q in (0, 100, 600)}
+    assert near == {0: [(1, 1), (2, 2), (3, 3)], 100: [(1, 0), (2, 1), (3, 2)], 600: [(1, 0), (2, 1), (3, 2)]}
+
+
+def test_ascent_stops_where_a_plain_one_does(spark, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "ROWS", 64)  # several buckets for each tree
+    rows = spark.createDataFrame([(i, v, None) for i, v, _ in vectors()[:900]], VECTORS).select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.lit(8).alias("dim"))
+    forests = lsh_forest.fit(rows, 12, 2.0, 3)
+    f = forests[8]
+    assert f.prefix > 0
+    asked = rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    counts = lsh_forest.cells(rows, forests)
+    got = {r["query_id"]: (r["level"], r["trees"]) for r in lsh_forest.ascend(lsh_forest.counted(counts, lsh_forest.entries(asked, forests, ("query_id",), False), forests), forests).collect()}
+    ids = [r["vec_id"] for r in rows.collect()]
+    strings = [[format(x, f"0{lsh_forest.BITS}b") for x in tree] for tree in f.strings(np.array([r["v"] for r in rows.collect()])).tolist()]
+    for q in got:
+        at = ids.index(q)
+        held = [0] * 12
+        for level in range(f.length, -1, -1):
+            for t in range(12):
+                held[t] = sum(x.startswith(strings[t][at][:level]) for x in strings[t])
+                if sum(held) >= f.least:
+                    break
+            if sum(held) >= f.least:
+                break
+        assert got[q] == (level, 12 if level == f.length else t + 1)
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    with pytest.raises(OverflowError):
+        histogram_topk.search(spark.createDataFrame([(0, [1e30], None), (1, [1e30], None)], VECTORS), "vec_id = 0", 5)
 
 
 def test_quality(spark):
