@@ -18,35 +18,35 @@ is carried along; an empty table gives no piece; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Memo, vocabulary
+from .bpe import vocabulary
 from .common import partitions, release, stage, table
 
 #: Salted parts in which the pieces of a class are ranked.
 PARTS = 64
-#: Words a worker memoises before it starts anew.
-WORDS = 500_000
+#: Words of each of two generations that a worker memoises: the older one goes when the newer is full.
+WORDS = 400_000
+#: Characters of the texts that are encoded together.
+TOGETHER = 1 << 21
 #: Columns that the linear program generates at most; it ends earlier when no pattern improves it.
 COLUMNS = 600
 
 
-class Words(Memo):
-    """Ids of words; of letters with marks after them only the parts are kept, as the pattern splits there."""
-
-    def __missing__(self, word: str) -> bytes:
-        bare = word.rstrip(".,!?;:|*$%&#")
-        if bare != word and bare.isalpha():
-            return self[bare] + self[word[len(bare) :]]
-        return super().__missing__(word)
+class WordBPE:
+    """A lower-casing tokenizer file; words repeat, so the library sees each word of a stretch of texts once at most.
 
+    Words of letters alone are one pre-token each, so the library encodes many of them as one text, and
+    their ids are told apart by the token that ends a word. Marks after letters are a pre-token of their own.
+    """
 
-class WordBPE:
-    """A lower-casing tokenizer file; words repeat, so the library encodes each distinct one once."""
+    MARKS = ".,!?;:|*$%&#"
 
     def __init__(self, path: str) -> None:
         import regex
@@ -55,20 +55,57 @@ class WordBPE:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.words = Words(self._ids, WORDS)
+        suffix = json.load(open(path, encoding="utf-8"))["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         #: What the whole library must see: special tokens, a final sigma, white space on which splitters differ, marks that NFC joins across.
         self.odd = regex.compile(r"<\||[\x1c-\x1f\x85Σİ᠎\p{M}ᄀ-ᇿ]").search
-
-    def _ids(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if self.odd(text):
-            return self._ids(text)
-        words = self.words
-        return b"".join([words[w] for w in text.lower().split()])
+        self.odd_ascii = re.compile(r"<\||[\x1c-\x1f]").search
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: set[str]) -> None:
+        """Memoise all of words, which are in neither generation."""
+        letters = [w for w in words if w.isalpha()]
+        for at in range(0, len(letters), 4096):
+            part = letters[at : at + 4096]
+            ids = self._ids(" ".join(part))
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(part):
+                raw, at_byte = ids.tobytes(), (4 * stop).tolist()
+                self.new.update(zip(part, [raw[a:b] for a, b in zip([0, *at_byte], at_byte)], strict=False))
+            else:  # a letter that normalisation takes apart
+                self.new.update((w, self._ids(w).tobytes()) for w in part)
+        self.new.update((w, self._ids(w).tobytes()) for w in words.difference(letters))
+
+    def _know(self, words: set[str]) -> None:
+        """Have all of words in the newer generation."""
+        if len(self.new) > WORDS:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        lacking = words.difference(new)
+        again = lacking.intersection(old)
+        new.update(zip(again, map(old.__getitem__, again), strict=True))
+        lacking -= again
+        marked = []  # letters with marks after them
+        for w in lacking:
+            if w[-1] in self.MARKS and (bare := w.rstrip(self.MARKS)).isalpha():
+                marked.append((w, bare, w[len(bare) :]))
+        parts = {x for _, *pair in marked for x in pair}.difference(new)
+        again = parts.intersection(old)
+        new.update(zip(again, map(old.__getitem__, again), strict=True))
+        self._learn(lacking.difference([m[0] for m in marked]) | (parts - again))
+        new.update([(w, new[bare] + new[marks]) for w, bare, marks in marked])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        split = [None if (self.odd_ascii if t.isascii() else self.odd)(t) else t.lower().split() for t in texts]
+        self._know(set().union(*(w for w in split if w)))
+        look = self.new.__getitem__
+        return [self._ids(t).tobytes() if w is None else b"".join(map(look, w)) for t, w in zip(texts, split, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -87,6 +124,18 @@ def cuts(n: int, length: int, grain: int) -> list[tuple[int, int]]:
     return out
 
 
+def encoded(column, bpe: WordBPE):
+    """The ids of each text of an Arrow column, a stretch of texts at a time."""
+    held, size = [], 0
+    for t in column:
+        held.append(t.as_py() or "")
+        size += len(held[-1])
+        if size > TOGETHER:
+            yield from bpe.encode(held)
+            held, size = [], 0
+    yield from bpe.encode(held)
+
+
 def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 1, length: int = 2048, grain: int = 16, with_ids: bool = False) -> DataFrame:
     """One row for each piece: key, start, length, ids_crc32, doc_tokens and, if wanted, ids (little-endian 32-bit)."""
     import pyarrow as pa
@@ -101,8 +150,8 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", en
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             rows, start, size, crc, total, ids = [], [], [], [], [], []
-            for i, t in enumerate(batch.column("__text")):
-                raw = bpe.encode(t.as_py() or "") + end
+            for i, raw in enumerate(encoded(batch.column("__text"), bpe)):
+                raw += end
                 for s, n in cuts(len(raw) // 4, length, grain):
                     piece = raw[4 * s : 4 * (s + n)]
                     rows.append(i), start.append(s), size.append(n), crc.append(zlib.crc32(piece)), total.append(len(raw) // 4)
