@@ -70,18 +70,17 @@ class Forest:
         self.length = min(BITS, math.ceil(end) + BELOW)
         self.prefix = max(0, min(math.floor(math.log2(max(1, rows / ROWS))), math.floor(end) - 2))
         self.depth = max(0, min(self.length, int(math.log2(max(1, len(sample) / LEAF)))))
-        self.offsets: list[np.ndarray] = []
-        side = self._sides(sample)
-        code = np.zeros((trees, len(sample)), np.int64)
-        for level in range(self.depth):
-            cut = np.zeros((trees, 1 << level))
-            for t in range(trees):
-                order = np.lexsort((side[t, :, level], code[t]))
-                edge = np.searchsorted(code[t, order], np.arange((1 << level) + 1))
+        self.offsets = [np.zeros((trees, 1 << level)) for level in range(self.depth)]
+        normals = planes(dim, trees).reshape(dim, trees, BITS)
+        near = (sample - self.mean) / self.scale
+        for t in range(trees):
+            side, code = near @ normals[:, t, : self.depth], np.zeros(len(sample), np.int64)
+            for level in range(self.depth):
+                order = np.lexsort((side[:, level], code))
+                edge = np.searchsorted(code[order], np.arange((1 << level) + 1))
                 held = edge[1:] > edge[:-1]
-                cut[t, held] = side[t, order, level][(edge[:-1] + edge[1:])[held] // 2]
-            self.offsets.append(cut)
-            code = code * 2 + (side[:, :, level] >= np.take_along_axis(cut, code, 1))
+                self.offsets[level][t, held] = side[order, level][(edge[:-1] + edge[1:])[held] // 2]
+                code = code * 2 + (side[:, level] >= self.offsets[level][t, code])
 
     def _sides(self, v: np.ndarray) -> np.ndarray:
         """(trees, rows, BITS) signed distances to hyperplanes through the mean."""
