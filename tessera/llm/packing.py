@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import unicodedata
 import warnings
 import zlib
 
@@ -27,28 +28,39 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import vocabulary
+from .bpe import byte_alphabet, vocabulary
 from .common import partitions, release, stage, table
 
 #: Salted parts in which the pieces of a class are ranked.
 PARTS = 64
-#: Words of each of two generations that a worker memoises: the older one goes when the newer is full.
-WORDS = 400_000
+#: Words that a worker memoises before it starts anew.
+WORDS = 500_000
 #: Characters of the texts that are encoded together.
 TOGETHER = 1 << 21
 #: Columns that the linear program generates at most; it ends earlier when no pattern improves it, and warns otherwise.
 COLUMNS = 5000
 
 
+class Words(dict):
+    """Numbers of words; a word that is new gets the next one and waits in `fresh`."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        n = self[word] = len(self)
+        return n
+
+
 class WordBPE:
-    """A lower-casing tokenizer file; words repeat, so the library sees each word of a stretch of texts once at most.
+    """A lower-casing tokenizer file; words repeat, so each worker encodes a word once, until it starts anew.
 
-    Words of letters alone are one pre-token each, so the library encodes many of them as one text, and
-    their ids are told apart by the token that ends a word. Marks after letters are a pre-token of their own.
+    New words are normalised and cut into pre-tokens here, as the file says, and the library's model encodes many of
+    them as one text. Each pre-token ends with a token that says so, which tells the ids of the words apart.
     """
 
-    MARKS = ".,!?;:|*$%&#"
-
     def __init__(self, path: str) -> None:
         import regex
         from tokenizers import Tokenizer
@@ -56,57 +68,57 @@ class WordBPE:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        suffix = json.load(open(path, encoding="utf-8"))["model"]["end_of_word_suffix"]
+        spec = json.load(open(path, encoding="utf-8"))
+        suffix = spec["model"]["end_of_word_suffix"]
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        bare = spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.model = Tokenizer.from_str(json.dumps(bare))
+        #: The characters that stand for bytes; the space stays, as it parts the pre-tokens.
+        self.alphabet = {b: c for b, c in enumerate(byte_alphabet()) if b != ord(" ")}
+        self.pre_tokens = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.words, self.ids = Words(), []
         #: What the whole library must see: special tokens, a final sigma, white space on which splitters differ, marks that NFC joins across.
         self.odd = regex.compile(r"<\||[\x1c-\x1f\x85Σİ᠎\p{M}ᄀ-ᇿ]").search
-        self.odd_ascii = re.compile(r"<\||[\x1c-\x1f]").search
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn(self, words: set[str]) -> None:
-        """Memoise all of words, which are in neither generation."""
-        letters = [w for w in words if w.isalpha()]
-        for at in range(0, len(letters), 4096):
-            part = letters[at : at + 4096]
-            ids = self._ids(" ".join(part))
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) == len(part):
-                raw, at_byte = ids.tobytes(), (4 * stop).tolist()
-                self.new.update(zip(part, [raw[a:b] for a, b in zip([0, *at_byte], at_byte)], strict=False))
-            else:  # a letter that normalisation takes apart
-                self.new.update((w, self._ids(w).tobytes()) for w in part)
-        self.new.update((w, self._ids(w).tobytes()) for w in words.difference(letters))
-
-    def _know(self, words: set[str]) -> None:
-        """Have all of words in the newer generation."""
-        if len(self.new) > WORDS:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        lacking = words.difference(new)
-        again = lacking.intersection(old)
-        new.update(zip(again, map(old.__getitem__, again), strict=True))
-        lacking -= again
-        marked = []  # letters with marks after them
-        for w in lacking:
-            if w[-1] in self.MARKS and (bare := w.rstrip(self.MARKS)).isalpha():
-                marked.append((w, bare, w[len(bare) :]))
-        parts = {x for _, *pair in marked for x in pair}.difference(new)
-        again = parts.intersection(old)
-        new.update(zip(again, map(old.__getitem__, again), strict=True))
-        self._learn(lacking.difference([m[0] for m in marked]) | (parts - again))
-        new.update([(w, new[bare] + new[marks]) for w, bare, marks in marked])
+        self.odd_latin = re.compile(r"<\||[\x1c-\x1f\x85]").search
+        #: Marks that end a word are a pre-token of their own, so words are the same with and without them.
+        self.part = functools.partial(re.compile(r"(?<=[a-z])([.,!?;:|*$%&#]+)(?!\S)").sub, r" \1")
+
+    def _ids(self, text: str) -> bytes:
+        return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, in lower case."""
+        pieces = [w if w.isalpha() else " ".join(self.pre_tokens(w)) for w in words]
+        text = " ".join(pieces)
+        if not text.isascii():
+            if not unicodedata.is_normalized("NFC", text):  # rare: what a word consists of may change
+                return [self._ids(w) for w in words]
+            text = text.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet)
+        ids = np.asarray(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        stop = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        raw, at = ids.tobytes(), stop[np.cumsum([p.count(" ") + 1 for p in pieces]) - 1].tolist()
+        return [raw[a:b] for a, b in zip([0, *at], at)]
+
+    def _words(self, text: str) -> list[int] | None:
+        """Numbers of a text's words; None if the library must see the whole."""
+        try:
+            text.encode("latin-1")
+            odd = self.odd_latin(text)
+        except UnicodeEncodeError:
+            odd = self.odd(text)
+        return None if odd else list(map(self.words.__getitem__, self.part(text.lower()).split()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if (self.odd_ascii if t.isascii() else self.odd)(t) else t.lower().split() for t in texts]
-        self._know(set().union(*(w for w in split if w)))
-        look = self.new.__getitem__
-        return [self._ids(t).tobytes() if w is None else b"".join(map(look, w)) for t, w in zip(texts, split, strict=True)]
+        if len(self.ids) > WORDS:
+            self.words, self.ids = Words(), []
+        numbers = [self._words(t) for t in texts]
+        fresh, self.words.fresh = self.words.fresh, []
+        for at in range(0, len(fresh), 4096):
+            self.ids += self._encode(fresh[at : at + 4096])
+        look = self.ids.__getitem__
+        return [self._ids(t) if n is None else b"".join(map(look, n)) for t, n in zip(texts, numbers, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
