@@ -43,8 +43,12 @@ SPARE = 0.1
 HOT = 12
 #: Members of a block; larger groups are compared in pairs of blocks.
 BLOCK = 2048
+#: Members of a part, in which a large group is joined with what is known of it.
+PART = 256
 #: Bits of a sketch.
 BITS = 1024
+#: Bits of the filter that tells which documents' sets are needed: at most 8 MB, however many are.
+FILTER = 1 << 26
 #: Signatures that a task holds before it writes them out.
 FLUSH = 1_500_000
 _SEED, _STEP = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
@@ -284,11 +288,14 @@ def find_signatures(docs: DataFrame, buckets: int, population: dict[int, int]) -
 
 
 def groups(found: DataFrame) -> DataFrame:
-    """Groups of distinct sets with a signature in common: (grp, node, size, band * 2 + role, spare, hot); equal groups once."""
+    """Groups of distinct sets with a signature in common: (grp, n, node, size, band * 2 + role, spare, hot); equal groups once.
+
+    n is the number of members, a set in either role being one each.
+    """
     import pyarrow as pa
 
-    names = ["grp", "node", "size", "band", "spare", "hot"]
-    kinds = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.bool_()]
+    names = ["grp", "n", "node", "size", "band", "spare", "hot"]
+    kinds = [pa.int64(), pa.int32(), pa.int64()] + [pa.int32()] * 3 + [pa.bool_()]
 
     def reduce(tables):
         parts = [unpack(x.as_py()) for x in tables.column("raw")]
@@ -330,29 +337,44 @@ def groups(found: DataFrame) -> DataFrame:
         of, doc = of[pick], doc[pick]
         del sig, order, many, keep
         release()
-        columns = [group[of].view(np.int64), node[doc].view(np.int64), size[doc], band[doc] * 2 + role[doc], spare[doc], hot[of]]
+        columns = [group[of].view(np.int64), count[of].astype(np.int32), node[doc].view(np.int64), size[doc], band[doc] * 2 + role[doc], spare[doc], hot[of]]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return found.groupBy("bucket").applyInArrow(reduce, "grp long, node long, size int, band int, spare int, hot boolean")
+    return found.groupBy("bucket").applyInArrow(reduce, "grp long, n int, node long, size int, band int, spare int, hot boolean")
+
+
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """FILTER bits, of which those are set that a row's h (0 <= h < FILTER) names."""
+    rows = keys.groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    out = np.zeros(FILTER // 8 + 4096, np.uint8)
+    for r in rows:  # 4096 bytes each
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, held: DataFrame) -> DataFrame:
-    """(node, elements) of the wanted nodes, from one text each."""
+    """(node, elements) of the wanted nodes, from one text each.
+
+    Texts stay where they are: a filter of bounded size leaves out most of those that aren't needed, and the
+    sets of the rest meet the wanted nodes.
+    """
     import pyarrow as pa
 
+    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER)) + 1  # buckets and positions count from 1
     first = held.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    needed = bit_filter(first.select(slot.alias("h")))
 
     def run(batches):
         for batch in batches:
+            h = batch.column("h").to_numpy() - 1
+            batch = batch.filter(pa.array((needed[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
             node, raw = [], []
             for _, s, off in batch_sets(batch.column("body")):
                 node += node_ids(s, off).view(np.int64).tolist()
                 raw += [s[off[k] : off[k + 1]].tobytes() for k in range(len(off) - 1)]
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(raw, pa.binary())], names=["node", "elements"])
 
-    ids = first.select(F.col("id").alias("__id")).distinct()
-    texts = docs.join(ids, F.col("id").eqNullSafe(F.col("__id")), "left_semi")
-    return texts.select("body").mapInArrow(run, "node long, elements binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return docs.select(slot.alias("h"), "body").mapInArrow(run, "node long, elements binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def verify(pairs: DataFrame, elements: DataFrame) -> DataFrame:
@@ -396,11 +418,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def members(found: DataFrame) -> DataFrame:
-    """(grp, node, size, inner) of the groups that must be looked at, each member once."""
+    """(grp, n, node, size, inner) of the groups that must be looked at, each member once; n bounds their members."""
     # who has more hot signatures than segments to spare must be looked for there
     busy = found.where("hot").groupBy("node", "band").agg(F.count_distinct("grp").alias("n"), F.first("spare").alias("s")).where("n > s").select("node", "band")
     kept = found.where("not hot").unionByName(found.where("hot").join(busy, ["node", "band"], "left_semi"))
-    return kept.groupBy("grp", "node").agg(F.first("size").alias("size"), F.max(F.col("band") % 2 == 0).alias("inner"))
+    return kept.groupBy("grp", "node").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.max(F.col("band") % 2 == 0).alias("inner"))
 
 
 def compare(rows: dict[str, np.ndarray], how: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -444,15 +466,15 @@ def compare(rows: dict[str, np.ndarray], how: str) -> tuple[list[np.ndarray], li
 
 
 def candidates(member: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """Distinct pairs (a > b) of a group's members (grp, node, size, inner, root, blocks) that may link.
+    """Distinct pairs (a > b) of a group's members (grp, n, node, size, inner, root), a staged table, that may link.
 
     how: "first" gives each node one partner, "best" any two components one pair, "all" every pair of nodes in different components.
     """
     import pyarrow as pa
 
     spark = member.sparkSession
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    full = member.withColumn("block", block).join(marks, "node")
+    sized = member.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    full = sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(marks, "node")
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     buckets = max(partitions(spark), member.count() // 100_000)
@@ -480,10 +502,12 @@ def candidates(member: DataFrame, marks: DataFrame, how: str) -> DataFrame:
 
 
 def with_roots(member: DataFrame, roots: DataFrame) -> DataFrame:
-    """member of the groups that span components, with each one's root."""
-    rooted = member.drop("root", "blocks").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("grp").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    return rooted.join(mixed.select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "grp")
+    """member of the groups that span components, with each one's root. Large groups are told by parts, so that none is one task's."""
+    rooted = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    mixed = rooted.groupBy("grp").agg(F.first("n").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    mixed = mixed.select("grp", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return rooted.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).join(mixed, ["grp", "part"], "left_semi").drop("part")
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -510,8 +534,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     drop_staged(done.pop(0))
     marks = held.join(found.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
     marks = aside(marks, "sketches")
-    sized = found.join(found.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "grp")
-    pairs = aside(candidates(sized.withColumn("root", F.col("node")), marks, "first"), "pairs")
+    pairs = aside(candidates(found.withColumn("root", F.col("node")), marks, "first"), "pairs")
     # every node that any other may link with is in one of these pairs, so these sets suffice for all rounds
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     elements = aside(node_sets(docs, wanted, held.select("id", "node")), "elements")
