@@ -15,7 +15,7 @@ share) has a partner's signature elsewhere too, and needs no look at those. No p
 
 Sets that are equal are one node. Members of a signature's group are compared by parity sketches, whose
 distance is never above the number of elements that differ, so a pair that it rules out has no link.
-First each node gives its least remaining partner; the closest pair of any two components follows; at
+First each node gives its closest partner; the closest pair of any two components follows; at
 last all remaining pairs of nodes in different components. These are verified on the whole sets.
 Groups of more than BLOCK members are compared in pairs of blocks, by several tasks. Components come
 from large-star/small-star rounds.
@@ -45,12 +45,16 @@ HOT = 12
 BLOCK = 2048
 #: Members of a part, in which a large group is joined with what is known of it.
 PART = 256
-#: Bits of a sketch.
-BITS = 1024
+#: Bits of a sketch at least, and at most.
+BITS, MOST = 1024, 1 << 17
 #: Bits of the filter that tells which documents' sets are needed: at most 8 MB, however many are.
 FILTER = 1 << 26
 #: Signatures that a task holds before it writes them out.
 FLUSH = 1_500_000
+#: Bits of a signature that decide its bucket.
+LOW = U64(0xFFFFFF)
+#: Shingles for each bucket, and buckets at least; they depend on the data alone.
+BUCKET, BUCKETS = 2_500_000, 64
 _SEED, _STEP = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 
@@ -203,12 +207,33 @@ def signatures(s: np.ndarray, off: np.ndarray, band: int, population: int) -> tu
     return np.concatenate(out_set), np.concatenate(out_sig), np.where(rich, spare - blank, 0)
 
 
-def sketches(s: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """(sets, BITS / 8) bytes: for each bit whether an odd number of elements hash to it."""
-    n = len(off) - 1
-    of = np.repeat(np.arange(n), np.diff(off))
-    hits = np.bincount(of * BITS + (s & U64(BITS - 1)).astype(np.int64), minlength=n * BITS) & 1
-    return np.packbits(hits.astype(np.uint8).reshape(n, BITS), axis=1)
+def sketches(s: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """For each set and each of its sketch's bits whether an odd number of elements hash to it.
+
+    A sketch has BITS bits at least and as many as there are elements, as a power of two up to MOST: with fewer, sets
+    that have nothing in common would look close.
+    """
+    size = np.diff(off)
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), BITS, MOST)
+    out: list[bytes] = [b""] * len(size)
+    for b, same in split_by(bits):
+        step = max(1, (1 << 22) // b)
+        for at in range(0, len(same), step):
+            some = same[at : at + step]
+            of = np.repeat(np.arange(len(some)), size[some])
+            part = np.concatenate([s[off[k] : off[k + 1]] for k in some]) if len(of) else s[:0]
+            hits = np.bincount(of * b + (part & U64(b - 1)).astype(np.int64), minlength=len(some) * b) & 1
+            for k, row in zip(some.tolist(), np.packbits(hits.astype(np.uint8).reshape(len(some), b), axis=1), strict=True):
+                out[k] = row.tobytes()
+    return out
+
+
+def even(marks: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, folded to the shortest one's length."""
+    least = min(map(len, marks))
+    if max(map(len, marks)) == least:
+        return np.frombuffer(b"".join(marks), U64).reshape(len(marks), least // 8)
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(m, U64).reshape(-1, least // 8), axis=0) for m in marks])
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -222,16 +247,17 @@ def describe(docs: DataFrame) -> DataFrame:
             marks: list[bytes] = []
             for at, s, off in batch_sets(batch.column("body")):
                 n[at : at + len(off) - 1], node[at : at + len(off) - 1] = np.diff(off), node_ids(s, off)
-                for k in range(0, len(off) - 1, 2048):
-                    o = off[k : k + 2049]
-                    marks += [m.tobytes() for m in sketches(s[o[0] : o[-1]], o - o[0])]
+                marks += sketches(s, off)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(node.view(np.int64)), pa.array(marks, pa.binary())], names=["id", "n_shingles", "node", "sketch"])
 
     return docs.select("id", "body").mapInArrow(run, "id long, n_shingles long, node long, sketch binary")
 
 
 def find_signatures(docs: DataFrame, buckets: int, population: dict[int, int]) -> DataFrame:
-    """docs (body) to (bucket, raw): signatures, one row a bucket and flush."""
+    """docs (body) to (bucket, raw): signatures, one row a bucket and flush.
+
+    Of a signature the bucket, which LOW decides, and the bits above LOW are kept: more than tell sets of one bucket apart.
+    """
 
     def flush(held):
         for role in (0, 1):
@@ -239,15 +265,14 @@ def find_signatures(docs: DataFrame, buckets: int, population: dict[int, int]) -
             if not mine:
                 continue
             base = np.concatenate([[0], np.cumsum([len(h[1]) for h in mine])])
-            node, size, spare = (np.concatenate([h[k] for h in mine]) for k in (1, 2, 3))
+            node, band, spare = (np.concatenate([h[k] for h in mine]) for k in (1, 2, 3))
             doc = np.concatenate([h[4] + b for h, b in zip(mine, base, strict=False)])
             sig = np.concatenate([h[5] for h in mine])
             rows = []
-            for b, i in split_by((sig & U64(0xFFFF)).astype(np.int64) % buckets):
+            for b, i in split_by((sig & LOW).astype(np.int64) % buckets):
                 used, count = np.unique(doc[i], return_counts=True)  # doc ascends, and so the runs of a set need no index
                 x = sig[i]
-                few = buckets < 64
-                rows.append((b, pack({"role": role, "node": node[used], "size": size[used].astype(np.uint32), "spare": np.minimum(spare[used], 255).astype(np.uint8), "count": count.astype(np.uint32 if count.max() > 65535 else np.uint16 if count.max() > 255 else np.uint8), "high": (x >> U64(32)).astype(np.uint32), "low": (x >> U64(16)).astype(np.uint16), "last": (x & U64(0xFFFF)).astype(np.uint16) if few else None})))
+                rows.append((b, pack({"role": role, "node": node[used], "band": band[used].astype(np.uint8), "spare": np.minimum(spare[used], 255).astype(np.uint8), "count": count.astype(np.uint32 if count.max() > 65535 else np.uint16 if count.max() > 255 else np.uint8), "high": (x >> U64(32)).astype(np.uint32), "mid": (x >> U64(24)).astype(np.uint8)})))
             import pyarrow as pa
 
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "raw"])
@@ -274,7 +299,7 @@ def find_signatures(docs: DataFrame, buckets: int, population: dict[int, int]) -
                         if b >= 0:
                             doc, sig, spare = signatures(part, o, int(b), population.get(int(b), 0))
                             order = np.argsort(doc, kind="stable")
-                            held.append((role, node[i], size[i], spare, doc[order], sig[order]))
+                            held.append((role, node[i], np.full(len(i), band), spare, doc[order], sig[order]))
                             n += len(sig)
                 if n > FLUSH:
                     yield from flush(held)
@@ -288,25 +313,25 @@ def find_signatures(docs: DataFrame, buckets: int, population: dict[int, int]) -
 
 
 def groups(found: DataFrame) -> DataFrame:
-    """Groups of distinct sets with a signature in common: (grp, n, node, size, band * 2 + role, spare, hot); equal groups once.
+    """Groups of distinct sets with a signature in common: (grp, n, node, band * 2 + role, spare, hot); equal groups once.
 
     n is the number of members, a set in either role being one each.
     """
     import pyarrow as pa
 
-    names = ["grp", "n", "node", "size", "band", "spare", "hot"]
-    kinds = [pa.int64(), pa.int32(), pa.int64()] + [pa.int32()] * 3 + [pa.bool_()]
+    names = ["grp", "n", "node", "band", "spare", "hot"]
+    kinds = [pa.int64(), pa.int32(), pa.int64()] + [pa.int32()] * 2 + [pa.bool_()]
 
     def reduce(tables):
         parts = [unpack(x.as_py()) for x in tables.column("raw")]
         raw_node = np.concatenate([p["node"] for p in parts])
-        size, spare = (np.concatenate([p[k] for p in parts]).astype(np.int32) for k in ("size", "spare"))
+        own, spare = (np.concatenate([p[k] for p in parts]).astype(np.int32) for k in ("band", "spare"))
         role = np.concatenate([np.full(len(p["node"]), p["role"], np.int32) for p in parts])
         # a set under its other role is another entry; tasks that saw the same set share one
         _, entry, same = np.unique(raw_node ^ mix(role.astype(U64) + U64(7)), return_index=True, return_inverse=True)
         count = np.concatenate([p["count"] for p in parts]).astype(np.int64)
         doc = np.repeat(same, count).astype(np.int32)
-        sig = np.concatenate([(p["high"].astype(U64) << U64(32)) | (p["low"].astype(U64) << U64(16)) | (p["last"].astype(U64) if p["last"] is not None else U64(0)) for p in parts])
+        sig = np.concatenate([(p["high"].astype(U64) << U64(32)) | (p["mid"].astype(U64) << U64(24)) for p in parts]) | U64(tables.column("bucket")[0].as_py() & int(LOW))
         del parts
         order = np.argsort(sig)
         sig, doc = sig[order], doc[order]
@@ -321,8 +346,8 @@ def groups(found: DataFrame) -> DataFrame:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         count = np.diff(np.append(first, len(sig)))
-        node, role, size, spare = raw_node[entry], role[entry], size[entry], spare[entry]
-        band = np.searchsorted(bounds(), size, "right").astype(np.int32) - 1 - role
+        node, role, spare = raw_node[entry], role[entry], spare[entry]
+        band = own[entry] - role
         # the same members with another signature: the group is needed once, unless hot signatures are counted
         ids = np.add.reduceat(mix(node[doc] ^ (role[doc].astype(U64) << U64(63))), first)
         inner = np.add.reduceat((role[doc] == 0).astype(np.int64), first)
@@ -337,10 +362,10 @@ def groups(found: DataFrame) -> DataFrame:
         of, doc = of[pick], doc[pick]
         del sig, order, many, keep
         release()
-        columns = [group[of].view(np.int64), count[of].astype(np.int32), node[doc].view(np.int64), size[doc], band[doc] * 2 + role[doc], spare[doc], hot[of]]
+        columns = [group[of].view(np.int64), count[of].astype(np.int32), node[doc].view(np.int64), band[doc] * 2 + role[doc], spare[doc], hot[of]]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return found.groupBy("bucket").applyInArrow(reduce, "grp long, n int, node long, size int, band int, spare int, hot boolean")
+    return found.groupBy("bucket").applyInArrow(reduce, "grp long, n int, node long, band int, spare int, hot boolean")
 
 
 def bit_filter(keys: DataFrame) -> np.ndarray:
@@ -352,33 +377,41 @@ def bit_filter(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def node_sets(docs: DataFrame, wanted: DataFrame, held: DataFrame) -> DataFrame:
-    """(node, elements) of the wanted nodes, from one text each.
-
-    Texts stay where they are: a filter of bounded size leaves out most of those that aren't needed, and the
-    sets of the rest meet the wanted nodes.
-    """
+def among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """df without most of the rows whose column is none of the keys (its only column): a filter of bounded size, no shuffle of df."""
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER)) + 1  # noqa: E731 - buckets and positions count from 1
+    needed, names, schema = bit_filter(keys.select(slot(keys.columns[0]).alias("h"))), df.columns, df.schema
 
-    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER)) + 1  # buckets and positions count from 1
-    first = held.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    needed = bit_filter(first.select(slot.alias("h")))
+    def run(batches):
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            h = batch.column("__h").to_numpy() - 1
+            kept = pa.array((needed[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names], schema=arrow).filter(kept)
+
+    return df.withColumn("__h", slot(column)).mapInArrow(run, schema)
+
+
+def node_sets(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """(id, node, elements) of the documents (node, id) in first, and of a few more that the filter lets through. Texts stay where they are."""
+    import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            h = batch.column("h").to_numpy() - 1
-            batch = batch.filter(pa.array((needed[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
             node, raw = [], []
             for _, s, off in batch_sets(batch.column("body")):
                 node += node_ids(s, off).view(np.int64).tolist()
                 raw += [s[off[k] : off[k + 1]].tobytes() for k in range(len(off) - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(raw, pa.binary())], names=["node", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node, pa.int64()), pa.array(raw, pa.binary())], names=["id", "node", "elements"])
 
-    return docs.select(slot.alias("h"), "body").mapInArrow(run, "node long, elements binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return among(docs.select("id", "body"), "id", first.select("id")).mapInArrow(run, "id long, node long, elements binary")
 
 
-def verify(pairs: DataFrame, elements: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) that link."""
+def verify(pairs: DataFrame, elements: DataFrame, first: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b) that link; each node's set is that of the document that first (node, id) names."""
     import pyarrow as pa
 
     def run(batches):
@@ -392,9 +425,13 @@ def verify(pairs: DataFrame, elements: DataFrame) -> DataFrame:
                 good.append(100 * common >= PERCENT * (len(p) + len(q) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one = elements.select(F.col("node").alias("a"), F.col("elements").alias("x"))
-    two = elements.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    held = among(elements, "node", pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    rows = pairs
+    for node, x in (("a", "x"), ("b", "y")):
+        who = first.select(F.col("node").alias(node), F.col("id").alias("i"))
+        sets_ = held.select(F.col("node").alias("n"), F.col("id").alias("j"), F.col("elements").alias(x))
+        rows = rows.join(who, node).join(sets_, (F.col(node) == F.col("n")) & F.col("i").eqNullSafe(F.col("j"))).drop("i", "j", "n")
+    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -418,22 +455,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def members(found: DataFrame) -> DataFrame:
-    """(grp, n, node, size, inner) of the groups that must be looked at, each member once; n bounds their members."""
+    """(grp, n, node, inner) of the groups that must be looked at, each member once; n bounds their members."""
     # who has more hot signatures than segments to spare must be looked for there
     busy = found.where("hot").groupBy("node", "band").agg(F.count_distinct("grp").alias("n"), F.first("spare").alias("s")).where("n > s").select("node", "band")
     kept = found.where("not hot").unionByName(found.where("hot").join(busy, ["node", "band"], "left_semi"))
-    return kept.groupBy("grp", "node").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.max(F.col("band") % 2 == 0).alias("inner"))
+    return kept.groupBy("grp", "node").agg(F.first("n").alias("n"), F.max(F.col("band") % 2 == 0).alias("inner"))
 
 
-def compare(rows: dict[str, np.ndarray], how: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Pairs (a, b) of one group or pair of blocks that sketches and sizes leave, as places in rows."""
+def compare(rows: dict[str, np.ndarray], how: str) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Pairs (a, b) of one group or pair of blocks that sketches and sizes leave, as places in rows, and how far apart the sketches are."""
     node, size, inner, root, sketch = (rows[k] for k in ("node", "size", "inner", "root", "sketch"))
     block = rows["block"]
     left = np.flatnonzero(block == block.min())
     right = np.flatnonzero(block == block.max())
-    out_a, out_b = [], []
+    out_a, out_b, out_d = [], [], []
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    step = max(1, 4_000_000 // (16 * len(right)))
+    step = max(1, 4_000_000 // (sketch.shape[1] * len(right)))
     for at in range(0, len(left), step):
         i = left[at : at + step]
         d = np.bitwise_count(sketch[i][:, None, :] ^ sketch[right][None, :, :]).sum(2, dtype=np.int32)
@@ -452,21 +489,21 @@ def compare(rows: dict[str, np.ndarray], how: str) -> tuple[list[np.ndarray], li
                 if key not in best or n < best[key][0]:
                     best[key] = (n, u, v)
         else:
-            out_a.append(x), out_b.append(y)
+            out_a.append(x), out_b.append(y), out_d.append(d[p, q])
     if how == "best":
-        return [np.array([v[1] for v in best.values()], np.int64)], [np.array([v[2] for v in best.values()], np.int64)]
+        return [np.array([v[1] for v in best.values()], np.int64)], [np.array([v[2] for v in best.values()], np.int64)], [np.array([v[0] for v in best.values()], np.int32)]
     if how == "first" and out_a:
-        x, y = np.concatenate(out_a), np.concatenate(out_b)
-        x, y = np.concatenate([x, y]), np.concatenate([y, x])
-        order = np.lexsort((node[y], x))  # each one's partner of least id
-        x, y = x[order], y[order]
+        x, y, n = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_d)
+        x, y, n = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([n, n])
+        order = np.lexsort((node[y], n, x))  # each one's closest partner
+        x, y, n = x[order], y[order], n[order]
         new = np.concatenate([[True], x[1:] != x[:-1]])
-        return [x[new]], [y[new]]
-    return out_a, out_b
+        return [x[new]], [y[new]], [n[new]]
+    return out_a, out_b, out_d
 
 
 def candidates(member: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """Distinct pairs (a > b) of a group's members (grp, n, node, size, inner, root), a staged table, that may link.
+    """Distinct pairs (a > b) of a group's members (grp, n, node, inner, root), a staged table, that may link; marks is (node, size, sketch).
 
     how: "first" gives each node one partner, "best" any two components one pair, "all" every pair of nodes in different components.
     """
@@ -484,21 +521,24 @@ def candidates(member: DataFrame, marks: DataFrame, how: str) -> DataFrame:
         n = t.num_rows
         rows = {c: t.column(c).to_numpy() for c in ("node", "size", "root", "block", "grp", "i", "j")}
         rows["inner"] = t.column("inner").to_numpy(zero_copy_only=False)
-        rows["sketch"] = np.frombuffer(b"".join(t.column("sketch").to_pylist()), U64).reshape(n, BITS // 64)
+        marks = t.column("sketch").to_pylist()
         order = np.lexsort((rows["j"], rows["i"], rows["grp"]))
-        rows = {k: v[order] for k, v in rows.items()}
+        rows, marks = {k: v[order] for k, v in rows.items()}, [marks[k] for k in order]
         key = [rows[k] for k in ("grp", "i", "j")]
         cut = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1 if n else np.zeros(0, np.int64)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for s, e in zip(np.append(0, cut), np.append(cut, n), strict=True):
             if e - s > 1:
-                x, y = compare({k: v[s:e] for k, v in rows.items()}, how)
+                x, y, z = compare({k: v[s:e] for k, v in rows.items()} | {"sketch": even(marks[s:e])}, how)
                 a += [rows["node"][s + v] for v in x]
                 b += [rows["node"][s + v] for v in y]
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+                d += z
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "d": np.concatenate(d).astype(np.int32)})
 
-    return full.select("bucket", "grp", "i", "j", "block", "node", "size", "inner", "root", "sketch").groupBy("bucket").applyInArrow(work, "a long, b long").distinct()
+    found = full.select("bucket", "grp", "i", "j", "block", "node", "size", "inner", "root", "sketch").groupBy("bucket").applyInArrow(work, "a long, b long, d int")
+    if how == "first":  # groups told each node's closest partner in them
+        found = found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("p")).select("a", "p.b")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def with_roots(member: DataFrame, roots: DataFrame) -> DataFrame:
@@ -529,22 +569,23 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     for r in sizes.collect():
         band = int(np.searchsorted(bounds(), r["s"], "right")) - 1
         population[band] = population.get(band, 0) + r["n"]
-    buckets = min(65536, max(partitions(spark), total // 2_500_000))
+    buckets = max(BUCKETS, total // BUCKET)
     found = aside(members(aside(groups(find_signatures(docs, buckets, population)), "groups")), "members")
     drop_staged(done.pop(0))
-    marks = held.join(found.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    marks = held.join(found.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").cast("int").alias("size"), F.first("sketch").alias("sketch"))
     marks = aside(marks, "sketches")
     pairs = aside(candidates(found.withColumn("root", F.col("node")), marks, "first"), "pairs")
     # every node that any other may link with is in one of these pairs, so these sets suffice for all rounds
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    elements = aside(node_sets(docs, wanted, held.select("id", "node")), "elements")
-    links, tried = aside(verify(pairs, elements), "links"), pairs
+    first = aside(held.select("id", "node").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "first")
+    elements = aside(node_sets(docs, first), "elements")
+    links, tried = aside(verify(pairs, elements, first), "links"), pairs
     roots = components(links)
     found = found.join(wanted, "node", "left_semi")
     for how in ("best", "all"):
         mixed = aside(with_roots(found, roots), "mixed")
         pairs = aside(candidates(mixed, marks, how).join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = aside(verify(pairs, elements), "links")
+        more = aside(verify(pairs, elements, first), "links")
         tried = tried.unionByName(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)
