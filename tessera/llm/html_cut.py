@@ -18,18 +18,19 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*|[^>]*)>|<[!?][^>]*>""",
-    re.S | re.I,
-)
+_NAME = re.compile(r"</?([a-zA-Z][\w:-]*)")
+_STOP = re.compile(r"""[>"']""")
 #: Elements whose text browsers read as raw up to the end tag, or the end of the page; it is not shown.
-RAW = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>|\Z", re.I) for x in "script style noscript iframe textarea title".split()}
+RAW = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in "script style noscript iframe textarea title".split()}
+#: Tags whose quotes may fail to close before quotes are no longer believed in; bounds the work on broken pages.
+BROKEN = 4
 #: Elements that show nothing of the markup inside, where they are closed.
 HIDDEN = frozenset("template svg object canvas".split())
 _NAMES = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -53,6 +54,8 @@ BAD_WORDS = frozenset(
 GOOD_WORDS = frozenset("article articles content post entry story body main text maincontent articlebody blogpost".split())
 #: Bad words that an article's own parts have in their names too; they don't speak against what is inside one.
 SOFT_WORDS = frozenset("more notice notices alert warning disclaimer top bottom side tabs feedback discussion reviews legal".split())
+#: Words of names that tell nothing of what is inside.
+GENERIC = GOOD_WORDS | frozenset("area bar block box button buttons container group holder inner item items left line links list outer panel posts right row section slot this top unit wrap wrapper zone".split())
 #: Names "has-sidebar" and "no-header" tell of the layout, not of what is inside.
 _LAYOUT = re.compile(r"(?<![a-z])(?:has|no|not|with|without|hide|hides|show|shows)[-_]+[\w-]+")
 #: An article in one of these, or in an element named only so or one of FIRM_WORDS, is a teaser or a comment; any other is content whatever holds it.
@@ -63,32 +66,76 @@ FIRM_WORDS = frozenset("comment comments commentlist disqus reply replies relate
 PAGE_PARTS = frozenset("article main nav header footer aside".split())
 #: Weights of the classifier's inputs.
 WEIGHTS = {"bias": -0.2, "bad": -6.0, "good": 3.2, "links": -3.5, "length": 0.9, "heading": 0.4, "sentence": 0.6, "list": -0.4}
+#: What is added to the bias of a page without any block that stands out.
+PRIOR = 3.0
 #: Capacities of edges: between neighbours in page order, more in the same element, and in the same grandparent.
 ADJACENT, SIBLING, COUSIN = 0.15, 0.9, 0.35
 _SCALE = 1000
 
 
+def markup(page: str, at: int = 0):
+    """(start, end, tag, whether it is an end tag, attributes) of each piece of markup, raw text with its start tag, in one pass.
+
+    A ">" in quotes does not end a tag unless the quotes never close. What no ">" follows is text.
+    """
+    last, broken = page.rfind(">"), 0
+    while (start := page.find("<", at)) >= 0:
+        if start > last and (start := page.find("<!--", start)) < 0:
+            return
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        m = _NAME.match(page, start)
+        if not m:
+            if page[start + 1] in "!?":
+                at = page.index(">", start) + 1
+                yield start, at, "", False, ""
+            else:
+                at = start + 1
+            continue
+        end = -1
+        if broken < BROKEN:
+            stop = _STOP.search(page, m.end())
+            while stop and stop[0] != ">":
+                close = page.find(stop[0], stop.end())
+                stop = _STOP.search(page, close + 1) if close >= 0 else None
+            end = stop.start() if stop else -1
+            broken += end < 0
+        if end < 0:
+            end = page.index(">", m.end())
+        at = end + 1
+        yield start, at, m[1].lower(), page[start + 1] == "/", page[m.end() : end]
+
+
 def tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
-    """(start, end, tag, whether it is an end tag, attributes) of all markup; raw text and what closed elements hide are one token, without a tag as comments are."""
+    """markup() with raw text and what closed elements hide as one token each, without a tag as comments are."""
     out: list = []
     opened: dict[str, list[int]] = {x: [] for x in HIDDEN}
     hidden: dict[int, int] = {}
     at = 0
-    while m := _TOKEN.search(page, at):
-        at = m.end()
-        tag, end, attrs = (m["tag"] or "").lower(), bool(m["end"]), m["attrs"] or ""
-        if tag in BREAKOUT:
-            opened["svg"].clear()
-        if tag in RAW and not end and not (opened["svg"] and attrs.endswith("/")):
-            at = RAW[tag].search(page, at).end()
-            tag = ""
-        elif tag in HIDDEN:
-            if end:
-                if opened[tag]:
-                    hidden[opened[tag].pop()] = len(out)
-            elif not (tag == "svg" and attrs.endswith("/")):
-                opened[tag].append(len(out))
-        out.append((m.start(), at, tag, end, attrs))
+    while at < len(page):
+        again = False
+        for start, stop, tag, end, attrs in markup(page, at):
+            if tag in BREAKOUT:
+                opened["svg"].clear()
+            if tag in RAW and not end and not (opened["svg"] and attrs.endswith("/")):
+                m = RAW[tag].search(page, stop)
+                close = page.find(">", m.end()) if m else -1
+                stop, tag, again = close + 1 if close >= 0 else len(page), "", True  # markup is read on after it
+            elif tag in HIDDEN:
+                if end:
+                    if opened[tag]:
+                        hidden[opened[tag].pop()] = len(out)
+                elif not (tag == "svg" and attrs.endswith("/")):
+                    opened[tag].append(len(out))
+            out.append((start, stop, tag, end, attrs))
+            if again:
+                at = stop
+                break
+        if not again:
+            break
     if not hidden:
         return out
     shown, k = [], 0
@@ -103,16 +150,19 @@ def wrappers(found: list[tuple[int, int, str, bool, str]]) -> set[int]:
     """Numbers of the start tags among found that hold a main element, or are forms around parts of a page."""
     out: set[int] = set()
     stack: list[tuple[str, int]] = []
+    open_: Counter[str] = Counter()
     mains = parts = 0  # how many open elements, from the outermost, are known to hold them
     for k, (_, _, tag, end, _) in enumerate(found):
         if tag not in CONTAINERS:
             continue
         if end:
-            for j in range(len(stack) - 1, -1, -1):
-                if stack[j][0] == tag:
-                    del stack[j:]
-                    mains, parts = min(mains, j), min(parts, j)
-                    break
+            if open_[tag]:
+                while True:
+                    name, _ = stack.pop()
+                    open_[name] -= 1
+                    if name == tag:
+                        break
+                mains, parts = min(mains, len(stack)), min(parts, len(stack))
             continue
         if tag == "main":
             out.update(n for _, n in stack[mains:])
@@ -121,13 +171,15 @@ def wrappers(found: list[tuple[int, int, str, bool, str]]) -> set[int]:
             out.update(n for t, n in stack[parts:] if t == "form")
             parts = len(stack)
         stack.append((tag, k))
+        open_[tag] += 1
     return out
 
 
-def blocks(page: str) -> list[tuple[str, dict[str, float], tuple[int, ...]]]:
-    """(text, inputs of the classifier, ids of the elements around it from the outermost) of all blocks in page order."""
+def blocks(page: str) -> list[tuple[str, dict[str, float], tuple[int, int, int]]]:
+    """(text, inputs of the classifier, place) of all blocks in page order; the place is the innermost element around a block, the one around that, and how deep it is."""
     out: list = []
     stack: list[tuple[str, int, int, int, bool]] = [("", 0, 0, 0, False)]  # tag, id, bad, good, whether an article inside stays bad
+    open_: Counter[str] = Counter()
     found = tokens(page)
     around = wrappers(found)
     text: list[str] = []
@@ -143,7 +195,7 @@ def blocks(page: str) -> list[tuple[str, dict[str, float], tuple[int, ...]]]:
                 n = len(words)
                 share = min(1.0, linked / n)
                 x = {"bad": float(min(bad, 2)), "good": float(min(good, 1)) if not bad else 0.0, "links": share, "length": min(1.5, math.log10(n) - 1), "heading": float(leaf in ("h1", "h2", "h3") and not bad), "sentence": float(words[-1] in ".!?…\"”»"), "list": float(leaf in ("li", "dt", "dd", "option"))}
-                out.append((words, x, tuple(s[1] for s in stack)))
+                out.append((words, x, (stack[-1][1], stack[-2][1] if len(stack) > 1 else -1, len(stack))))
             text = []
         linked = 0
 
@@ -162,10 +214,11 @@ def blocks(page: str) -> list[tuple[str, dict[str, float], tuple[int, ...]]]:
             flush()
             if end:
                 leaf = ""
-                if tag in CONTAINERS:
-                    for j in range(len(stack) - 1, 0, -1):
-                        if stack[j][0] == tag:
-                            del stack[j:]
+                if open_[tag]:
+                    while True:
+                        name = stack.pop()[0]
+                        open_[name] -= 1
+                        if name == tag:
                             break
             else:
                 links = 0
@@ -184,12 +237,14 @@ def blocks(page: str) -> list[tuple[str, dict[str, float], tuple[int, ...]]]:
                     if tag == "main" or tag == "article" and not firm:
                         bad, firm = 0, False
                     against = names & BAD_WORDS
-                    if good and not bad:
-                        against -= SOFT_WORDS
+                    if good and not bad:  # in an article only names that say nothing else speak against it
+                        said = [set(_WORD.findall(n)) for n in whole]
+                        against = set().union(*(w & BAD_WORDS for w in said if w - GENERIC <= BAD_WORDS)) - SOFT_WORDS
                     bad += not wide and (tag in BAD_TAGS or (tag == "header" and not inside) or bool(against) and not (inside or (tag in GOOD_TAGS and not names & {"comment", "comments", "reply"})))
                     good += tag in GOOD_TAGS or (not wide and not bad and bool(names & GOOD_WORDS))
                     firm = firm or not wide and tag not in GOOD_TAGS and (tag in FIRM_TAGS or bool(names & FIRM_WORDS or whole & FIRM_NAMES))
                     stack.append((tag, number, bad, good, firm))
+                    open_[tag] += 1
         elif tag == "br":
             text.append(" ")
     if at < len(page):
@@ -257,25 +312,26 @@ def max_flow(n: int, source: list[int], sink: list[int], edges: list[tuple[int,
                 break
 
 
-def label(found: list[tuple[str, dict[str, float], tuple[int, ...]]]) -> list[bool]:
-    """Whether each block is content."""
+def label(found: list[tuple[str, dict[str, float], tuple[int, int, int]]]) -> list[bool]:
+    """Whether each block is content. A page has some, if any block isn't bad: where none stands out the classifier's bias goes up by PRIOR."""
     if not found:
         return []
-    for_content, against = [], []
-    for _, x, _ in found:
-        score = WEIGHTS["bias"] + sum(WEIGHTS[k] * v for k, v in x.items())
-        for_content.append(int(_SCALE * math.log1p(math.exp(min(30, score)))))
-        against.append(int(_SCALE * math.log1p(math.exp(min(30, -score)))))
     edges = []
     last: dict[int, int] = {}
-    for i, (_, _, path) in enumerate(found):
+    for i, (_, _, (inner, outer, depth)) in enumerate(found):
         if i:
-            same = found[i - 1][2]
-            edges.append((i - 1, i, int(_SCALE * (SIBLING if same == path else COUSIN if same[:-1] == path[:-1] and len(path) > 2 else ADJACENT))))
-        if path[-1] in last and last[path[-1]] < i - 1:  # the same element resumes after another one
-            edges.append((last[path[-1]], i, int(_SCALE * SIBLING)))
-        last[path[-1]] = i
-    return max_flow(len(found), for_content, against, edges)
+            before = found[i - 1][2]
+            edges.append((i - 1, i, int(_SCALE * (SIBLING if before[0] == inner else COUSIN if before[1:] == (outer, depth) and depth > 2 else ADJACENT))))
+        if last.get(inner, i) < i - 1:  # the same element resumes after another one
+            edges.append((last[inner], i, int(_SCALE * SIBLING)))
+        last[inner] = i
+    for bias in (WEIGHTS["bias"], WEIGHTS["bias"] + PRIOR):
+        scores = [bias + sum(WEIGHTS[k] * v for k, v in x.items()) for _, x, _ in found]
+        cost = lambda score: int(_SCALE * math.log1p(math.exp(min(30, score))))
+        kept = max_flow(len(found), [cost(x) for x in scores], [cost(-x) for x in scores], edges)
+        if any(kept):
+            break
+    return kept
 
 
 def main_text(page: str | None) -> str:
