@@ -3,7 +3,8 @@
 Every version of every path is addressed by the SHA-256 of its content. The ledger is a folder of
 Parquet files (blob, rules, spans): a scan finds the (blob, rule version) pairs that it lacks, scans
 one copy of each such blob, appends the findings and joins them back to all paths and versions that
-hold the blob. Unchanged history is never scanned again, and a new rule version scans every blob once.
+hold the blob. Unchanged history is never scanned again, and rules that differ in anything have
+another version, which scans every blob once. A blob that is in the ledger twice counts once.
 
 A finding is kind:start:end in code points, end exclusive. Kinds are in the order of RULES.
 
@@ -15,52 +16,65 @@ from __future__ import annotations
 
 import hashlib
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_path, stage, table
 
-#: Kind, pattern, group whose length counts, least length. The first three are the base rules.
+class Rule(NamedTuple):
+    """What to look for: a match counts if its group is `least` code points long; `hint` is a cheaper pattern that any match holds."""
+
+    kind: str
+    pattern: re.Pattern
+    group: int = 0
+    least: int = 1
+    hint: re.Pattern | None = None
+
+
+#: The base rules. Runs of hexadecimal digits are looked for from their least length on: they are maximal either way.
 BASE = (
-    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
-    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
-    ("hex", re.compile(r"[0-9a-f]+"), 0, 16),
+    Rule("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12, re.compile(r"pass(?:word|wd)|secret|token|api_?key", re.I | re.A)),
+    Rule("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
+    Rule("hex", re.compile(r"[0-9a-f]{16,}")),
 )
 #: What is searched besides: private key blocks and signed web tokens.
 MORE = (
-    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), 0, 1),
-    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"), 0, 1),
+    Rule("pem", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")),
+    Rule("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")),
 )
 RULES = BASE + MORE
-#: Version of RULES; change it with them.
-VERSION = "1"
-_LONG_HEX = re.compile(r"[0-9a-f]{16,}")
-_ASSIGN_HINT = re.compile(r"pass(?:word|wd)|secret|token|api_?key", re.I | re.A)
+LEDGER = "blob string, rules string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+
 
+def version(rules: tuple[Rule, ...]) -> str:
+    """What tells sets of rules apart: a digest of all that decides on their findings."""
+    said = [(r.kind, r.pattern.pattern, r.pattern.flags, r.group, r.least) for r in rules]
+    return hashlib.sha256(repr(said).encode()).hexdigest()[:16]
 
-def find(text: str) -> list[tuple[int, int, int]]:
-    """(start, order of the kind, end) of all findings, sorted."""
+
+def find(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
+    """(start, order of the rule, end) of all findings, sorted."""
     out = []
-    for k, (kind, pattern, group, least) in enumerate(RULES):
-        if kind == "hex":  # a run of 16 or more is the same maximal run under either pattern
-            out += [(m.start(), k, m.end()) for m in _LONG_HEX.finditer(text)]
-        elif kind != "assign" or _ASSIGN_HINT.search(text):
-            out += [(m.start(), k, m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
+    for k, r in enumerate(rules):
+        if r.hint is None or r.hint.search(text):
+            out += [(m.start(), k, m.end()) for m in r.pattern.finditer(text) if m.end(r.group) - m.start(r.group) >= r.least]
     return sorted(out)
 
 
-def joined(found: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{RULES[k][0]}:{s}:{e}" for s, k, e in found)
+def joined(found: list[tuple[int, int, int]], rules: tuple[Rule, ...] = RULES) -> str:
+    return ",".join(f"{rules[k].kind}:{s}:{e}" for s, k, e in found)
 
 
-def spans(df: DataFrame, content: str = "content", keep: str = "blob") -> DataFrame:
+def spans(df: DataFrame, content: str = "content", keep: str = "blob", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """keep, n_assign, n_access, n_hex, base_sha256 and spans of each row's content."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     picked = df.select(keep, F.col(content).alias("__content"))
+    named = [r.kind for r in BASE]
     schema = StructType([picked.schema[keep], *StructType.fromDDL("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")])
 
     def run(batches):
@@ -68,39 +82,41 @@ def spans(df: DataFrame, content: str = "content", keep: str = "blob") -> DataFr
         for batch in batches:
             rows = []
             for t in batch.column("__content"):
-                found = find(t.as_py() or "")
-                base = [x for x in found if x[1] < len(BASE)]
-                rows.append((*(sum(x[1] == k for x in base) for k in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found)))
+                found = find(t.as_py() or "", rules)
+                kinds = [rules[k].kind for _, k, _ in found]
+                base = [x for x, kind in zip(found, kinds, strict=True) if kind in named]
+                rows.append((*(kinds.count(kind) for kind in named), hashlib.sha256(joined(base, rules).encode()).hexdigest(), joined(found, rules)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(keep), *(pa.array(c, arrow.field(i + 1).type) for i, c in enumerate(columns))], schema=arrow)
 
     return picked.mapInArrow(run, schema)
 
 
-def scan(versions: DataFrame, ledger: str, content: str = "content", keys: tuple[str, ...] = ("path", "version"), rules: str = VERSION) -> DataFrame:
-    """keys, blob and findings of every row of versions; adds to the ledger folder what it lacked."""
+def read_ledger(spark, ledger: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, findings) under these rules, each blob once, however often runs have appended it."""
+    rows = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rules") == version(rules)).drop("rules")
+    return rows.dropDuplicates(["blob"])
+
+
+def scan(versions: DataFrame, ledger: str, content: str = "content", keys: tuple[str, ...] = ("path", "version"), rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """keys, blob and findings of every row of versions; adds to the ledger folder what it lacked under these rules."""
     spark = versions.sparkSession
     held = versions.select(*keys, F.sha2(F.coalesce(F.col(content), F.lit("")).cast("binary"), 256).alias("blob"))
     held = stage(held, "blobs")
-    try:
-        known = spark.read.schema("blob string, rules string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").parquet(ledger)
-    except Exception as e:  # no ledger yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = None
+    at = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    known = read_ledger(spark, ledger, rules) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
     # one row of keys for each blob; a struct's minimum is combined before the shuffle, however often a blob repeats
     unseen = held.groupBy("blob").agg(F.min(F.struct(*keys)).alias("__at"))
     if known is not None:
-        unseen = unseen.join(known.where(F.col("rules") == rules).select("blob"), "blob", "left_anti")
+        unseen = unseen.join(known.select("blob"), "blob", "left_anti")
     unseen = unseen.select("blob", *(F.col("__at")[k].alias(f"__{k}") for k in keys))
     match = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     text = versions.select(*keys, F.coalesce(F.col(content), F.lit("")).alias("__c"))
     # keys may repeat with other content: the blob decides
     todo = text.join(unseen, match, "inner").where(F.sha2(F.col("__c").cast("binary"), 256) == F.col("blob")).select("blob", "__c")
-    found = spans(todo, "__c").dropDuplicates(["blob"]).withColumn("rules", F.lit(rules))
+    found = spans(todo, "__c", rules=rules).dropDuplicates(["blob"]).withColumn("rules", F.lit(version(rules)))
     found.select("blob", "rules", "n_assign", "n_access", "n_hex", "base_sha256", "spans").write.mode("append").parquet(ledger)
-    ledgered = spark.read.schema("blob string, rules string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").parquet(ledger)
-    return held.join(ledgered.where(F.col("rules") == rules).drop("rules"), "blob")
+    return held.join(read_ledger(spark, ledger, rules), "blob")
 
 
 def redact(text: str, found: str) -> str:

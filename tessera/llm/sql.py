@@ -47,4 +47,27 @@ c AS (SELECT doc_id, CAST(sum(e - s + 1) AS BIGINT) AS n_removed, count(*) AS n_
 SELECT d.doc_id, d.n AS n_bytes, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.n_spans, 0) AS n_spans, coalesce(t.sha, sha256(d.b)) AS kept_sha256 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
-ORACLE = {"op1_warc": _WARC, "op6_exact_top_k": _TOP_K, "op7_ngram_jaccard": _JACCARD, "op10_suffix_dedup": _REPEATS}
+
+
+def _spans(order: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Rows (doc_id, o, kind, a, z) of a rule's matches; a match starts after all parts between matches, and matches, before it."""
+    return f"""SELECT doc_id, {order} AS o, '{kind}' AS kind, a, a + length(m) AS z FROM (SELECT doc_id, unnest(ms) AS m, unnest(gs) AS g,
+unnest(list_transform(range(1, len(ms) + 1), lambda i: CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT))) AS a
+FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {group}) AS gs, string_split_regex(t, '{pattern}') AS ps FROM d WHERE regexp_matches(t, '{pattern}'))) WHERE length(g) >= {least}"""
+
+
+_SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join((
+    _spans(0, "assign", r"""(?i)(password|passwd|secret|token|api_?key)["\'\']?\x20*[:=]\x20*["\'\']?([A-Za-z0-9+/_.=-]+)""".replace("\\'\\'", "''"), 2, 12),
+    _spans(1, "access", "AKIA[A-Z0-9]+", 0, 18),
+    _spans(2, "hex", "[0-9a-f]{16,}", 0, 16),
+    _spans(3, "pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    _spans(4, "jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1),
+))}),
+g AS (SELECT doc_id, count(*) FILTER (WHERE o = 0) AS n_assign, count(*) FILTER (WHERE o = 1) AS n_access, count(*) FILTER (WHERE o = 2) AS n_hex,
+  string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, o) FILTER (WHERE o < 3) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, o) AS spans FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
+ORACLE = {"op2_secret_scans": _SECRETS, "op1_warc": _WARC, "op6_exact_top_k": _TOP_K, "op7_ngram_jaccard": _JACCARD, "op10_suffix_dedup": _REPEATS}
