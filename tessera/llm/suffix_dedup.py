@@ -402,7 +402,7 @@ def results(chunks: DataFrame, marks: DataFrame, with_text: bool = False) -> Dat
                         kept.append(text[at:s])
                     at = last = max(e, last)
                 kept = b"".join([x.tobytes() for x in [*kept, text[at:]]])
-                rows.append((c["sha"][k].hex(), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore").strip()] if with_text else [])))
+                rows.append((c["sha"][k].hex(), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if with_text else [])))
         columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -431,16 +431,19 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bo
     drop_staged(lists)
     marks = stage(refine(contexts(chunks, max(partitions(spark), size // (2 * GROUP)))), "marks")
     done = results(chunks, marks, with_text)
-    # a hot text's many rows meet one row of its smallest id: small rows, and adaptive execution splits the join
-    held = held.join(firsts, "sha").withColumn("first", F.col("id").eqNullSafe(F.col("first_id"))).drop("first_id")
-    return held, done
+    # the first copy is known by id and text together, which no other row has, so a text that many rows have is no hot key
+    mark = firsts.select("first_id", F.col("sha").alias("__sha"))
+    held = held.join(mark, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("sha") == F.col("__sha")), "left")
+    return held.withColumn("first", F.col("__sha").isNotNull()).drop("first_id", "__sha"), done
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     held, done = find(table(spark, sf_dir, "documents"))
     whole = ~F.col("first") & (F.col("n_bytes") >= LENGTH)
     mine = F.col("first") & F.col("n_removed").isNotNull()
-    return held.join(done, "sha", "left").select(
+    # only first copies have results to meet; the others are dealt by their ids
+    held = held.withColumn("__at", F.when(F.col("first"), F.col("sha")).otherwise(F.concat(F.lit("-"), F.col("id").cast("string"))))
+    return held.join(done.withColumnRenamed("sha", "__at"), "__at", "left").select(
         F.col("id").alias("doc_id"), "n_bytes",
         F.when(whole, F.col("n_bytes")).when(mine, F.col("n_removed")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).when(mine, F.col("n_spans")).otherwise(F.lit(0)).cast("long").alias("n_spans"),
@@ -449,7 +452,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without repeated strings; of a character cut through nothing stays; rows of which nothing is left go."""
+    """docs without repeated strings, else as they were; of a character cut through nothing stays. Rows of which no more than white space is left go."""
     held, done = find(docs, key, text, with_text=True)
     gone = held.where(~F.col("first") & (F.col("n_bytes") >= LENGTH)).select("id", "sha").distinct()
     change = held.where("first").select("id", "sha").distinct().join(done.select("sha", "kept"), "sha")
@@ -457,5 +460,5 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     change = change.select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), F.col("kept").alias("__kept"))
     sha = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
     both = docs.withColumn("__own", sha).join(change, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left")
-    both = both.where("__kept IS NULL OR __kept <> ''")
+    both = both.where(F.col("__kept").isNull() | F.col("__kept").rlike(r"\S"))
     return both.withColumn(text, F.coalesce("__kept", text)).select(*docs.columns)
