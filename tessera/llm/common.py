@@ -18,15 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, read from ``spark.checkpoint.dir``.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    temporary folder is made and kept for the session.
+    Where that is unset a session on one machine (master local) gets a temporary folder, kept for its life; on a
+    cluster it is an error, as executors would write where nobody else reads.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.conf.get("tessera.shared.dir", None)
         if not at:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             at = "file://" + tempfile.mkdtemp(prefix="tessera-")
             spark.conf.set("tessera.shared.dir", at)
     return at.rstrip("/")

@@ -600,14 +600,37 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return named.select("id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def sort_out(docs: DataFrame, key: str, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be among gone (key), all others): by a filter of FILTER bits, broadcast as 64-bit words, so the rows stay where they are."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
+    bits = gone.select(slot(key).alias("h")).groupBy(F.shiftright("h", 6).alias("__w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("h") % 64).cast("int"))).alias("__bits"))
+    bits = stage(bits, "filter")  # FILTER / 64 rows at most
+    marked = docs.withColumn("__w", F.shiftright(slot(key), 6)).join(F.broadcast(bits), "__w", "left")
+    hit = F.call_function("shiftright", F.coalesce("__bits", F.lit(0).cast("long")), (slot(key) % 64).cast("int")) % 2 != 0
+    return marked.where(hit).select(*docs.columns), marked.where(~hit).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that another of their component represents; of repeated rows of the first one stays.
+    """docs without the rows that another of their component represents.
 
-    A row with a null id stays if its component has no other.
+    The row of smallest id stays; a row with a null id only if its component has no other id, and of several such
+    texts one. Of repeated rows, equal in id and text, the one of smallest other columns stays; an id of several texts
+    stays with all of them if it does with one. Ids are below 2**62.
     """
-    first = link(docs, key, text).where("id is not null and component_id = id").select("id").distinct()
-    with_id = docs.join(first.select(F.col("id").alias(key)), key, "left_semi").dropDuplicates([key, text]).select(*docs.columns)
-    return with_id.unionByName(docs.where(F.col(key).isNull()).dropDuplicates([text]))
+    # null ids stand behind all others, the same for equal texts
+    spare = F.lit(1 << 62).cast("long") + F.pmod(F.xxhash64(text), F.lit(1 << 61))
+    keyed = docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), spare))
+    found = stage(link(keyed, "__key", text).select(F.col("id").alias("__key"), "component_id"), "kept")
+    gone = found.groupBy("__key").agg(F.max(F.col("component_id") == F.col("__key")).alias("stays")).where("not stays").select("__key")
+    unsure, sure = sort_out(keyed, "__key", gone)
+    kept = sure.unionByName(unsure.join(gone, "__key", "left_anti"))
+    twice = stage(found.groupBy("__key").count().where("count > 1").select("__key"), "twice")
+    if not twice.isEmpty():
+        unsure, sure = sort_out(kept, "__key", twice)
+        others = [c for c in docs.columns if c not in (key, text)]
+        again = unsure.groupBy(key, text).agg(F.min(F.struct(*others, "__key")).alias("__o")).select(key, text, *(F.col("__o")[c].alias(c) for c in [*others, "__key"]))
+        kept = sure.unionByName(again.select(*sure.columns))
+    return kept.select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -236,7 +236,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             raw = pa.array([r.tobytes() for r in x], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("__k").cast(pa.int64()), batch.column("__y").cast(pa.int64()), raw], names=["k", "y", "raw"])
 
-    got = rows.select("__k", "__y", "__t").mapInArrow(run, "k long, y long, raw binary").toArrow()
+    # one row for each id, however often an id comes: at most `sample` rows reach the driver
+    made = rows.select("__k", "__y", "__t").mapInArrow(run, "k long, y long, raw binary")
+    got = made.groupBy("k").agg(F.min("y").alias("y"), F.min("raw").alias("raw")).toArrow()
     x = np.frombuffer(b"".join(got.column("raw").to_pylist()), np.float64).reshape(-1, len(FEATURES))
     y = got.column("y").to_numpy().astype(np.float64)
     order = np.lexsort((*x.T, got.column("k").to_numpy()))

@@ -278,6 +278,44 @@ def test_features_do_not_depend_on_neighbours():
         assert np.allclose(whole[k], quality_gam.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0])
 
 
+def plain_pieces(rows, before):
+    """Each document's pieces are all of its ids, in order, and sequences have neither gaps nor more than 2048 ids."""
+    from tokenizers import Tokenizer
+
+    from tessera.llm import bpe
+
+    tok = Tokenizer.from_file(bpe.vocabulary("word_bpe_49k.json"))
+    tok.no_truncation()
+    by, sequences = {}, {}
+    for r in rows:
+        by.setdefault(r["doc_id"], []).append(r)
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert set(by) == {r["doc_id"] for r in before}
+    for d in before:
+        ids = np.array(tok.encode(d["text"] or "", add_special_tokens=False).ids + [1], "<u4")
+        at = 0
+        for r in sorted(by[d["doc_id"]], key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids[at : at + r["length"]].tobytes()))
+            at += r["length"]
+        assert at == len(ids)
+    for pieces in sequences.values():
+        end = 0
+        for offset, length in sorted(pieces):
+            assert offset == end
+            end += length
+        assert end <= 2048
+
+
+def test_keep_one_of_rows_without_ids(spark):
+    rows = [(1, "a b c d e f g", "x"), (None, "a b c d e f g", "y"), (None, "A b c d e f g", "z"), (None, "p q r s t u v", "1"), (None, "P q r s t u v", "2"), (None, None, "n"), (None, None, "m"), (None, "", "e"), (3, "k l", "b"), (3, "k l", "a"), (3, "other words of it", "c"), (2, "A b c d e f g", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sketch string")
+    got = sorted(((r["doc_id"], r["text"], r["sketch"]) for r in jaccard_join.keep_one(docs).collect()), key=str)
+    null = [r for r in got if r[0] is None]
+    assert [r for r in got if r[0] is not None] == [(1, "a b c d e f g", "x"), (3, "k l", "a"), (3, "other words of it", "c")]
+    assert len(null) == 3 and {r[1] and r[1].lower() for r in null} == {"p q r s t u v", None, ""} and (None, None, "m") in null
+    assert jaccard_join.keep_one(docs.limit(0)).collect() == []
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -300,12 +338,15 @@ def test_pipeline(spark):
             assert {r["doc_id"] for r in rows} >= {i for i, (n, gone) in plain.items() if gone == 0}
             texts = {r["doc_id"]: r["text"] for r in before}
             assert all((texts[r["doc_id"]] == r["text"]) == (plain[r["doc_id"]][1] == 0) and r["n_chars"] == len(r["text"]) for r in rows)
+            kept = {i: sha for i, _, _, _, sha in plain_removal([(r["doc_id"], r["text"]) for r in before])}
+            whole = [r for r in rows if plain[r["doc_id"]][0] - plain[r["doc_id"]][1] == len(r["text"].encode())]  # no character was cut through
+            assert len(whole) > 0.9 * len(rows) and all(hashlib.sha256(r["text"].encode()).hexdigest() == kept[r["doc_id"]] for r in whole)
         elif k == 3:
             from tests.llm.test_text import plain_secrets
 
             assert len(rows) == len(before)
             assert all(not plain_secrets(r["text"]) for r in rows)
         else:
-            assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in before}
+            plain_pieces(rows, before)
         if k < 4:
             docs, before = spark.createDataFrame(rows, out.schema), rows

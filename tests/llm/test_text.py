@@ -118,10 +118,47 @@ def test_packing(spark, docs):
 
 
 def plain_secrets(text):
-    found = []
-    for k, (_, pattern, group, least) in enumerate(secret_scan.RULES):
-        found += [(m.start(), k, m.end()) for m in pattern.finditer(text) if len(m[group]) >= least]
-    return sorted(found)
+    """(kind, start, end), by a scan of its own: character by character for the runs, by name and sign for assignments."""
+    found, digits, upper = [], "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    value = set(digits + upper + upper.lower() + "+/_.=-")
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+
+    def run(at, allowed):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    at = 0
+    while at < len(text):
+        name = next((n for n in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(n, at)), None)
+        end = at + 1
+        if name:
+            p = at + len(name)
+            p += text[p : p + 1] in ('"', "'") and p < len(text)
+            p = run(p, " ")
+            if text[p : p + 1] in (":", "=") and p < len(text):
+                p = run(p + 1, " ")
+                p += text[p : p + 1] in ('"', "'") and p < len(text)
+                stop = run(p, value)
+                if stop > p:
+                    found += [("assign", at, stop)] * (stop - p >= 12)
+                    end = stop
+        at = end
+    for kind, start, allowed, least in (("access", "AKIA", upper + digits, 18), ("hex", "", digits + "abcdef", 16)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(start), allowed) if text.startswith(start, at) else at
+            if end > at + len(start):
+                found += [(kind, at, end)] * (end - at >= least)
+                at = end
+            else:
+                at += 1
+    return sorted(found, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+
+def spans_text(found):
+    return ",".join(f"{k}:{a}:{z}" for k, a, z in found)
 
 
 SECRETS = [
@@ -131,31 +168,44 @@ SECRETS = [
 ]
 
 
+MORE_SECRETS = {"-----BEGIN RSA PRIVATE KEY-----": "pem:0:31"}
+
+
 def test_secrets(spark, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
     versions = spark.createDataFrame(SECRETS, "path long, version long, content string")
     got = secret_scan.scan(versions, ledger).collect()
     assert len(got) == len(SECRETS)
-    by = {}
-    for p, v, c in SECRETS:
-        by[(p, v)] = plain_secrets(c or "")
+    by = {(p, v): c or "" for p, v, c in SECRETS}
     for r in got:
-        want = by[(r["path"], r["version"])]
-        base = [x for x in want if x[1] < 3]
-        assert r["spans"] == secret_scan.joined(want) and r["base_sha256"] == sha(secret_scan.joined(base))
-        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x[1] == k for x in base) for k in range(3)]
+        text = by[(r["path"], r["version"])]
+        want = plain_secrets(text)
+        assert r["spans"] == ",".join(filter(None, [spans_text(want), MORE_SECRETS.get(text)])) and r["base_sha256"] == sha(spans_text(want))
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x[0] == k for x in want) for k in ("assign", "access", "hex")]
     known = spark.read.parquet(ledger).count()
     assert known == len({c or "" for _, _, c in SECRETS})
     secret_scan.scan(versions.unionByName(spark.createDataFrame([(9, 1, "new token=123456789012345")], versions.schema)), ledger).collect()
     assert spark.read.parquet(ledger).count() == known + 1  # only the unseen blob
-    secret_scan.scan(versions, ledger, rules="2").collect()
-    assert spark.read.parquet(ledger).where("rules = '2'").count() == known
+    spark.read.parquet(ledger).write.mode("append").parquet(f"{ledger}-twice")
+    spark.read.parquet(ledger).write.mode("append").parquet(f"{ledger}-twice")
+    assert sorted(map(tuple, secret_scan.scan(versions, f"{ledger}-twice").collect()), key=str) == sorted(map(tuple, got), key=str)
+    other = (*secret_scan.BASE, secret_scan.Rule("key", re.compile("KEY")))
+    found = {r["path"]: r["spans"] for r in secret_scan.scan(versions.where("path = 8"), ledger, rules=other).collect()}
+    assert found == {8: "key:23:26"} and secret_scan.version(other) != secret_scan.version(secret_scan.RULES)
+    assert spark.read.parquet(ledger).where(F.col("rules") == secret_scan.version(other)).count() == 1
     assert secret_scan.scan(versions.limit(0), f"file://{tmp_path}/none").collect() == []
     docs = spark.createDataFrame([(1, "a token=123456789012345 b", "x"), (2, None, "y")], "doc_id long, text string, blob string")
     clean = {r["doc_id"]: r["text"] for r in secret_scan.clean(docs, f"file://{tmp_path}/clean").collect()}
     assert clean == {1: "a <assign> b", 2: None}
 
 
+def test_secrets_of_documents(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in secret_scan.scan(docs, f"file://{tmp_path}/ledger", "text", ("doc_id",)).collect():
+        assert r["base_sha256"] == sha(spans_text(plain_secrets(texts[r["doc_id"]])))
+
+
 PAGES = [(3, "u3", "<p>a"), (1, "u1", None), (2, None, ""), (4, "u4", "<p>a"), (5, "u5\r\nx", "é" * 70000), (None, "u", "<p>a"), (6, "u6", "é" * 70000), (7, "u7", "x"), (7, "u7", "x")]
 
 
@@ -280,3 +330,21 @@ def test_html_wrapped_articles():
     assert html_cut.main_text(f'<body><div class="cookie-notice"><p>We use cookies to improve the site and your experience.</p></div>{ARTICLE}</body>') == ARTICLE_TEXT
     deep = "<div>" * 20000 + "<form><main>" * 2000 + "<p>One sentence, long enough to be read.</p>"
     assert html_cut.main_text(deep) == "One sentence, long enough to be read."
+
+
+def test_html_short_pages_keep_their_text():
+    for page, text in {"<p>Hi</p>": "Hi", "plain text page": "plain text page", "<nav><a href=1>Home</a></nav><p>Hi there</p>": "Hi there", "a < b and c > d": "a < b and c > d", "<nav>menu</nav>": "", "<footer>(c)</footer><script>x</script>": ""}.items():
+        assert html_cut.main_text(page) == text
+    tips = '<article><p>One two three, and more of it.</p><div class="search-tips"><p>How to search well.</p></div><div class="related-posts"><a href=x>More</a></div></article>'
+    assert html_cut.main_text(tips) == "One two three, and more of it. How to search well."
+
+
+def test_html_broken_pages_take_linear_time():
+    import time
+
+    for piece in ("<a ", '<a x="', "<div>text", "</script ", "<script></script ", "<a '>", "<!", "<svg>", "<p>a</p>", "<div></table>"):
+        began = time.process_time()
+        html_cut.main_text(piece * (400_000 // len(piece)))
+        assert time.process_time() - began < 10, piece
+    deep = "<div>" * 60_000 + "</table>" * 60_000 + "<p>One sentence, long enough to be read.</p>"
+    assert html_cut.main_text(deep) == "One sentence, long enough to be read."
