@@ -60,3 +60,38 @@ def same(a: Column, b: Column) -> Column:
     flat = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
     one, two = F.to_json(F.try_parse_json(a)), F.to_json(F.try_parse_json(b))
     return F.coalesce(one == two, F.lit(False)) | (flat(a) == flat(b))
+
+
+def as_text(v: Column) -> Column:
+    """A variant as text: a string as it is, anything else as JSON; null stays null."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+
+
+#: The target of a task that names none.
+TARGET = {"max_size_gb": 7.0, "min_tok_s": 40.0, "laptop_ram_gb": 16}
+
+
+def draft(c: Column) -> Column:
+    """A task specification from a model's reply, as struct; null if there is no JSON object in it.
+
+    An object may sit under `taskspec`; texts may be any JSON, names become slugs, unknown fields go and missing
+    ones get their defaults. bad_seeds tells of examples that aren't objects with input and output.
+    """
+    from .text import slug
+
+    v = first_object(c)
+    has = lambda v, k: F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
+    get = lambda k, kind="variant": F.try_variant_get(spec, f"$.{k}", kind)
+    spec = F.when(F.schema_of_variant(F.try_variant_get(v, "$.taskspec", "variant")).startswith("OBJECT") & ~has(v, "seed_examples"), F.try_variant_get(v, "$.taskspec", "variant")).otherwise(v)
+    seeds = get("seed_examples", "array<variant>")
+    whole = lambda e: F.schema_of_variant(e).startswith("OBJECT") & has(e, "input") & has(e, "output")
+    field = lambda e, k: as_text(F.try_variant_get(e, f"$.{k}", "variant"))
+    target = F.struct(*(F.coalesce(get(f"target.{k}", "double"), F.lit(float(d))).cast("int" if k.endswith("ram_gb") else "double").alias(k) for k, d in TARGET.items()))
+    out = F.struct(
+        F.coalesce(F.nullif(get("version", "int"), F.lit(0)), F.lit(1)).alias("version"), slug(as_text(get("task_name"))).alias("task_name"),
+        *(as_text(get(k)).alias(k) for k in ("description", "input_format", "output_format")),
+        F.transform(F.filter(seeds, whole), lambda e: F.struct(field(e, "input").alias("input"), field(e, "output").alias("output"), F.lit("").alias("tests"))).alias("seed_examples"),
+        as_text(get("eval_criteria")).alias("eval_criteria"), target.alias("target"), F.lit("text").alias("task_type"), F.lit(None).cast("string").alias("language"),
+        F.coalesce(F.exists(seeds, lambda e: ~F.coalesce(whole(e), F.lit(False))), F.lit(False)).alias("bad_seeds"),
+    )
+    return F.when(v.isNotNull(), out)

@@ -18,9 +18,102 @@ def first_wins(df: DataFrame, key: Column, order: str) -> DataFrame:
     return least.select("__row.*")
 
 
-def dedupe_inputs(df: DataFrame, column: str = "text", order: str = "doc_id", longest: int = LONGEST_INPUT) -> DataFrame:
-    """Rows up to `longest` characters, the first of each normalised key; longer rows never claim one."""
-    return first_wins(df.where(F.length(column) <= longest), text.norm_key(F.col(column)), order)
+def first_keys(df: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order) of the first row of each key; both are plain columns, so a hash aggregation of fixed width does it."""
+    return df.groupBy(key).agg(F.min(order).alias(order))
+
+
+def dedupe_inputs(df: DataFrame, column: str = "text", order: str = "doc_id", longest: int = LONGEST_INPUT, tests: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Rows up to `longest` characters (with their tests), the first of each normalised key, which comes with them as norm_key; longer rows never claim one.
+
+    keep names the columns wanted, all by default. `order` is one of them and tells rows apart: the winners are found on
+    keys alone, and the other columns join them by it.
+    """
+    size = F.length(column) + (F.coalesce(F.length(tests), F.lit(0)) if tests else F.lit(0))
+    keyed = df.where(size <= longest).withColumn("norm_key", text.norm_key(F.col(column)))
+    winners = first_keys(keyed, "norm_key", order)
+    others = [c for c in (keep or df.columns) if c != order]
+    return winners.join(df.where(size <= longest).select(order, *others), order) if others else winners
+
+
+def usable_inputs(df: DataFrame, code: bool) -> DataFrame:
+    """Stored inputs that can be used again: those of code tasks need their tests."""
+    return df.where(F.coalesce("tests", F.lit("")) != "") if code else df
+
+
+def with_tests_of(answers: DataFrame, inputs: DataFrame) -> DataFrame:
+    """answers (input, ...) with the tests of their input; inputs (input, tests) have each input once."""
+    return answers.join(inputs.select("input", "tests"), "input")
+
+
+def with_provenance(inputs: DataFrame, external: DataFrame) -> DataFrame:
+    """All inputs, and whether they come from outside."""
+    return inputs.withColumn("external", F.lit(False)).unionByName(external.withColumn("external", F.lit(True)))
+
+
+def gather_inputs(write, seeds: DataFrame, rows: int, held_out: int, rounds: int = 6, column: str = "input"):
+    """Ask write(round, how many are wanted) for inputs until there are 1.3 times what is needed, a round adds none, or the rounds are over.
+
+    New inputs are those whose normalised key is neither a seed's nor an earlier round's; the first of equals stays.
+    write() gives (ord, column, ...) with ascending ord; what is kept so far is checkpointed by each round. Returns
+    (inputs, rounds taken).
+    """
+    target, tries = overshoot(rows, held_out, rounds)
+    kept, have, taken = None, 0, 0
+    for taken in (t + 1 for t in tries):
+        if have >= target:
+            return kept.orderBy("ord").limit(target), taken - 1
+        known = seeds.select(column) if kept is None else seeds.select(column).unionByName(kept.select(column))
+        fresh = unseen(dedupe_inputs(write(taken, target - have), column, "ord"), F.col("norm_key"), known, text.norm_key(F.col(column))).drop("norm_key")
+        fresh = fresh.checkpoint() if fresh.sparkSession.sparkContext.getCheckpointDir() else fresh
+        added = fresh.count()
+        kept, have = fresh if kept is None else kept.unionByName(fresh), have + added
+        if not added:
+            break
+    return kept.orderBy("ord").limit(target), taken
+
+
+def seed_gate(results: DataFrame, order: str = "ord") -> None:
+    """Raise with the first seed whose answer fails its own tests: results (ord, passed, reason, output)."""
+    bad = results.where("not passed")
+    first = bad.orderBy(order).first()
+    if first is not None:
+        raise ValueError(f"{bad.count()} seed examples fail their own tests; seed {first[order]}: {first['reason']}\n{first['output']}")
+
+
+def statistics(df: DataFrame, name: str, reason: str = "reason"):
+    """(df, observation): counts of all, kept and dropped rows, told once df has been written; a row is kept if its reason is empty."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    kept = F.coalesce(F.col(reason), F.lit("")) == ""
+    return df.observe(seen, F.count("*").alias("rows"), F.count_if(kept).alias("kept"), F.count_if(~kept).alias("dropped")), seen
+
+
+def stats_document(checked: DataFrame, facts: dict, reason: str = "reason") -> DataFrame:
+    """One row with the column `stats`: how many answers were kept, how many dropped for each reason, and the facts given."""
+    by = checked.groupBy(F.coalesce(reason, F.lit("")).alias("r")).agg(F.count("*").alias("n"))
+    one = by.agg(F.coalesce(F.sum(F.when(F.col("r") == "", F.col("n"))), F.lit(0)).alias("answered"), F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("r") != "", F.struct("r", "n"))))).alias("dropped"))  # a few reasons
+    return one.select(F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in facts.items()), "answered", "dropped")).alias("stats"))
+
+
+def dry_replies(prompts: DataFrame, key: str, seeds: list[dict], seed: str, code: bool = False) -> DataFrame:
+    """prompts with text and finished as a stand-in for a model gives them: seed answers, a few of them broken, wrong or cut off.
+
+    What a prompt gets depends on the seed and its key alone: a share between 0 and 1 from their md5.
+    """
+    share = F.conv(F.substring(seeded(seed, key), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    answers = F.array(*(F.lit(e["output"]) for e in seeds))
+    pick = (F.pmod(F.xxhash64(key), F.lit(len(seeds))) + 1).cast("int")
+    own, other = F.element_at(answers, pick), F.element_at(answers, (F.pmod(pick, F.lit(len(seeds))) + 1).cast("int"))
+    fenced = F.concat(F.lit("Here is the code:\n```\n"), own, F.lit("\n```"))
+    said = F.when(share < 0.05, "{broken").when(share < 0.15, other).otherwise(fenced) if code else F.when(share < 0.03, "{broken").otherwise(own)
+    return prompts.withColumn("text", said).withColumn("finished", F.lit(True) if code else share < 0.99)
+
+
+def cut_rows(tokenised: DataFrame, max_len: int, ids: str = "input_ids") -> DataFrame:
+    """One row: how many rows there are, and how many reach max_len."""
+    return tokenised.agg(F.count("*").alias("rows"), F.count_if(F.size(ids) >= max_len).alias("n_cut"))
 
 
 def unseen(df: DataFrame, key: Column, seen: DataFrame, seen_key: Column) -> DataFrame:

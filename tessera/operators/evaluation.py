@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import pass_at_k
+from ..functions.text import score_shown
 
+#: Groups whose medians are refined together.
+GROUPS = 10_000
 #: Reasons that say nothing about an answer.
 CANNOT_RUN = ("missing_toolchain", "unsupported_language")
 
@@ -19,13 +22,34 @@ def per_problem(results: DataFrame) -> DataFrame:
 
 
 def summarize(results: DataFrame, ks: list[int]) -> DataFrame:
-    """Per suite: problems, mean pass@k rounded to four places, and skipped if none of its answers could run."""
+    """Per suite of (suite, language, id, passed, reason): language or "mixed", problems, mean pass@k to four places, and how often each status came.
+
+    A suite of which no answer could run is skipped: it has the statuses that say why, and no scores.
+    """
     problems = per_problem(results)
     means = problems.groupBy("suite").agg(F.count("*").alias("problems"), *(F.round(F.avg(pass_at_k(F.col("n"), F.col("c"), k)), 4).alias(f"pass_at_{k}") for k in ks))
-    status = F.when(F.col("passed"), "pass").otherwise(F.coalesce(F.nullif("reason", F.lit("")), F.lit("test_failed")))
-    none = results.groupBy("suite").agg(F.bool_and(status.isin(*CANNOT_RUN)).alias("skipped"))
-    joined = means.join(none, "suite")
-    return joined.select("suite", "problems", "skipped", *(F.when(~F.col("skipped"), F.col(f"pass_at_{k}")).alias(f"pass_at_{k}") for k in ks))
+    counts = status_counts(results).groupBy("suite").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("status"))  # a few kinds
+    spoken = results.groupBy("suite").agg(F.when(F.min("language").eqNullSafe(F.max("language")), F.min("language")).otherwise("mixed").alias("language"))
+    reasons = F.map_keys("status")
+    skipped = F.when(F.forall(reasons, lambda x: x.isin(*CANNOT_RUN)), F.array_join(reasons, ", "))
+    joined = means.join(counts, "suite").join(spoken, "suite").withColumn("skipped", skipped)
+    return joined.select("suite", "language", "problems", "status", "skipped", *(F.when(F.col("skipped").isNull(), F.col(f"pass_at_{k}")).alias(f"pass_at_{k}") for k in ks))
+
+
+def broken_suites(results: DataFrame) -> DataFrame:
+    """(suite, answers, could_not_run): totals of the suites with answers that could not run."""
+    counts = status_counts(results).groupBy("suite").agg(F.sum("n").alias("answers"), F.sum(F.when(F.col("status").isin(*CANNOT_RUN), F.col("n")).otherwise(0)).alias("could_not_run"))
+    return counts.where("could_not_run > 0")
+
+
+def pass_rate(results: DataFrame) -> DataFrame:
+    """One row: the share of programs that passed, to three places; 0 without any."""
+    return results.agg(F.coalesce(F.round(F.avg(F.col("passed").cast("int")), 3), F.lit(0.0)).alias("pass_rate"))
+
+
+def mean_scores(rows: DataFrame) -> DataFrame:
+    """One row of rows (agreement, judge): their means to three places; the judge's over what it scored, null if nothing."""
+    return rows.agg(F.round(F.avg("agreement"), 3).alias("agreement"), F.round(F.avg("judge"), 3).alias("judge"))
 
 
 def status_counts(results: DataFrame) -> DataFrame:
@@ -44,10 +68,57 @@ def share_of_ref(suites: DataFrame, ref: DataFrame, column: str = "pass_at_1") -
     return suites.where(F.col(column).isNotNull()).join(r, "suite").select("suite", F.round(F.col(column) / F.col("__ref"), 4).alias("share"))
 
 
-def score_method(candidates: DataFrame) -> DataFrame:
-    """pass@1 if all candidates have it, else the judge's score, else agreement."""
+def ref_shares(suites: DataFrame, ref: DataFrame, column: str = "pass_at_1") -> DataFrame:
+    """One row: mean and least of the shares to four places, null without any."""
+    return share_of_ref(suites, ref, column).agg(F.round(F.avg("share"), 4).alias("mean"), F.round(F.min("share"), 4).alias("least"))
+
+
+def first_named(rows: DataFrame, name: str, names: list, winner_: Column | None = None) -> DataFrame:
+    """The row whose name comes first in names, else the winner's: at most one."""
+    rank = F.array_position(F.array(*map(F.lit, names)), F.col(name))
+    rank = F.when(rank > 0, rank)
+    if winner_ is not None:
+        rank = F.coalesce(rank, F.when(F.col(name) == winner_, F.lit(len(names) + 1)))
+    return rows.withColumn("__rank", rank).where("__rank is not null").orderBy("__rank").limit(1).drop("__rank")
+
+
+def why(candidates: DataFrame, chosen: str, method: str, max_size: float, min_speed: float) -> DataFrame:
+    """One row: why a candidate was chosen among (name, ord, score, size_gb, tok_s, meets_target), and which better ones missed the target."""
+    what = {"judge": "judge score", "pass_at_1": "pass rate on the code tests"}.get(method, "agreement with the teacher")
+    goal = f"target of {max_size:g} GB and {min_speed:g} tokens a second"
+    shown = lambda c: score_shown(c, F.lit(method))
+    reasons = F.array_compact(F.array(F.when(F.col("size_gb") > max_size, F.format_string("%.1f GB", F.col("size_gb"))), F.when(F.coalesce("tok_s", F.lit(0.0)) < min_speed, F.format_string("%.0f tokens a second", F.coalesce("tok_s", F.lit(0.0))))))
+    note = F.when((F.col("name") != chosen) & ~F.col("meets_target"), F.concat("name", F.lit(" scores "), shown(F.col("score")), F.lit(" but misses it ("), F.concat_ws(", ", reasons), F.lit(")")))
+    value = F.struct(F.coalesce("score", F.lit(-1.0)), -F.col("ord"))
+    best = F.max_by(F.struct("name", "score"), F.when(F.col("meets_target"), value))
+    facts = candidates.agg(F.count("*").alias("n"), best.alias("best"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(note.isNotNull(), F.struct("ord", note.alias("note"))))), lambda x: x["note"]), "; ").alias("notes"))  # a handful
+    lead = F.lit(f"best {what} among candidates that meet the {goal}")
+    text = F.when(F.col("best").isNull(), f"no candidate met the {goal}, so the best {what} was taken").when((F.col("best.name") == chosen) & (F.col("n") == 1), f"the only candidate, and it meets the {goal}")
+    text = text.when(F.col("best.name") == chosen, F.when(F.col("notes") == "", lead).otherwise(F.concat(lead, F.lit("; "), F.col("notes"))))
+    return facts.select(text.otherwise(F.concat(F.lit("within 2 points of "), F.col("best.name"), F.lit(" ("), shown(F.col("best.score")), F.lit("), and preferred for its speed"))).alias("why"))
+
+
+def zipped(left: DataFrame, right: DataFrame, order: str = "ord") -> DataFrame:
+    """Rows of both sides at the same place, which both have as a column; rows without a partner go, as the shorter side ends."""
+    return left.join(right, order)
+
+
+def status_listing(api: DataFrame, disk: DataFrame) -> DataFrame:
+    """api (job, state, ...) with the state that disk (job, label) tells of jobs that the service only has as queued."""
+    told = F.when(F.col("state") == "queued", F.coalesce("label", "state")).otherwise(F.col("state"))
+    return api.join(disk.select("job", "label"), "job", "left").withColumn("state", told).drop("label")
+
+
+def difference(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(value, missing_in): values of one column that only one of two frames has, once each."""
+    a, b = (df.select(F.col(df.columns[0]).alias("value")).distinct() for df in (one, two))
+    return a.exceptAll(b).withColumn("missing_in", F.lit("two")).unionByName(b.exceptAll(a).withColumn("missing_in", F.lit("one")))
+
+
+def score_method(candidates: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """pass@1 if all candidates have it, else the judge's score, else agreement; over all, or for each group."""
     every = lambda c: F.bool_and(F.col(c).isNotNull())
-    return candidates.agg(F.when(every("pass_at_1"), "pass_at_1").when(every("judge_score"), "judge_score").otherwise("agreement").alias("method"))
+    return candidates.groupBy(*(by or [])).agg(F.when(every("pass_at_1"), "pass_at_1").when(every("judge_score"), "judge_score").otherwise("agreement").alias("method"))
 
 
 def meets_target(size: Column, speed: Column, max_size: float, min_speed: float) -> Column:
@@ -111,15 +182,47 @@ def sensitivities(layers: DataFrame, importance: str, energy: str, power: float
 def moving_loss(df: DataFrame, by: str, order: str, value: str, keep: float = 0.9, chunk: int = 10_000) -> DataFrame:
     """Exponential moving average in order of an integer, started with the first value.
 
-    A run of steps is an affine map, so stretches of `chunk` orders are folded apart and their maps are folded in turn.
+    Its weights are powers of `keep` by how many steps follow, so it is a sum: places are counted within stretches of
+    `chunk` orders and shifted by the sizes of the stretches after them, and no key's steps come together.
     """
     first = df.groupBy(by).agg(F.min(order).alias("__first"))
-    part = df.join(first, by).withColumn("__chunk", F.floor(F.col(order) / chunk))
-    part = part.withColumn("__v", F.when(F.col(order) == F.col("__first"), F.col(value)).otherwise(F.col(value) * (1 - keep)))
-    rows = part.groupBy(by, "__chunk").agg(F.sort_array(F.collect_list(F.struct(order, "__v"))).alias("__r"))
-    step = rows.select(by, "__chunk", F.size("__r").alias("n"), F.aggregate("__r", F.lit(0.0), lambda a, r: a * keep + r["__v"]).alias("x"))
-    whole = step.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("__chunk", "n", "x"))).alias("__s"))
-    return whole.select(by, F.aggregate("__s", F.lit(0.0), lambda a, s: a * F.pow(F.lit(keep), s["n"]) + s["x"]).alias("ema"))
+    rows = df.select(by, order, value).join(first, by).withColumn("__chunk", F.floor(F.col(order) / chunk))
+    sizes = rows.groupBy(by, "__chunk").agg(F.count("*").alias("__n"))
+    later = F.coalesce(F.sum("__n").over(Window.partitionBy(by).orderBy(F.desc("__chunk")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(by, "__chunk").orderBy(F.desc(order))) - 1
+    own = F.when(F.col(order) == F.col("__first"), F.lit(1.0)).otherwise(1 - keep)
+    folded = rows.withColumn("__w", own * F.pow(F.lit(keep), place)).groupBy(by, "__chunk").agg(F.sum(F.col(value) * F.col("__w")).alias("__x"))
+    parts = folded.join(sizes.withColumn("__later", later), [by, "__chunk"])
+    return parts.groupBy(by).agg(F.sum(F.col("__x") * F.pow(F.lit(keep), "__later")).alias("ema"))
+
+
+def exact_median(df: DataFrame, by: str, value: str, bins: int = 4096) -> DataFrame:
+    """(by, median) of the non-null values of each group, interpolated as usual.
+
+    Histograms of a group's range are refined until the bins of both middle ranks hold one value each, so only counts
+    are gathered; each round is an aggregation that combines before its shuffle. The ranges, two rows a group, are on
+    the driver; with more than GROUPS groups the built-in median takes over.
+    """
+    spark = df.sparkSession
+    v = df.select(by, F.col(value).cast("double").alias("__v")).where("__v is not null")
+    state = v.groupBy(by).agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    if len(state.select(by).head(GROUPS + 1)) > GROUPS:
+        return v.groupBy(by).agg(F.median("__v").alias("median"))
+    ranks = F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
+    state = state.select(by, F.explode(F.array_distinct(ranks)).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("below"))
+    rows = {tuple(r[:2]): r for r in state.collect()}  # two rows a group
+    while any(r["lo"] < r["hi"] for r in rows.values()):
+        state = spark.createDataFrame([tuple(r) for r in rows.values()], state.schema)
+        width = (F.col("hi") - F.col("lo")) / bins
+        bin_ = F.least(F.floor((F.col("__v") - F.col("lo")) / width), F.lit(bins - 1))
+        inside = v.join(F.broadcast(state), by).where("lo < hi and __v between lo and hi").groupBy(by, "rank", "below", bin_.alias("b"))
+        counts = inside.agg(F.count("*").alias("c"), F.min("__v").alias("l"), F.max("__v").alias("h"))
+        to = F.sum("c").over(Window.partitionBy(by, "rank").orderBy("b")) + F.col("below")
+        found = counts.withColumn("to", to).where((F.col("to") >= F.col("rank")) & (F.col("to") - F.col("c") < F.col("rank")))
+        for r in found.select(by, "rank", F.col("l").alias("lo"), F.col("h").alias("hi"), (F.col("to") - F.col("c")).alias("below")).collect():
+            rows[tuple(r[:2])] = r
+    state = spark.createDataFrame([tuple(r) for r in rows.values()], state.schema)
+    return state.groupBy(by).agg(F.avg("lo").alias("median"))
 
 
 def shares(df: DataFrame, value: str, n: int = 4) -> DataFrame:

@@ -89,6 +89,91 @@ def run_summary(tickets: DataFrame, calls: DataFrame) -> DataFrame:
     return t.crossJoin(c).withColumn("first_try_share", F.col("first_try") / per).withColumn("calls_per_done", F.col("calls") / per).withColumn("tokens_per_done", F.col("tokens") / per)
 
 
+def run_figures(tickets: DataFrame, calls: DataFrame, spans: DataFrame) -> DataFrame:
+    """run_summary() with the peak of parallel calls, and the speed-up of the run over one call after the other; spans is (start, end) in milliseconds."""
+    wall = spans.agg((F.max("end") - F.min("start")).alias("wall_ms"), F.sum(F.col("end") - F.col("start")).alias("serial_ms"))
+    one = run_summary(tickets, calls).crossJoin(F.broadcast(wall)).crossJoin(F.broadcast(peak_concurrency(spans, "start", "end", chunk=3_600_000)))  # one row each
+    return one.withColumn("speed_up", speed_up(F.col("serial_ms"), F.col("wall_ms")))
+
+
+def run_meter(tickets: DataFrame, concurrency: int) -> DataFrame:
+    """One row for the head of a run's view: tickets of each state, done of all, running of the slots."""
+    counts = [F.count_if(F.col("state") == s).alias(s) for s in ("waiting", "running", "done", "failed", "skipped")]
+    t = tickets.agg(F.count("*").alias("tickets"), *counts)
+    slots = F.lit(str(concurrency) if concurrency else "-")
+    return t.withColumn("progress", F.format_string("%d/%d done", "done", "tickets")).withColumn("agents", F.concat(F.col("running").cast("string"), F.lit("/"), slots))
+
+
+def speed_up(serial_ms: Column, wall_ms: Column) -> Column:
+    """How many times as fast as one after the other, a dash without wall time."""
+    return F.when(wall_ms > 0, F.format_string("%.1fx", serial_ms / wall_ms)).otherwise("-")
+
+
+def decode_speed(calls: DataFrame) -> DataFrame:
+    """One row: tokens a second over all calls (tokens, ns)."""
+    return calls.agg(F.try_divide(F.sum("tokens"), F.sum("ns") / 1e9).alias("tok_s"))
+
+
+def part_progress(events: DataFrame, part: str, order: str) -> DataFrame:
+    """One row: the mean of the parts' last percentages."""
+    return last_per_key(events, [part], order, ["pct"]).agg(F.avg("pct").alias("pct"))
+
+
+def job_counts(jobs: DataFrame) -> DataFrame:
+    """One row: jobs, those that run, and candidates over all."""
+    return jobs.agg(F.count("*").alias("jobs"), F.count_if(F.col("state") == "running").alias("running"), F.sum(F.size("candidates")).alias("candidates"))
+
+
+def log_sections(lines: DataFrame, by: list[str], order: str, line: str = "line") -> DataFrame:
+    """(by, sections, filled): headed sections of each log, and its lines that aren't blank."""
+    return lines.groupBy(*by).agg(F.count_if(F.col(line).startswith("===== ")).alias("sections"), F.count_if(F.trim(line) != "").alias("filled"))
+
+
+def last_section(lines: DataFrame, by: list[str], order: str, line: str = "line") -> DataFrame:
+    """The lines of each log from its last heading on; all of a log without one."""
+    return latest_run(lines, F.col(line).startswith("===== "), order, by)
+
+
+def stage_states(logs: DataFrame, markers: DataFrame, order: str = "n") -> DataFrame:
+    """(job, stage, status, pct, msg): done where a marker says so, else what the last protocol line of the log's last section says, else pending.
+
+    logs is (job, stage, n, line), markers (job, stage).
+    """
+    parsed = last_section(logs, ["job", "stage"], order).withColumn("e", parse_line(F.col("line"))).where("e is not null")
+    last = last_per_key(parsed.select("job", "stage", order, "e.status", "e.pct", "e.msg"), ["job", "stage"], order, ["status", "pct", "msg"])
+    known = logs.select("job", "stage").unionByName(markers.select("job", "stage")).distinct()
+    rows = known.join(last, ["job", "stage"], "left").join(markers.select("job", "stage", F.lit(True).alias("__done")), ["job", "stage"], "left")
+    done = F.coalesce("__done", F.lit(False))
+    return rows.select("job", "stage", F.when(done, "done").otherwise(F.coalesce("status", F.lit("pending"))).alias("status"), F.when(done, 100.0).otherwise(F.col("pct")).alias("pct"), "msg")
+
+
+def newest_lines(lines: DataFrame, by: str, order: str, n: int = 200) -> DataFrame:
+    """The last n lines of each log."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))
+    return lines.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
+
+
+def check_failures(checks: DataFrame, ticket: str, order: str, tail: int = 1500) -> DataFrame:
+    """(ticket, command, log): the first command of each ticket that failed, with the end of what it said."""
+    out = F.coalesce("out", F.lit(""))
+    said = F.concat(F.lit("$ "), F.col("command"), F.lit("\n"), F.when(F.length(out) <= tail, out).otherwise(F.right(out, F.lit(tail))), F.lit("\n"))
+    return checks.where("not passed").groupBy(ticket).agg(F.min_by(F.struct("command", said.alias("log")), order).alias("__r")).select(ticket, "__r.*")
+
+
+def fix_ticket(tickets: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row for the ticket that mends failed ones (id): their files and reads once each, and all of their acceptance commands, in plan order."""
+    involved = tickets.join(failed.select("id"), "id", "left_semi").agg(F.sort_array(F.collect_list(F.struct("ord", "id", "model", "image", "owns", "reads", "acceptance"))).alias("t"))  # a plan's tickets
+    flat = lambda c: F.flatten(F.transform("t", lambda x: x[c]))
+    first = lambda c, default: F.coalesce(F.try_element_at("t", F.lit(1))[c], F.lit(default)).alias(c)
+    ids = F.array_join(F.transform("t", lambda x: x["id"]), ", ")
+    return involved.select(F.lit("integrate-fix").alias("id"), F.concat(F.lit("Fix integration of "), ids).alias("title"), first("model", "coder"), first("image", "node"), F.array_distinct(flat("owns")).alias("owns"), F.array_distinct(flat("reads")).alias("reads"), flat("acceptance").alias("acceptance"))
+
+
+def with_ticket(events: DataFrame, tickets: DataFrame) -> DataFrame:
+    """events with their ticket's columns, null where none is known."""
+    return events.join(tickets, "ticket", "left")
+
+
 def first_failure(checks: DataFrame, ticket: str, order: str) -> DataFrame:
     """The first command of each ticket that failed."""
     return checks.where("not passed").groupBy(ticket).agg(F.min_by("command", order).alias("command"))

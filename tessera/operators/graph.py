@@ -22,18 +22,21 @@ def edges(tickets: DataFrame) -> DataFrame:
     return tickets.select("id", F.explode("depends_on").alias("dep")).distinct()
 
 
-def ancestors(edge: DataFrame, rounds: int = 64) -> DataFrame:
-    """(id, anc): everything an id depends on, directly or not. Each round doubles the path length; checkpoints cut the lineage."""
-    reach = edge.select("id", F.col("dep").alias("anc")).distinct()
-    for _ in range(rounds):
+def _cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint, or keep the rows where no folder for one is set (a single machine)."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def ancestors(edge: DataFrame) -> DataFrame:
+    """(id, anc): everything an id depends on, directly or not. Each round doubles the path length and cuts the lineage, until none is new."""
+    reach = _cut(edge.select("id", F.col("dep").alias("anc")).distinct())
+    known = reach.count()
+    while True:
         step = reach.select(F.col("id").alias("__mid"), F.col("anc").alias("__far"))
-        grown = reach.unionByName(reach.join(step, F.col("anc") == F.col("__mid")).select("id", F.col("__far").alias("anc"))).distinct()
-        if edge.sparkSession.sparkContext.getCheckpointDir():
-            grown = grown.checkpoint()
-        if grown.count() == reach.count():
-            return grown
-        reach = grown
-    return reach
+        reach = _cut(reach.unionByName(reach.join(step, F.col("anc") == F.col("__mid")).select("id", F.col("__far").alias("anc"))).distinct())
+        if (grown := reach.count()) == known:
+            return reach
+        known = grown
 
 
 def ancestors_sql(view: str) -> str:
@@ -46,28 +49,42 @@ def in_cycles(closure: DataFrame) -> DataFrame:
     return closure.where("id = anc").select("id").distinct()
 
 
+def distances(edge: DataFrame) -> DataFrame:
+    """(id, anc, d): how many steps each id is from what it depends on, at least. Each round doubles the path length."""
+    reach = _cut(edge.select("id", F.col("dep").alias("anc"), F.lit(1).cast("long").alias("d")).distinct())
+    known = reach.agg(F.count("*"), F.sum("d")).first()
+    while True:
+        step = reach.select(F.col("id").alias("anc"), F.col("anc").alias("__far"), F.col("d").alias("__d"))
+        longer = reach.join(step, "anc").select("id", F.col("__far").alias("anc"), (F.col("d") + F.col("__d")).alias("d"))
+        reach = _cut(reach.unionByName(longer).groupBy("id", "anc").agg(F.min("d").alias("d")))
+        if (grown := reach.agg(F.count("*"), F.sum("d")).first()) == known:
+            return reach
+        known = grown
+
+
 def cycle_paths(edge: DataFrame) -> DataFrame:
-    """A path id -> ... -> id for every cycle through its smallest id; only ids in cycles are walked.
+    """A path id -> ... -> id for each strongly connected part of the graph: a shortest cycle through its smallest id, the least of equals.
 
-    Paths don't repeat ids, so the walk ends. Checkpoints cut the lineage.
+    Distances tell which ids are on such a cycle, and where; each has a least successor, and stretches of the path are
+    joined end to end, so a cycle of any length takes a logarithmic number of rounds.
     """
-    inside = in_cycles(ancestors(edge))
-    e = edge.join(inside, "id", "left_semi").join(inside.select(F.col("id").alias("dep")), "dep", "left_semi")
-    step = e.select(F.col("id").alias("__from"), F.col("dep").alias("__to"))
-    walk = e.where("dep >= id").select(F.col("id").alias("start"), F.array("id", "dep").alias("path"))
-    found = walk.where("element_at(path, -1) = start")
-    walk = walk.where("element_at(path, -1) <> start")
-    saves = edge.sparkSession.sparkContext.getCheckpointDir()
-    if saves:
-        step = step.checkpoint()
-    while not walk.isEmpty():
-        more = walk.join(step, F.element_at("path", -1) == F.col("__from")).where("__to = start or (__to > start and not array_contains(path, __to))")
-        more = more.select("start", F.concat("path", F.array("__to")).alias("path"))
-        if saves:
-            more = more.checkpoint()
-        found = found.unionByName(more.where("element_at(path, -1) = start"))
-        walk = more.where("element_at(path, -1) <> start")
-    return found.select("path")
+    d = distances(edge)
+    back = d.select(F.col("anc").alias("id"), F.col("id").alias("anc"), F.col("d").alias("home"))
+    both = d.join(back, ["id", "anc"])  # ids that reach each other
+    first = both.groupBy("id").agg(F.min("anc").alias("start")).where("id = start").select("start")
+    whole = d.where("id = anc").select(F.col("id").alias("start"), F.col("d").alias("size"))
+    on = both.withColumnRenamed("id", "start").join(first, "start").join(whole, "start")
+    on = on.where("anc <> start and d + home = size").select("start", F.col("anc").alias("id"), F.col("d").alias("at"), "size")
+    on = _cut(on.unionByName(first.join(whole, "start").select("start", F.col("start").alias("id"), F.lit(0).cast("long").alias("at"), "size")))
+    after = on.select("start", F.col("id").alias("to"), F.when(F.col("at") == 0, F.col("size")).otherwise(F.col("at")).alias("end"))
+    e = edge.select("id", F.col("dep").alias("to")).distinct()
+    part = on.join(e, "id").join(after, ["start", "to"]).where("end = at + 1").groupBy("start", "id", "at", "size").agg(F.min("to").alias("to"))
+    part = _cut(part.select("start", "id", "at", "size", "to", (F.col("at") + 1).alias("end"), F.array("to").alias("path")))
+    while not part.where("at = 0 and end < size").isEmpty():
+        rest = part.select("start", F.col("at").alias("end"), F.col("id").alias("to"), F.col("to").alias("__to"), F.col("end").alias("__end"), F.col("path").alias("__path"))
+        joined = part.join(rest, ["start", "to", "end"], "left")
+        part = _cut(joined.select("start", "id", "at", "size", F.coalesce("__to", "to").alias("to"), F.coalesce("__end", "end").alias("end"), F.when(F.col("__path").isNull(), F.col("path")).otherwise(F.concat("path", "__path")).alias("path")))
+    return part.where("at = 0").select(F.concat(F.array("start"), "path").alias("path"))
 
 
 def unknown_dependencies(tickets: DataFrame) -> DataFrame:
@@ -161,8 +178,8 @@ def task_rules() -> dict[str, Column]:
     code = F.col("task_type") == "code"
     filled = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
     return {
-        "version": F.col("version") == 1, "task_name": filled("task_name"), "task_description": filled("task_description"), "task_type": F.col("task_type").isin("text", "code"),
-        "seed_examples": F.size("seed_examples") > 0, "language_of_code": ~code | F.coalesce(F.col("language").isin(*LANGUAGES), F.lit(False)), "language_of_text": code | F.col("language").isNull(),
+        "version": F.col("version") == 1, "task_name": filled("task_name"), "description": filled("description"), "task_type": F.col("task_type").isin("text", "code"),
+        "seed_examples": F.size("seed_examples").between(3, 50), "max_size": F.col("target.max_size_gb").between(1, 64), "language_of_code": ~code | F.coalesce(F.col("language").isin(*LANGUAGES), F.lit(False)), "language_of_text": code | F.col("language").isNull(),
         "tests": ~code | F.forall("seed_examples", lambda e: F.trim(F.coalesce(e["tests"], F.lit(""))) != ""),
     }
 
@@ -189,6 +206,50 @@ def glob_matches(patterns: DataFrame, files: DataFrame) -> DataFrame:
     return p.join(f, "__top").where("path rlike __re").select("id", "path").distinct()
 
 
+def context_files(tickets: DataFrame, files: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """(id, kind, path): what a ticket's prompt shows: interfaces and files it reads (its reads, matched), neither of which it owns, no file twice."""
+    owned = tickets.select("id", F.explode("owns").alias("path"))
+    shared = tickets.select("id").crossJoin(F.broadcast(interfaces.select("path"))).join(owned, ["id", "path"], "left_anti")  # a plan's interfaces
+    reads = glob_matches(tickets.select("id", F.explode("reads").alias("pattern")), files).join(owned, ["id", "path"], "left_anti").join(shared, ["id", "path"], "left_anti")
+    return shared.select("id", F.lit("interface").alias("kind"), "path").unionByName(reads.select("id", F.lit("read").alias("kind"), "path")).unionByName(owned.select("id", F.lit("owned").alias("kind"), "path"))
+
+
+def prompt_pack(tickets: DataFrame, shown: DataFrame, contents: DataFrame) -> DataFrame:
+    """(id, prompt): a ticket's text with its files: shown is of context_files(), contents (path, text)."""
+    from ..functions.text import file_block
+
+    blocks = shown.join(contents, "path", "left").groupBy("id").agg(*(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("path", file_block(F.col("path"), F.col("text")).alias("b"))))), lambda x: x["b"]), "\n").alias(kind) for kind in ("interface", "read", "owned")))  # a prompt's files
+    part = lambda title, c: F.concat(F.lit(f"## {title}\n"), F.coalesce(F.col(c), F.lit("")))
+    head = F.concat_ws("\n", F.concat(F.lit("Ticket: "), F.col("id")), F.concat(F.lit("Title: "), F.col("title")), F.concat(F.lit("Role: "), F.col("role")), F.lit(""), F.col("context"), F.lit(""), F.concat(F.lit("Files to write, each in full: "), F.array_join("owns", ", ")), F.concat(F.lit("Done when these commands pass: "), F.array_join("acceptance", " ; ")))
+    return tickets.join(blocks, "id", "left").select("id", F.concat_ws("\n\n", head, part("Interfaces", "interface"), part("Files to read", "read"), part("Files as they are now", "owned")).alias("prompt"))
+
+
+def architecture(components: DataFrame, decisions: DataFrame, summary: str, data_flow: str) -> DataFrame:
+    """One row with the column `markdown`: components (ord, name, language, path, responsibility, interfaces array<struct<path,description>>) and decisions (ord, decision, why) as a document."""
+    listed = lambda df, line: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), "\n")
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", "name", "language", F.concat(F.lit("`"), F.col("path"), F.lit("`")), "responsibility"), F.lit(" |"))
+    parts = F.array_join(F.transform("interfaces", lambda i: F.concat(F.lit("- `"), i["path"], F.lit("` ("), F.col("name"), F.lit("): "), i["description"])), "\n")
+    c = components.agg(listed(components, row).alias("rows"), listed(components, F.nullif(parts, F.lit(""))).alias("uses"))  # a design's parts
+    d = decisions.agg(listed(decisions, F.concat(F.lit("- **"), F.col("decision"), F.lit(".** "), F.col("why"))).alias("why"))
+    text = F.concat(
+        F.lit(f"# Architecture\n\n{summary}\n\n## Components\n\n| Component | Language | Path | Responsibility |\n|---|---|---|---|\n"), F.col("rows"), F.lit("\n\n## Interfaces\n\n"), F.col("uses"),
+        F.lit(f"\n\n## Data flow\n\n{data_flow}\n\n## Decisions\n\n"), F.col("why"), F.lit("\n"),
+    )
+    return c.crossJoin(d).select(text.alias("markdown"))
+
+
+def merge_plan(rows: list[tuple[str, int, list[str]]], failed: set[str]) -> list[tuple[str, bool]]:
+    """(id, whether it is checked again) in the order in which finished tickets are merged: those that failed, and what depends on them, are."""
+    deps = {i: d for i, _, d in rows}
+    again: set[str] = set()
+    out = []
+    for i in topological_order(rows):
+        if i in failed or again.intersection(deps[i]):
+            again.add(i)
+        out.append((i, i in again))
+    return out
+
+
 def refused_paths(written: Column, owned: Column) -> Column:
     """Files an attempt wrote without owning them."""
     return F.array_except(F.map_keys(written), owned)

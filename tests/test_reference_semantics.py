@@ -33,16 +33,16 @@ def test_check_answer(spark):
 
 
 def test_code_blocks(spark):
-    rows = [("Here:\n```c\nint a;\n```\nand\n```c\nint a;\nint b;\n```",), ("x = 1",), ("```py\nab\n```\n```py\ncd\n```",), ("```\n  keep\n```",)]
+    rows = [("One way:\n```c\nint a;\n```\nor\n```c\nint a;\nint b;\n```",), ("x = 1",), ("```py\nab\n```\n```py\ncd\n```",), ("```\n  keep\n```",)]
     got = values(spark, rows, "t string", c=text.code_of(F.col("t")), p=text.program_of(F.col("t")))
     assert [g[0] for g in got] == ["int a;\nint b;", "x = 1", "ab", "keep"]
     assert got[3][1] == "  keep"
 
 
 def test_parse_array(spark):
-    rows = [('```json\n["a long enough one", "second long one"]\n```',), ('[{"input": "from an object"}, "just a string", "short", 5]',), ("no list at all",), ("[broken",), (None,)]
+    rows = [('```json\n["this is the first", "and the second"]\n```',), ('[{"input": "out of an object"}, "a plain string", "tiny", 5]',), ("nothing listed",), ("[broken",), (None,)]
     got = values(spark, rows, "t string", a=jsontext.parse_array(F.col("t")))
-    assert [g[0] for g in got] == [["a long enough one", "second long one"], ["from an object", "just a string"], [], [], []]
+    assert [g[0] for g in got] == [["this is the first", "and the second"], ["out of an object", "a plain string"], [], [], []]
     code = [('[{"input": "write a function", "tests": "assert f()"}, {"input": "x", "tests": "y"}, {"input": "no tests given here"}]',)]
     assert [tuple(r) for r in values(spark, code, "t string", a=jsontext.parse_inputs(F.col("t")))[0][0]] == [("write a function", "assert f()")]
 
@@ -60,15 +60,15 @@ def plain_f1(a, b):
 
 def test_token_f1(spark):
     rng = random.Random(0)
-    rows = [("", ""), ("a", ""), ("the cat sat", "the cat sat down"), ("a a b", "a b b")] + [(" ".join(rng.choices("abcdé", k=rng.randint(0, 9))), " ".join(rng.choices("abcdé", k=rng.randint(0, 9)))) for _ in range(60)]
+    rows = [("", ""), ("a", ""), ("rain in the night", "rain in the night again"), ("a a b", "a b b")] + [(" ".join(rng.choices("abcdé", k=rng.randint(0, 9))), " ".join(rng.choices("abcdé", k=rng.randint(0, 9)))) for _ in range(60)]
     got = values(spark, rows, "a string, b string", f=scoring.token_f1(F.col("a"), F.col("b")))
     assert [g[0] for g in got] == pytest.approx([plain_f1(*r) for r in rows])
 
 
 def test_agreement(spark):
-    ref = json.dumps({"category": "billing", "priority": "high", "summary": "the customer was charged twice", "customer_sentiment": "angry"})
-    one = json.dumps(json.loads(ref) | {"priority": "low"})
-    rows = [(ref, ref), (f"```json\n{one}\n```", ref), ("no json", ref), ("the cat sat", "the cat sat down"), ('{"a": true}', '{"a": true, "b": null}'), ('{"a": 1}', '{"a": 1.0}')]
+    ref = json.dumps({"kind": "parcel", "size": "small", "note": "left with a neighbour at noon", "state": "delivered"})
+    one = json.dumps(json.loads(ref) | {"size": "large"})
+    rows = [(ref, ref), (f"```json\n{one}\n```", ref), ("not an object", ref), ("rain in the night", "rain in the night again"), ('{"a": true}', '{"a": true, "b": null}'), ('{"a": 1}', '{"a": 1.0}')]
     got = [g[0] for g in values(spark, rows, "a string, r string", s=scoring.agreement(F.col("a"), F.col("r")))]
     assert got[:3] == [1.0, 0.75, 0.0] and got[3] == pytest.approx(plain_f1(*rows[3])) and got[4] == 1.0
 
@@ -83,15 +83,18 @@ def test_pass_at_k(spark):
 
 
 def test_summary_and_share(spark):
-    rows = [("a", "1", True, ""), ("a", "1", False, "test_failed"), ("a", "2", False, "timeout"), ("a", "2", False, "timeout"), ("b", "1", False, "unsupported_language"), ("b", "1", False, "missing_toolchain")]
-    got = {r["suite"]: r for r in evaluation.summarize(spark.createDataFrame(rows, "suite string, id string, passed boolean, reason string"), [1, 2]).collect()}
-    assert (got["a"]["pass_at_1"], got["a"]["pass_at_2"], got["a"]["skipped"]) == (0.25, 0.5, False)
-    assert got["b"]["skipped"] and got["b"]["pass_at_1"] is None
+    rows = [("a", "c", "1", True, ""), ("a", "c", "1", False, "test_failed"), ("a", "cpp", "2", False, "timeout"), ("a", "cpp", "2", False, "timeout"), ("b", "c", "1", False, "unsupported_language"), ("b", "c", "1", False, "missing_toolchain")]
+    results = spark.createDataFrame(rows, "suite string, language string, id string, passed boolean, reason string")
+    got = {r["suite"]: r for r in evaluation.summarize(results, [1, 2]).collect()}
+    assert (got["a"]["pass_at_1"], got["a"]["pass_at_2"], got["a"]["skipped"], got["a"]["language"]) == (0.25, 0.5, None, "mixed")
+    assert got["a"]["status"] == {"pass": 1, "test_failed": 1, "timeout": 2}
+    assert (got["b"]["skipped"], got["b"]["pass_at_1"], got["b"]["language"]) == ("missing_toolchain, unsupported_language", None, "c")
+    assert [tuple(r) for r in evaluation.broken_suites(results).collect()] == [("b", 2, 2)]
+    assert evaluation.pass_rate(results).first()[0] == 0.167 and evaluation.pass_rate(results.limit(0)).first()[0] == 0.0
     mine = spark.createDataFrame([("a", 0.4), ("c", 0.9), ("d", 0.5), ("e", 0.2)], "suite string, pass_at_1 double")
     ref = spark.createDataFrame([("a", 0.5), ("c", 0.9), ("e", 0.0)], "suite string, pass_at_1 double")
-    shares = evaluation.share_of_ref(mine, ref)
-    assert {tuple(r) for r in shares.collect()} == {("a", 0.8), ("c", 1.0)}
-    assert tuple(shares.agg(F.round(F.avg("share"), 4), F.min("share")).first()) == (0.9, 0.8)
+    assert {tuple(r) for r in evaluation.share_of_ref(mine, ref).collect()} == {("a", 0.8), ("c", 1.0)}
+    assert tuple(evaluation.ref_shares(mine, ref).first()) == (0.9, 0.8)
 
 
 def test_winner(spark):
@@ -122,18 +125,58 @@ def test_moving_loss_does_not_depend_on_chunks(spark):
         assert evaluation.moving_loss(df, "k", "i", "x", chunk=chunk).first()["ema"] == pytest.approx(want)
 
 
-def test_allocation():
-    shape = allocation.Shape(48, 2048, 768, 64, 8, 151936, 32, 4, 128)
-    weight = [1 + math.sin(i / 5) ** 2 for i in range(48)]
-    mean = sum(weight) / len(weight)
-    gate_up, down = [2 * w / mean for w in weight], [1.5 * w / mean for w in weight]
-    for budget in (6.0, 6.5, 7.0):
-        got = allocation.allocate(shape, gate_up, down, budget)
-        level = [(allocation.LADDER.index(g), allocation.LADDER.index(d)) for g, d in got]
-        size = allocation.size_of(shape, level)
-        assert budget - 0.2 < size <= budget and all(g <= d <= g + 2 for g, d in level)
+CONFIG = {"num_hidden_layers": 24, "hidden_size": 1024, "moe_intermediate_size": 512, "num_experts": 32, "num_experts_per_tok": 4, "vocab_size": 50_000, "num_attention_heads": 16, "num_key_value_heads": 4, "head_dim": 64}
+
+
+def test_allocation(spark):
+    model = allocation.tensors(spark, CONFIG)
+    rows = model.collect()
+    attention, experts, words = 2 * 1024 * (16 + 4) * 64, 3 * 32 * 1024 * 512, 50_000 * 1024
+    assert sum(r["weights"] for r in rows) == 24 * (attention + experts) + 2 * words
+    gains = {(i, kind): (1 + math.sin(i / 5) ** 2) * each for i in range(24) for kind, each in (("gate_up", 2), ("down", 1.5))}
+    for budget in (0.6, 0.7, 0.8):
+        got = allocation.allocate(rows, gains, budget)
+        level = {(i, kind): allocation.LADDER.index(t) for i, kind, t in got}
+        assert all(level[i, "gate_up"] <= level[i, "down"] <= level[i, "gate_up"] + 2 for i in range(24))
+        chosen = spark.createDataFrame(got, "layer int, kind string, type string")
+        r = allocation.report(allocation.typed(model, chosen)).first()
+        size = sum(x["weights"] * allocation.BITS[{(i, k): t for i, k, t in got}.get((x["layer"], x["kind"])) or allocation.STATIC[x["kind"]]] / 8e9 for x in rows)
+        assert budget - 0.02 < size <= budget and r["size_gb"] == pytest.approx(size) and r["tok_s"] == pytest.approx(78 / r["gb_per_token"])
     with pytest.raises(ValueError):
-        allocation.allocate(shape, gate_up, down, 1.0)
+        allocation.allocate(rows, gains, 0.1)
+    arguments = allocation.quantize_arguments(chosen).first()["arguments"]
+    assert arguments[:4] == ["--output-tensor-type", "q6_k", "--token-embedding-type", "q4_k"] and len(arguments) == 6 + 2 * 48
+    assert arguments[6:10:2] == ["--tensor-type"] * 2 and arguments[7].startswith(r"blk\.0\.ffn_(gate|up)_exps=") and arguments[9].startswith(r"blk\.0\.ffn_down_exps=")
+    bits = allocation.bit_widths(chosen).collect()
+    assert len(bits) == 72 and [(r["layer"], r["tensor"]) for r in bits] == sorted((r["layer"], r["tensor"]) for r in bits)
+
+
+def plain_allocation(rows, gains, budget):
+    """As allocate() is defined: again and again the best upgrade of all that fit."""
+    size = lambda level: sum(r["weights"] * allocation.BITS[allocation.LADDER[level[r["layer"], r["kind"]]] if (r["layer"], r["kind"]) in level else allocation.STATIC[r["kind"]]] / 8e9 for r in rows)
+    level = {(r["layer"], r["kind"]): 0 for r in rows if r["kind"] in allocation.EXPERTS}
+    weights = {(r["layer"], r["kind"]): r["weights"] for r in rows}
+    while True:
+        ways = []
+        for (i, kind), n in level.items():
+            top = level[i, "gate_up"] + 2 if kind == "down" else level[i, "down"]
+            if n < min(4, top):
+                extra = weights[i, kind] * (allocation.BITS[allocation.LADDER[n + 1]] - allocation.BITS[allocation.LADDER[n]])
+                ways.append((gains[i, kind] * (allocation.ERROR[allocation.LADDER[n]] - allocation.ERROR[allocation.LADDER[n + 1]]) / extra, i, kind == "gate_up", kind))
+        for _, i, _, kind in sorted(ways, reverse=True):
+            if size(level | {(i, kind): level[i, kind] + 1}) <= budget:
+                level[i, kind] += 1
+                break
+        else:
+            return [(i, kind, allocation.LADDER[n]) for (i, kind), n in sorted(level.items())]
+
+
+def test_allocation_takes_the_best_upgrade_that_fits(spark):
+    rows = allocation.tensors(spark, CONFIG | {"num_hidden_layers": 6}).collect()
+    rng = random.Random(5)
+    for budget in (0.2, 0.22, 0.25):
+        gains = {(i, kind): rng.random() for i in range(6) for kind in ("gate_up", "down")}
+        assert allocation.allocate(rows, gains, budget) == plain_allocation(rows, gains, budget)
 
 
 def test_split_and_oversample(spark):
@@ -287,16 +330,16 @@ def test_batches(spark):
 
 def test_sandbox(spark):
     code = ["assert 1 + 1 == 2", "assert False", "def f(:", "while True: pass", "x"]
-    rows = [(i, "python" if i < 4 else "c", c) for i, c in enumerate(code)]
+    rows = [(i, "python" if i < 4 else "cobol", c) for i, c in enumerate(code)]
     got = {r["id"]: (r["passed"], r["reason"]) for r in execution.run_tests(spark.createDataFrame(rows, "id int, lang string, code string"), "id", "lang", "code", timeout=3).collect()}
     assert got == {0: (True, ""), 1: (False, "test_failed"), 2: (False, "compile_error"), 3: (False, "timeout"), 4: (False, "unsupported_language")}
 
 
 def test_sources_and_manifest(spark, tmp_path):
-    problems = [{"id": "1", "language": "py", "prompt": "p"}, {"id": "2", "language": "C", "prompt": "p", "date": "2026-05-01"}, {"id": "3", "language": "c", "prompt": "p", "date": "2025-12-01"}]
+    problems = [{"id": "9", "language": "py", "prompt": "p"}, {"id": "2", "language": "C", "prompt": "p", "date": "2026-05-01"}, {"id": "3", "language": "c", "prompt": "p", "date": "2025-12-01"}]
     (tmp_path / "s.jsonl").write_text("\n".join(map(json.dumps, problems)) + "\n\n")
     got = files.suite(spark, f"file://{tmp_path}/s.jsonl", "s", since="2026-01-01")
-    assert [(r["id"], r["language"], r["suite"]) for r in got.collect()] == [("1", "python", "s"), ("2", "c", "s")]
+    assert [(r["id"], r["language"], r["suite"]) for r in got.collect()] == [("9", "python", "s"), ("2", "c", "s")]
     with pytest.raises(Exception, match="unsupported language"):
         values(spark, [("cobol",)], "l string", x=text.language(F.col("l")))
     (tmp_path / "t.txt").write_text("one\n\ntwo\nlines\n\n\n three \n\n")
@@ -312,11 +355,12 @@ def test_sources_and_manifest(spark, tmp_path):
 
 
 def test_task_rules(spark):
-    base = dict(version=1, task_name="n", task_description="d", seed_examples=[("i", "o", "t")], task_type="code", language="python")
-    bad = [dict(language=None), dict(language="cobol"), dict(seed_examples=[("i", "o", " ")]), dict(task_type="poem", language=None), dict(task_type="text"), {}]
+    seeds = [("i", "o", "t")] * 3
+    base = dict(version=1, task_name="n", description="d", seed_examples=seeds, target=(7.0, 40.0, 16), task_type="code", language="python")
+    bad = [dict(language=None), dict(language="cobol"), dict(seed_examples=[*seeds, ("i", "o", " ")]), dict(task_type="poem", language=None), dict(task_type="text"), dict(seed_examples=seeds[1:]), dict(target=(65.0, 1.0, 1), description=" "), {}]
     rows = [(k, *(base | b).values()) for k, b in enumerate(bad)]
-    df = spark.createDataFrame(rows, "k int, version int, task_name string, task_description string, seed_examples array<struct<input:string,output:string,tests:string>>, task_type string, language string")
-    assert {tuple(r) for r in graph.violations(df, "k", graph.task_rules()).collect()} == {(0, "language_of_code"), (1, "language_of_code"), (2, "tests"), (3, "task_type"), (4, "language_of_text")}
+    df = spark.createDataFrame(rows, "k int, version int, task_name string, description string, seed_examples array<struct<input:string,output:string,tests:string>>, target struct<max_size_gb:double,min_tok_s:double,laptop_ram_gb:int>, task_type string, language string")
+    assert {tuple(r) for r in graph.violations(df, "k", graph.task_rules()).collect()} == {(0, "language_of_code"), (1, "language_of_code"), (2, "tests"), (3, "task_type"), (4, "language_of_text"), (5, "seed_examples"), (6, "max_size"), (6, "description")}
 
 
 def test_overlays_and_routes(spark):
@@ -358,7 +402,7 @@ def test_assembly_and_fields(spark):
     ]
     got = [r[0] for r in values(spark, rows, "a string, l string, s string, e string, t string", p=answers.assembled(*cols))]
     assert got[0] == "import os\ndef f():\n    return 1\n\nassert f() == 1\n"
-    assert got[1].startswith("int f(void) {\n    return 1;}") and got[1].endswith("int main(void) { return f() - 1; }\n")
+    assert got[1].startswith("int f(void) {\n    return 1;\n}") and got[1].endswith("int main(void) { return f() - 1; }\n")
     doc = json.dumps({"header": "#ifndef OBS_H\n#define OBS_H\n#endif", "source": '#include "obs.h"\nint x;\n', "notes": "one\ntwo", "short": "x"})
     found = {r["field"]: r["unique_name"] for r in answers.code_fields(spark.createDataFrame([(1, doc)], "k int, d string"), "k", "d").collect()}
     assert found == {"header": "obs.h", "source": "obs.c", "notes": "notes.txt"}
