@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import jsontext, scoring, text
-from ..operators import curation, evaluation, events, execution, graph
+from ..operators import answers, curation, evaluation, events, execution, graph, models
 from ..sources import files
+from ..streaming import logs
 
 SEED = "13"
 #: SQL twins of expressions.
@@ -43,7 +44,7 @@ def t(spark, sf, name):
 @query(f"SELECT doc_id, lang, {KEY.format('text')} AS norm_key FROM (SELECT *, row_number() OVER (PARTITION BY {KEY.format('text')} ORDER BY doc_id) AS n FROM documents WHERE length(text) <= 6000) WHERE n = 1")
 def norm_dedupe_documents(spark, sf):
     docs = t(spark, sf, "documents").select("doc_id", "lang", "text")
-    return curation.dedupe_inputs(docs).select("doc_id", "lang", text.norm_key(F.col("text")).alias("norm_key"))
+    return curation.dedupe_inputs(docs, keep=["doc_id", "lang"]).select("doc_id", "lang", "norm_key")
 
 
 @query("""SELECT lang, reason, count(*) AS n FROM (SELECT lang, CASE WHEN doc_id % 7 = 0 THEN 'truncated' WHEN coalesce(trim(text), '') = '' THEN 'empty' WHEN length(text) > 6000 THEN 'too_long' ELSE 'kept' END AS reason FROM documents) GROUP BY ALL""")
@@ -73,14 +74,19 @@ def hash_split(spark, sf):
     return curation.hash_split(docs, "doc_id", SEED, 10, 20, ["source"]).select("doc_id", "source", "part")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS shared")
+_PARTS = f"""SELECT doc_id, CASE WHEN r <= least(10, n // 5) THEN 'heldout' WHEN r <= least(10, n // 5) + 20 THEN 'train' END AS part
+FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('{SEED}' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents)"""
+
+
+@query(f"WITH p AS ({_PARTS}) SELECT (SELECT count(*) FROM (SELECT doc_id FROM p WHERE part = 'train' INTERSECT SELECT doc_id FROM p WHERE part = 'heldout')) AS shared, count(*) FILTER (WHERE part = 'train') AS train, count(*) FILTER (WHERE part = 'heldout') AS heldout FROM p")
 def split_disjoint(spark, sf):
     rows = hash_split(spark, sf)
     train, held = (rows.where(F.col("part") == p).select("doc_id") for p in ("train", "heldout"))
-    return train.intersect(held).agg(F.count("*").alias("shared"))
+    sizes = rows.agg(F.count_if(F.col("part") == "train").alias("train"), F.count_if(F.col("part") == "heldout").alias("heldout"))
+    return train.intersect(held).agg(F.count("*").alias("shared")).crossJoin(sizes)
 
 
-@query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id FROM labels WHERE quality = 1 UNION ALL SELECT doc_id FROM labels WHERE quality = 1) GROUP BY doc_id")
+@query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels WHERE quality = 1 UNION ALL SELECT doc_id FROM labels WHERE quality = 1) GROUP BY doc_id")
 def oversample_seed_union(spark, sf):
     train = t(spark, sf, "documents").select("doc_id")
     seeds = t(spark, sf, "labels").where("quality = 1").select("doc_id")
@@ -110,7 +116,7 @@ def prompt_response_pairs(spark, sf):
     return curation.prompt_response_pairs(t(spark, sf, "conversations"))
 
 
-@query("SELECT item_id, cut, labels, bears_loss FROM (SELECT item_id, list_slice(range(len(p)) || range(len(r)), 1, 12) AS ids, least(12, len(p) + len(r)) AS cut, array_to_string(list_slice(list_transform(p, lambda x: -100) || list_transform(r, lambda x: CAST(length(x) AS INT)), 1, 12), ',') AS labels, least(len(p) + len(r), 12) > greatest(len(p), 1) AS bears_loss FROM (SELECT item_id, list_slice(w, 1, 8) AS p, list_slice(w, 9, 99999) AS r FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)))")
+@query("SELECT item_id, cut, labels, bears_loss FROM (SELECT item_id, least(2048, len(p) + len(r)) AS cut, array_to_string(list_slice(list_transform(p, lambda x: -100) || list_transform(r, lambda x: CAST(length(x) AS INT)), 1, 2048), ',') AS labels, least(len(p) + len(r), 2048) > greatest(len(p), 1) AS bears_loss FROM (SELECT item_id, list_slice(w, 1, 8) AS p, list_slice(w, 9, len(w)) AS r FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)))")
 def masked_examples(spark, sf):
     words = F.split("text", " ")
     ids = F.transform(words, lambda w: F.length(w))
@@ -146,10 +152,15 @@ def field_diff(spark, sf):
     return evaluation.field_diff(both, "props", "next_props", "event_id")
 
 
-@query("""SELECT source, lang, CASE WHEN source LIKE '%1%' THEN 'mistral' WHEN source LIKE '%2%' THEN 'gemma' ELSE 'chatml' END AS family, count(*) AS n FROM documents GROUP BY ALL""")
+_TEMPLATE = "CASE doc_id % 5 WHEN 0 THEN '<|turn>' || lang WHEN 1 THEN 'x<start_of_turn>' WHEN 2 THEN '<|im_start|>' WHEN 3 THEN source ELSE '' END"
+_MODEL = "CASE length(source) % 3 WHEN 0 THEN 'Gemma-4-' WHEN 1 THEN 'a-gemma-' ELSE 'b-' END || source"
+
+
+@query(f"""SELECT family, count(*) AS n FROM (SELECT CASE WHEN t LIKE '%<|turn>%' THEN 'gemma4' WHEN t LIKE '%<start_of_turn>%' THEN 'gemma3' WHEN t LIKE '%<|im_start|>%' THEN 'chatml' WHEN t <> '' THEN NULL
+WHEN m ILIKE '%gemma-4%' OR m ILIKE '%gemma4%' THEN 'gemma4' WHEN m ILIKE '%gemma%' THEN 'gemma3' ELSE 'chatml' END AS family FROM (SELECT {_TEMPLATE} AS t, {_MODEL} AS m FROM documents)) GROUP BY family""")
 def template_families(spark, sf):
-    named = F.when(F.col("source").contains("1"), F.concat(F.lit("Mistral-"), "source")).when(F.col("source").contains("2"), F.concat(F.lit("gemma-"), "source")).otherwise(F.col("source"))
-    return t(spark, sf, "documents").groupBy("source", "lang", text.template_family(named).alias("family")).agg(F.count("*").alias("n"))
+    named = t(spark, sf, "documents").select(F.expr(_TEMPLATE).alias("t"), F.expr(_MODEL).alias("m"))
+    return named.groupBy(text.template_family(F.col("t"), F.col("m")).alias("family")).agg(F.count("*").alias("n"))
 
 
 # ---- scores
@@ -160,20 +171,15 @@ c AS (SELECT a.id AS doc_id, b.id AS item_id, sum(least(a.n, b.n)) AS common FRO
 f AS (SELECT doc_id, item_id, 2.0 * common / (an.s + bn.s) AS f1 FROM c JOIN an ON an.id = doc_id JOIN bn ON bn.id = item_id)
 SELECT doc_id, item_id, round(f1, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(f1, 6) DESC, item_id) AS r FROM f) WHERE r = 1""")
 def benchmark_overlap_f1(spark, sf):
-    count = lambda df, k: df.select(k, F.explode(text.tokens(F.col("text"))).alias("w")).groupBy(k, "w").agg(F.count("*").alias("n"))
-    a, b = count(t(spark, sf, "documents"), "doc_id"), count(t(spark, sf, "benchmark"), "item_id")
-    an, bn = a.groupBy("doc_id").agg(F.sum("n").alias("sa")), b.groupBy("item_id").agg(F.sum("n").alias("sb"))
-    common = a.join(b.withColumnRenamed("n", "m"), "w").groupBy("doc_id", "item_id").agg(F.sum(F.least("n", "m")).alias("common"))
-    f1 = common.join(an, "doc_id").join(bn, "item_id").withColumn("f1", F.round(2.0 * F.col("common") / (F.col("sa") + F.col("sb")), 6))
-    return f1.groupBy("doc_id").agg(F.max_by(F.struct("item_id", "f1"), F.struct("f1", -F.col("item_id"))).alias("r")).select("doc_id", "r.item_id", "r.f1")
+    return scoring.best_overlap(t(spark, sf, "documents"), t(spark, sf, "benchmark"), "doc_id", "item_id")
 
 
-@query("""WITH p AS (SELECT event_type AS suite, user_id AS id, CAST(count(*) AS INT) AS n, CAST(count(*) FILTER (WHERE value > 50) AS INT) AS c FROM events GROUP BY ALL HAVING count(*) >= 2)
-SELECT suite, count(*) AS problems, round(avg(c / n), 4) AS pass_at_1, round(avg(CASE WHEN n - c < 2 THEN 1.0 ELSE 1 - ((n - c) * (n - c - 1.0)) / (n * (n - 1.0)) END), 4) AS pass_at_2 FROM p GROUP BY suite""")
+@query("""WITH p AS (SELECT event_type AS suite, user_id AS id, CAST(count(*) AS INT) AS n, CAST(count(*) FILTER (WHERE value > 50) AS INT) AS c FROM events GROUP BY ALL)
+SELECT suite, count(*) AS problems, round(avg(c / n), 4) AS pass_at_1, round(avg(CASE WHEN n < 2 THEN NULL WHEN n - c < 2 THEN 1.0 ELSE 1 - ((n - c) * (n - c - 1.0)) / (n * (n - 1.0)) END), 4) AS pass_at_2 FROM p GROUP BY suite""")
 def pass_at_k_by_type(spark, sf):
     e = t(spark, sf, "events").select(F.col("event_type").alias("suite"), F.col("user_id").alias("id"), (F.col("value") > 50).alias("passed"))
-    p = evaluation.per_problem(e).where("n >= 2")
-    k = lambda k: F.round(F.avg(scoring.pass_at_k(F.col("n"), F.col("c"), k)), 4).alias(f"pass_at_{k}")
+    p = evaluation.per_problem(e)
+    k = lambda k: F.round(F.avg(F.when(F.col("n") >= k, scoring.pass_at_k(F.col("n"), F.col("c"), k))), 4).alias(f"pass_at_{k}")
     return p.groupBy("suite").agg(F.count("*").alias("problems"), k(1), k(2))
 
 
@@ -190,7 +196,7 @@ def share_of_ref(spark, sf):
     return evaluation.share_of_ref(_rates(spark, sf, 0), _rates(spark, sf, 1))
 
 
-@query(f"SELECT round(avg(pass_at_1), 4) AS mean_pass_at_1 FROM ({_RATES.format(0)})")
+@query("SELECT round(avg(pass_at_1), 4) AS mean_pass_at_1 FROM (SELECT round(avg(CAST(value > 50 AS INT)), 4) AS pass_at_1 FROM events GROUP BY event_type)")
 def macro_mean(spark, sf):
     return evaluation.macro_mean(_rates(spark, sf))
 
@@ -227,7 +233,7 @@ def normalise_clip(spark, sf):
     return evaluation.sensitivities(a, "i", "e").select("l_suppkey", F.round("sensitivity", 6).alias("sensitivity"))
 
 
-@query("""WITH m AS (SELECT s_nationkey AS layer, avg(s_acctbal) AS x FROM supplier WHERE s_nationkey % 3 <> 0 GROUP BY ALL) SELECT n_nationkey AS layer, round(coalesce(x, (SELECT avg(x) FROM m)), 4) AS x FROM nation LEFT JOIN m ON layer = n_nationkey""")
+@query("""WITH m AS (SELECT s_nationkey AS layer, avg(s_acctbal) AS x FROM supplier GROUP BY ALL) SELECT n_nationkey AS layer, round(coalesce(x, (SELECT avg(x) FROM m)), 4) AS x FROM nation LEFT JOIN m ON layer = n_nationkey""")
 def layer_fill_missing(spark, sf):
     m = t(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("layer")).agg(F.avg("s_acctbal").alias("x"))
     layers = t(spark, sf, "nation").select(F.col("n_nationkey").alias("layer"))
@@ -246,7 +252,7 @@ def candidate_suite_pivot(spark, sf):
 
 @query("SELECT l_returnflag, median(l_extendedprice) AS median_speed FROM lineitem GROUP BY ALL")
 def median_speed(spark, sf):
-    return t(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.median("l_extendedprice").alias("median_speed"))
+    return evaluation.exact_median(t(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice").withColumnRenamed("median", "median_speed")
 
 
 @query("""WITH s AS (SELECT s_suppkey AS id, s_acctbal > 5000 AS big, s_nationkey < 5 AS slow FROM supplier) SELECT id, concat_ws(', ', CASE WHEN big THEN 'too large' END, CASE WHEN slow THEN 'too slow' END) AS missed FROM s WHERE big OR slow""")
@@ -255,11 +261,14 @@ def target_misses(spark, sf):
     return s.where("missed <> ''")
 
 
-@query("SELECT o_custkey, coalesce(n.n_name, 'none') AS target FROM orders LEFT JOIN nation n ON n_nationkey = o_custkey")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND m.n_nationkey IS NOT NULL THEN 'exactly ' || m.n_name ELSE coalesce(n.n_name, 'none') END AS target FROM orders LEFT JOIN nation n ON n.n_nationkey = o_custkey % 40 LEFT JOIN nation m ON m.n_nationkey = o_custkey % 40 AND m.n_regionkey = 1")
 def model_route(spark, sf):
-    ask = t(spark, sf, "orders").select("o_custkey", F.concat(F.col("o_custkey").cast("string"), F.lit("@1")).alias("model"))
-    routes = t(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("name"), F.col("n_name").alias("target"))
-    return evaluation.model_route(ask, routes, "model", "none").select("o_custkey", "target")
+    name = F.concat((F.col("o_custkey") % 40).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "@1").otherwise("@2"))
+    ask = t(spark, sf, "orders").select("o_orderkey", name.alias("model"))
+    n = t(spark, sf, "nation").withColumn("name", F.col("n_nationkey").cast("string"))
+    exact = n.where("n_regionkey = 1").select(F.concat("name", F.lit("@1")).alias("name"), F.concat(F.lit("exactly "), "n_name").alias("target"))
+    routes = n.select("name", F.col("n_name").alias("target")).unionByName(exact)
+    return evaluation.model_route(ask, routes, "model", "none").select("o_orderkey", "target")
 
 
 # ---- events
@@ -361,7 +370,7 @@ def skip_propagation(spark, sf):
     return graph.skipped(graph.ancestors(e), failed)
 
 
-@query("""WITH o AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS p FROM lineitem WHERE l_quantity > 45) SELECT a.id AS a, b.id AS b, string_agg(CAST(a.p AS VARCHAR), ', ' ORDER BY CAST(a.p AS VARCHAR)) AS shared FROM o a JOIN o b ON a.p = b.p AND a.id < b.id
+@query("""WITH o AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS p FROM lineitem) SELECT a.id AS a, b.id AS b, string_agg(CAST(a.p AS VARCHAR), ', ' ORDER BY CAST(a.p AS VARCHAR)) AS shared FROM o a JOIN o b ON a.p = b.p AND a.id < b.id
 WHERE NOT (b.id = a.id + 1) GROUP BY ALL""")
 def ownership_conflicts(spark, sf):
     l = t(spark, sf, "lineitem")
@@ -388,6 +397,182 @@ def glob_and_paths(spark, sf):
     return p.select("url", F.regexp_like("url", pattern).alias("hit"), text.safe_path(F.col("url")).alias("safe"))
 
 
+# ---- the reference's own functions over the tables, each against SQL of its own
+
+_ANSWER = "'Well:' || chr(10) || '```c.h' || chr(10) || '  ' || text || chr(10) || '```' || chr(10) || 'and' || chr(10) || '```py' || chr(10) || source || chr(10) || '```'"
+_BLOCKS = "list_reduce(regexp_extract_all(a, '(?s)```{0}[ \\t]*\\n(.*?)```', 1), lambda x, y: CASE WHEN length(y) > length(x) THEN y ELSE x END)"
+
+
+@query(f"""SELECT doc_id, md5(regexp_replace({_BLOCKS.format("[\\w+#.-]*")}, '\\s+$', '')) AS program, md5(regexp_replace({_BLOCKS.format("[\\w+#-]*")}, '^\\s+|\\s+$', '', 'g')) AS code
+FROM (SELECT doc_id, {_ANSWER} AS a FROM documents WHERE text IS NOT NULL)""")
+def fenced_programs(spark, sf):
+    answers = t(spark, sf, "documents").where("text is not null").select("doc_id", F.expr(_ANSWER.replace("chr(10)", "'\\n'")).alias("a"))
+    return answers.select("doc_id", F.md5(text.program_of(F.col("a"))).alias("program"), F.md5(text.code_of(F.col("a"))).alias("code"))
+
+
+_REPLY = "CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN 'Here: ' || props || ' there.' WHEN 2 THEN 'So' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' ELSE '[' || props || ']' END"
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN try_cast(json_extract_string(props, '$.k') AS BIGINT) END AS whole,
+CASE WHEN event_id % 4 IN (0, 2) THEN try_cast(json_extract_string(props, '$.k') AS BIGINT) END AS fenced, event_id % 4 IN (0, 3) AND (props LIKE '{%' OR event_id % 4 = 3) AS looks, event_id % 4 <> 1 AS parses FROM events""")
+def json_replies(spark, sf):
+    reply = F.expr(_REPLY.replace("chr(10)", "'\\n'"))
+    e = t(spark, sf, "events").select("event_id", reply.alias("r"))
+    k = lambda v: F.try_variant_get(v, "$.k", "long")
+    first = F.when(F.col("event_id") % 4 != 3, k(jsontext.first_object(F.col("r"))))
+    return e.select("event_id", first.alias("whole"), k(jsontext.as_json(F.col("r"))).alias("fenced"), text.looks_like_json(F.col("r")).alias("looks"), jsontext.as_json(F.col("r")).isNotNull().alias("parses"))
+
+
+_TOKENS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, turn, {_TOKENS.format("text")} AS a, {_TOKENS.format("answer")} AS b FROM c WHERE role = 'user' AND next_role = 'assistant'),
+m AS (SELECT conv_id, turn, sum(least(x, y)) AS common FROM (SELECT conv_id, turn, w, count(*) FILTER (WHERE s = 0) AS x, count(*) FILTER (WHERE s = 1) AS y FROM (SELECT conv_id, turn, unnest(a) AS w, 0 AS s FROM p UNION ALL SELECT conv_id, turn, unnest(b), 1 FROM p) GROUP BY ALL) GROUP BY ALL)
+SELECT conv_id, turn, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN coalesce(common, 0) = 0 THEN 0.0 ELSE 2.0 * common / (len(a) + len(b)) END, 6) AS f1 FROM p LEFT JOIN m USING (conv_id, turn)""")
+def pair_f1(spark, sf):
+    pairs = curation.prompt_response_pairs(t(spark, sf, "conversations"))
+    return pairs.select("conv_id", "turn", F.round(scoring.token_f1(F.col("prompt"), F.col("response")), 6).alias("f1"))
+
+
+_RESULTS = "SELECT event_type AS suite, CASE WHEN event_type = 'click' AND user_id % 2 = 0 THEN 'c' ELSE 'python' END AS language, CAST(user_id AS VARCHAR) AS id, event_type <> 'view' AND value > 50 AS passed, CASE WHEN event_type = 'view' THEN CASE WHEN value > 25 THEN 'missing_toolchain' ELSE 'unsupported_language' END WHEN value > 25 THEN 'timeout' ELSE '' END AS reason FROM events"
+
+
+@query(f"""WITH r AS ({_RESULTS}), s AS (SELECT *, CASE WHEN passed THEN 'pass' WHEN reason = '' THEN 'test_failed' ELSE reason END AS status FROM r),
+h AS (SELECT suite, string_agg(status || '=' || n, ',' ORDER BY status) AS status, string_agg(status, ', ' ORDER BY status) AS reasons, bool_and(status IN ('missing_toolchain', 'unsupported_language')) AS none FROM (SELECT suite, status, count(*) AS n FROM s GROUP BY ALL) GROUP BY suite),
+p AS (SELECT suite, count(*) AS problems, round(avg(c), 4) AS pass_at_1 FROM (SELECT suite, id, avg(CAST(passed AS INT)) AS c FROM r GROUP BY ALL) GROUP BY suite),
+l AS (SELECT suite, CASE WHEN min(language) = max(language) THEN min(language) ELSE 'mixed' END AS language FROM r GROUP BY suite)
+SELECT suite, language, problems, status, CASE WHEN none THEN reasons END AS skipped, CASE WHEN NOT none THEN pass_at_1 END AS pass_at_1 FROM h JOIN p USING (suite) JOIN l USING (suite)""")
+def suite_summary(spark, sf):
+    s = evaluation.summarize(t(spark, sf, "events").selectExpr(*_selected(_RESULTS)), [1])
+    status = F.array_join(F.transform(F.map_entries("status"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return s.withColumn("status", status)
+
+
+def _selected(sql: str) -> list[str]:
+    """The expressions of a plain SELECT of one table, for Spark's parser."""
+    body, out, depth = sql[len("SELECT ") : sql.rindex(" FROM ")].replace("VARCHAR", "STRING"), [""], 0
+    for ch in body:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += ch
+    return out
+
+
+@query(f"WITH r AS ({_RESULTS}) SELECT coalesce(round(avg(CAST(passed AS INT)), 3), 0.0) AS pass_rate FROM r")
+def sandbox_pass_rate(spark, sf):
+    return evaluation.pass_rate(t(spark, sf, "events").selectExpr(*_selected(_RESULTS)))
+
+
+@query("SELECT round(avg(value / 100), 3) AS agreement, round(avg(CASE WHEN event_type <> 'view' THEN value / 200 END), 3) AS judge FROM events")
+def mean_agreement(spark, sf):
+    return evaluation.mean_scores(t(spark, sf, "events").select((F.col("value") / 100).alias("agreement"), F.when(F.col("event_type") != "view", F.col("value") / 200).alias("judge")))
+
+
+@query("""SELECT s_nationkey AS race, CASE WHEN bool_and(s_acctbal > 0) THEN 'pass_at_1' WHEN bool_and(s_suppkey % 7 <> 0) THEN 'judge_score' ELSE 'agreement' END AS method FROM supplier GROUP BY ALL""")
+def score_methods(spark, sf):
+    c = t(spark, sf, "supplier").select(F.col("s_nationkey").alias("race"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("pass_at_1"), F.when(F.col("s_suppkey") % 7 != 0, F.lit(0.5)).alias("judge_score"))
+    return evaluation.score_method(c, ["race"])
+
+
+_PLAN = "SELECT 'n' || n_nationkey AS id, n_regionkey + 1 AS priority, CASE WHEN n_nationkey % 6 = 5 THEN 'done' WHEN n_nationkey % 6 = 0 THEN 'running' ELSE 'waiting' END AS state, 'n' || (n_nationkey * 5 + 3) % 25 AS dep, 'f' || n_nationkey // 2 AS path FROM nation"
+
+
+@query(f"""WITH t AS ({_PLAN}), w AS (SELECT * FROM t WHERE state = 'waiting' AND dep IN (SELECT id FROM t WHERE state = 'done') AND path NOT IN (SELECT path FROM t WHERE state = 'running')),
+f AS (SELECT id, priority FROM w WHERE NOT EXISTS (SELECT 1 FROM w x WHERE x.path = w.path AND (x.priority, x.id) < (w.priority, w.id)))
+SELECT id, priority FROM (SELECT *, row_number() OVER (ORDER BY priority, id) AS r FROM f) WHERE r <= 8 - (SELECT count(*) FROM t WHERE state = 'running')""")
+def ready_tickets(spark, sf):
+    plan = t(spark, sf, "nation").selectExpr(*_selected(_PLAN.replace("//", "div"))).cache()
+    tickets = plan.select("id", "priority", F.array("dep").alias("depends_on"), F.array("path").alias("owns"))
+    return graph.ready(tickets, plan.select("id", "state"), 8)
+
+
+_RING = "SELECT n_nationkey AS id, (n_nationkey * 7 + 2) % 25 AS dep FROM nation"
+
+
+@query(f"""WITH RECURSIVE e AS ({_RING}), w(first, here, path) AS (SELECT id, dep, [id, dep] FROM e UNION ALL SELECT first, dep, list_append(path, dep) FROM w JOIN e ON e.id = w.here WHERE here <> first AND len(path) <= 25),
+c AS (SELECT first, path FROM w WHERE here = first) SELECT array_to_string(path, '>') AS path FROM c WHERE first = list_min(path)""")
+def cycles(spark, sf):
+    e = t(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), ((F.col("n_nationkey") * 7 + 2) % 25).alias("dep"))
+    return graph.cycle_paths(e).select(F.array_join("path", ">").alias("path"))
+
+
+@query("""SELECT layer, kind, round(sum(list_sum(list_transform(v, lambda x: x * x * abs(x)))), 6) AS energy FROM (SELECT vec_id % 12 AS layer, CASE WHEN label % 2 = 0 THEN 'down' ELSE 'gate' END AS kind, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL) GROUP BY ALL""")
+def tensor_energy(spark, sf):
+    v = t(spark, sf, "embeddings").where("embedding is not null").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    name = F.concat(F.lit("blk."), F.col("vec_id").cast("string"))
+    tensors = v.select(name.alias("name"), (F.col("vec_id") % 12).alias("layer"), F.when(F.col("label") % 2 == 0, "down").otherwise("gate").alias("kind"), F.transform("v", lambda x: F.abs(x)).alias("col_sq"))
+    sums = v.select(F.concat(name, F.lit(".in_sum2")).alias("name"), F.transform("v", lambda x: x * x).alias("in_sum2"))
+    return models.energy(tensors, sums).select("layer", "kind", F.round("energy", 6).alias("energy"))
+
+
+@query("SELECT c_custkey, c_mktsegment AS a, CASE WHEN c_acctbal < 0 THEN 'low' ELSE c_name END AS b, CASE WHEN c_nationkey < 5 THEN 'near' END AS c FROM customer")
+def settings_overlay(spark, sf):
+    c = t(spark, sf, "customer")
+    maps = [F.create_map(F.lit("a"), "c_mktsegment", F.lit("b"), "c_name"), F.when(F.col("c_acctbal") < 0, F.create_map(F.lit("b"), F.lit("low"))).otherwise(F.create_map().cast("map<string,string>")), F.when(F.col("c_nationkey") < 5, F.create_map(F.lit("c"), F.lit("near"))).otherwise(F.create_map().cast("map<string,string>"))]
+    return c.select("c_custkey", evaluation.overlay(*maps).alias("m")).select("c_custkey", *(F.try_element_at("m", F.lit(k)).alias(k) for k in "abc"))
+
+
+@query("""SELECT event_id, CASE WHEN ms < 1000 THEN CAST(floor(ms + 0.5) AS BIGINT) || 'ms' WHEN ms < 60000 THEN printf('%.1fs', ms / 1000) WHEN s < 3600 THEN printf('%dm%02ds', s // 60, s % 60) ELSE printf('%dh%02dm', s // 3600, s % 3600 // 60) END AS took,
+CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 10000 THEN printf('%.1fk', floor(n / 100 + 0.5) / 10) WHEN n < 1000000 THEN CAST(floor(n / 1000 + 0.5) AS BIGINT) || 'k' ELSE printf('%.1fM', floor(n / 100000 + 0.5) / 10) END AS tokens FROM (SELECT event_id, value * value * 700 AS ms, CAST(floor(value * value * 700 / 1000 + 0.5) AS BIGINT) AS s, CAST(floor(value * 20011.37) AS BIGINT) AS n FROM events)""")
+def shown_figures(spark, sf):
+    e = t(spark, sf, "events")
+    ms, n = F.col("value") * F.col("value") * 700, F.floor(F.col("value") * 20011.37).cast("long")
+    return e.select("event_id", text.milliseconds(ms).alias("took"), text.token_count(n).alias("tokens"))
+
+
+@query("SELECT source, md5(string_agg(block, chr(10) ORDER BY doc_id)) AS pack FROM (SELECT source, doc_id, '--- ' || doc_id || chr(10) || substr(coalesce(text, ''), 1, 20000) || CASE WHEN length(coalesce(text, '')) > 20000 THEN chr(10) || '…(truncated)' ELSE '' END AS block FROM documents) GROUP BY source")
+def file_blocks(spark, sf):
+    d = t(spark, sf, "documents").select("source", "doc_id", text.file_block(F.col("doc_id").cast("string"), F.col("text")).alias("b"))
+    packed = d.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "b"))).alias("r"))  # a prompt shows all of its files
+    return packed.select("source", F.md5(F.array_join(F.transform("r", lambda x: x["b"]), "\n")).alias("pack"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN coalesce(n_name, 'queued') ELSE 'done' END AS state FROM supplier LEFT JOIN nation ON n_nationkey = s_suppkey")
+def job_listing(spark, sf):
+    api = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("job"), F.when(F.col("s_acctbal") < 0, "queued").otherwise("done").alias("state"))
+    disk = t(spark, sf, "nation").select(F.col("n_nationkey").alias("job"), F.col("n_name").alias("label"))
+    return evaluation.status_listing(api, disk).select(F.col("job").alias("s_suppkey"), "state")
+
+
+@query("(SELECT DISTINCT l_partkey AS value, 'two' AS missing_in FROM lineitem WHERE l_partkey NOT IN (SELECT ps FROM (SELECT DISTINCT l_suppkey AS ps FROM lineitem))) UNION ALL (SELECT DISTINCT l_suppkey, 'one' FROM lineitem WHERE l_suppkey NOT IN (SELECT l_partkey FROM lineitem))")
+def only_on_one_side(spark, sf):
+    l = t(spark, sf, "lineitem")
+    return evaluation.difference(l.select("l_partkey"), l.select("l_suppkey"))
+
+
+@query("SELECT a.event_id, a.user_id = b.user_id AS same FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS i FROM events) a JOIN (SELECT *, row_number() OVER (ORDER BY event_id DESC) AS i FROM events) b USING (i)")
+def zipped_by_place(spark, sf):
+    e = t(spark, sf, "events").select("event_id", "user_id")
+    n, first = e.agg(F.count("*"), F.min("event_id")).first()
+    place = e.withColumn("ord", F.col("event_id") - first + 1)  # event ids have no gaps
+    back = place.select((n + 1 - F.col("ord")).alias("ord"), F.col("user_id").alias("other"))
+    return evaluation.zipped(place, back).select("event_id", (F.col("user_id") == F.col("other")).alias("same"))
+
+
+@query("""WITH j AS (SELECT user_id AS job, arg_max(event_type, event_id) AS last, max(event_id) AS n FROM events GROUP BY ALL) SELECT job, 'pipeline' AS stage, CASE WHEN job % 9 = 0 THEN 'stopped' ELSE 'error' END AS status, CASE WHEN job % 9 = 0 THEN 'stopped; resume to continue' ELSE 'exited with ' || job % 3 END AS msg, n + 1 AS seq FROM j WHERE job % 9 = 0 OR last <> 'purchase'""")
+def closing_events(spark, sf):
+    e = t(spark, sf, "events").select(F.col("user_id").alias("job"), F.when(F.col("event_type") == "purchase", "pipeline").otherwise("data").alias("stage"), F.lit("running").alias("status"), F.col("event_id").alias("seq"))
+    exits = e.select("job").distinct().select("job", (F.col("job") % 3).alias("code"), (F.col("job") % 9 == 0).alias("stopped"))
+    return logs.closing_event(e, exits)
+
+
+@query("""SELECT regexp_extract(t, '\\bcandidate\\s*=\\s*([\\w:]+)', 1) AS entry, item_id, md5(regexp_replace(t, '^\\s*\\}', '')) AS tests FROM (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN '  }' || chr(10) ELSE '' END || 'auto candidate = ns::f' || item_id || ';' || chr(10) || text AS t FROM benchmark)""")
+def completion_problems(spark, sf):
+    b = t(spark, sf, "benchmark")
+    tests = F.concat(F.when(F.col("item_id") % 2 == 0, "  }\n").otherwise(""), F.lit("auto candidate = ns::f"), F.col("item_id").cast("string"), F.lit(";\n"), "text")
+    rows = answers.completion_problem(b.select(F.col("item_id").alias("name"), F.lit("int f() {").alias("prompt"), tests.alias("tests")), "cpp")
+    return rows.select("entry", F.col("id").alias("item_id"), F.md5("tests_code").alias("tests"))
+
+
+@query("""SELECT user_id AS "user", list_max(list_transform(l, lambda x: x // 4)) AS longest, len(l) AS seeds FROM (SELECT user_id, list(length(props)) AS l FROM events GROUP BY ALL)""")
+def longest_seeds(spark, sf):
+    e = t(spark, sf, "events").groupBy(F.col("user_id").alias("user")).agg(F.collect_list(F.struct(F.col("props").alias("output"))).alias("s"))  # a task's seeds
+    return e.select("user", text.longest_seed_tokens(F.col("s")).alias("longest"), F.size("s").cast("long").alias("seeds"))
+
+
 # ---- what SQL can't express
 
 @query()
