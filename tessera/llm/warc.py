@@ -5,7 +5,8 @@ files of its own and reports them; the driver then writes the list `_files.json`
 speculative attempts left behind is never read. Records with equal payloads of at least `least` bytes:
 the one with the smallest id is a response, the others are revisits that carry no payload.
 
-WarcSource ("warc") plans a partition per archive (or group of small ones), takes filters on record
+WarcSource ("warc") plans a partition per archive (or group of small ones) of that list, or of all files
+named .warc or .warc.gz in a folder without one, streams them a record at a time, takes filters on record
 type, record id, target and digest, and inflates a member's headers only: the gzip extra field `sl`
 holds the member's size, so a payload that no filter or column wants is skipped, not inflated.
 
@@ -65,48 +66,94 @@ def parse_headers(raw: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
 
 
-def records(read, wanted=lambda headers: True, payload: bool = True) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, block) of the wanted records of an archive; the block is None if not asked for."""
-    data, at = read, 0
-    while at < len(data):
-        if bytes(data[at : at + 2]) != b"\x1f\x8b":  # not compressed
-            head = at + bytes(data[at : at + 65536]).index(b"\r\n\r\n")
-            headers = parse_headers(bytes(data[at:head]))
-            begin = head + 4
-            end = begin + int(headers.get("content-length", 0))
+class Window:
+    """The bytes of a stream by their place, of which only a stretch is held: fetch() reads on, drop() forgets."""
+
+    STEP = 1 << 20
+
+    def __init__(self, stream) -> None:
+        self.stream, self.held, self.first, self.over = stream, b"", 0, False
+
+    def fetch(self, at: int, n: int) -> bytes:
+        """n bytes from a place on, fewer at the end."""
+        while self.first + len(self.held) < at + n and not self.over:
+            more = self.stream.read(max(self.STEP, at + n - self.first - len(self.held)))
+            self.over = not more
+            self.held += more
+        return self.held[max(0, at - self.first) : max(0, at + n - self.first)]
+
+    def drop(self, at: int) -> None:
+        """Forget what is before a place; read over what isn't held, by a seek where the stream can."""
+        here = self.first + len(self.held)
+        if at > here and not self.over:
+            try:
+                self.stream.seek(at)
+                self.held, self.first = b"", at
+                return
+            except (OSError, AttributeError, ValueError):
+                self.held, self.first = b"", here
+                while at > self.first and not self.over:
+                    n = len(self.stream.read(min(self.STEP, at - self.first)))
+                    self.first, self.over = self.first + n, not n
+                return
+        if at - self.first >= self.STEP or at >= here:
+            self.held, self.first = self.held[at - self.first :], min(at, here)
+
+
+def records(stream, wanted=lambda headers: True, payload: bool = True) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers, block) of the wanted records of an archive, a record at a time; the block is None if not asked for."""
+    data, at = Window(stream), 0
+    while start := data.fetch(at, 18):
+        if start[:2] != b"\x1f\x8b":  # not compressed
+            n = 1 << 12
+            while (end := (top := data.fetch(at, n)).find(b"\r\n\r\n")) < 0 and len(top) == n:
+                n *= 2
+            if end < 0:
+                return
+            headers = parse_headers(top[:end])
+            begin, size = at + end + 4, int(headers.get("content-length", 0))
             if wanted(headers):
-                yield headers, bytes(data[begin:end]) if payload else None
-            at = end + 4
+                yield headers, data.fetch(begin, size) if payload else None
+            at = begin + size + 4
+            data.drop(at)
             continue
-        size, begin, window = None, at, 31
-        if data[at + 3] & 4:
-            length = struct.unpack_from("<H", data, at + 10)[0]
-            field = at + 12
-            while field < at + 12 + length:
-                kind, n = bytes(data[field : field + 2]), struct.unpack_from("<H", data, field + 2)[0]
-                if kind == b"sl" and n == 8:
-                    size, begin, window = struct.unpack_from("<I", data, field + 4)[0], at + 12 + length, -15
+        size, begin, bits = None, at, 31
+        if start[3] & 4:
+            length = struct.unpack_from("<H", start, 10)[0]
+            extra, field = data.fetch(at + 12, length), 0
+            while field + 4 <= length:
+                n = struct.unpack_from("<H", extra, field + 2)[0]
+                if extra[field : field + 2] == b"sl" and n == 8:
+                    size, begin, bits = struct.unpack_from("<I", extra, field + 4)[0], at + 12 + length, -15
                 field += 4 + n
-        inflate, block, fed, headers, keep = zlib.decompressobj(window), b"", begin, None, True
-        while not inflate.eof and fed < len(data):  # headers first, in small steps
-            step = bytes(data[fed : fed + (512 if headers is None else 1 << 16)])
+        inflate, block, fed, headers, keep = zlib.decompressobj(bits), b"", begin, None, True
+        parts: list[bytes] = []
+        while not inflate.eof and (step := data.fetch(fed, 512 if headers is None else 1 << 16)):  # headers first, in small steps
             fed += len(step)
             got = inflate.decompress(step)
-            if headers is None or (keep and payload):
+            if headers is None:
                 block += got
-            if headers is None and b"\r\n\r\n" in block:
-                top, _, block = block.partition(b"\r\n\r\n")
-                headers = parse_headers(top)
-                keep = wanted(headers)
-                if size is not None:  # the member's end is known: inflate the rest at once or not at all
-                    if keep and payload:
-                        block += inflate.decompress(bytes(data[fed : at + size]))
-                    break
+                if b"\r\n\r\n" in block:
+                    top, _, rest = block.partition(b"\r\n\r\n")
+                    headers = parse_headers(top)
+                    keep = wanted(headers)
+                    parts.append(rest)
+                    if size is not None:  # the member's end is known: inflate the rest at once or not at all
+                        if keep and payload:
+                            parts.append(inflate.decompress(data.fetch(fed, at + size - fed)))
+                        break
+            elif keep and payload:
+                parts.append(got)
+            if size is None:
+                data.drop(fed)
         if size is None:
             size = fed - len(inflate.unused_data) - at
+            if inflate.unused_data:
+                data.held, data.first = inflate.unused_data + data.held[fed - data.first :], at + size
         if headers is not None and keep:
-            yield headers, block[: int(headers.get("content-length", 0))] if payload else None
+            yield headers, b"".join(parts)[: int(headers.get("content-length", 0))] if payload else None
         at += size
+        data.drop(at)
 
 
 def write(df: DataFrame, path: str, key: str = "page_id", payload: str = "html", target: str = "url", least: int = 0) -> None:
@@ -179,9 +226,16 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
+        from pyarrow.fs import FileSelector, FileType
+
         fs, root = file_system(self.path)
-        names = json.loads(fs.open_input_stream(f"{root}/_files.json").read())
-        sizes = {i.path.rsplit("/", 1)[-1]: i.size for i in fs.get_file_info([f"{root}/{n}" for n in names])}
+        if fs.get_file_info(f"{root}/_files.json").type == FileType.File:
+            names = json.loads(fs.open_input_stream(f"{root}/_files.json").read())
+            found = fs.get_file_info([f"{root}/{n}" for n in names])
+        else:  # archives of others: all files of the folder that are named so
+            found = [i for i in fs.get_file_info(FileSelector(root, recursive=True)) if i.type == FileType.File and i.base_name.endswith((".warc", ".warc.gz"))]
+        sizes = {i.path.removeprefix(root).lstrip("/"): i.size for i in found}
+        names = sorted(sizes)
         parts: list[list[str]] = []
         room = 0
         for n in names:
@@ -205,9 +259,8 @@ class WarcReader(DataSourceReader):
         fields = ["record_id", "record_type", "target", "payload_digest", "payload_bytes", "refers_to"]
         schema = pa.schema([(f, pa.int64() if f == "payload_bytes" else pa.string()) for f in fields] + [("payload", pa.binary())])
         for name in partition.names:
-            data = memoryview(fs.open_input_stream(name, compression=None).read())
             rows, held = [], 0
-            for h, block in records(data, lambda h: all(self.row(h)[c] in v for c, v in self.filters), self.payload):
+            for h, block in records(fs.open_input_file(name), lambda h: all(self.row(h)[c] in v for c, v in self.filters), self.payload):
                 rows.append(self.row(h) | {"payload": block})
                 held += len(block or b"") + 500
                 if held > 8 << 20:
