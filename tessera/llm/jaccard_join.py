@@ -50,7 +50,9 @@ BITS, MOST = 1024, 1 << 17
 #: Bits of the filter that tells which documents' sets are needed: at most 8 MB, however many are.
 FILTER = 1 << 26
 #: Signatures that a task holds before it writes them out.
-FLUSH = 1_500_000
+FLUSH = 750_000
+#: Bytes of text whose sets are made together, but for longer texts.
+PIECE = 1 << 20
 #: Bits of a signature that decide its bucket.
 LOW = U64(0xFFFFFF)
 #: Shingles for each bucket, and buckets at least; they depend on the data alone.
@@ -87,7 +89,7 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(solid & ~before)
     after = np.concatenate([solid[1:], [False]]) & ~edge[1:]
     end = np.flatnonzero(solid & ~after) + 1
-    size = 1 << max(21, (n - 1).bit_length())
+    size = 1 << max(PIECE.bit_length(), (n - 1).bit_length())
     up, down = _powers(size)
     total = np.concatenate([np.zeros(1, U64), np.cumsum(_BYTE[low] * up[:n], dtype=U64)])
     h = mix((total[end] - total[start]) * down[start] + (end - start).astype(U64) * _SEED)
@@ -130,7 +132,7 @@ def batch_sets(column):
     data, off = utf8_column(column)
     at, n = 0, len(off) - 1
     while at < n:
-        end = max(at + 1, int(np.searchsorted(off, off[at] + (2 << 20), "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(off, off[at] + PIECE, "right")) - 1)
         s, o = sets(data[off[at] : off[end]], off[at : end + 1] - off[at])
         yield at, s, o
         at = end
@@ -217,7 +219,7 @@ def sketches(s: np.ndarray, off: np.ndarray) -> list[bytes]:
     bits = np.clip(1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), BITS, MOST)
     out: list[bytes] = [b""] * len(size)
     for b, same in split_by(bits):
-        step = max(1, (1 << 22) // b)
+        step = max(1, (1 << 20) // b)
         for at in range(0, len(same), step):
             some = same[at : at + step]
             of = np.repeat(np.arange(len(some)), size[some])
@@ -249,6 +251,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 n[at : at + len(off) - 1], node[at : at + len(off) - 1] = np.diff(off), node_ids(s, off)
                 marks += sketches(s, off)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(node.view(np.int64)), pa.array(marks, pa.binary())], names=["id", "n_shingles", "node", "sketch"])
+        release()
 
     return docs.select("id", "body").mapInArrow(run, "id long, n_shingles long, node long, sketch binary")
 
@@ -391,6 +394,7 @@ def among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
             h = batch.column("__h").to_numpy() - 1
             kept = pa.array((needed[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names], schema=arrow).filter(kept)
+        release()
 
     return df.withColumn("__h", slot(column)).mapInArrow(run, schema)
 
@@ -406,6 +410,7 @@ def node_sets(docs: DataFrame, first: DataFrame) -> DataFrame:
                 node += node_ids(s, off).view(np.int64).tolist()
                 raw += [s[off[k] : off[k + 1]].tobytes() for k in range(len(off) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node, pa.int64()), pa.array(raw, pa.binary())], names=["id", "node", "elements"])
+        release()
 
     return among(docs.select("id", "body"), "id", first.select("id")).mapInArrow(run, "id long, node long, elements binary")
 

@@ -22,8 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, utf8_column
-from .jaccard_join import words
+from .common import release, table, utf8_column
+from .jaccard_join import PIECE, words
 
 #: Labelled rows the model is fitted to, at most.
 SAMPLE = 12_000
@@ -101,7 +101,7 @@ def _column_features(column):
     data, off = utf8_column(column)
     parts, at = [], 0
     while at < len(off) - 1:
-        end = max(at + 1, int(np.searchsorted(off, off[at] + (2 << 20), "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(off, off[at] + PIECE, "right")) - 1)
         parts.append(features(data[off[at] : off[end]], off[at : end + 1] - off[at]))
         at = end
     return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
@@ -260,6 +260,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         for batch in batches:
             s = model.score(_column_features(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], schema=arrow)
+        release()
 
     return docs.select(*names).mapInArrow(run, schema)
 
