@@ -196,6 +196,10 @@ def _map(df: DataFrame, path: str, column: str, added: str, work) -> DataFrame:
     schema = StructType([f for f in kept.schema if f.name.lower() not in clash] + list(more))
 
     def run(batches):
+        from .common import keeps, room_for
+
+        room_for("bpe")
+        keeps("bpe", load.cache_clear)
         bpe, arrow = load(path), to_arrow_schema(schema)
         for batch in batches:
             done = [work(bpe, x.as_py() if x.is_valid else "") for x in batch.column(column)]

@@ -121,6 +121,23 @@ def split_by(part: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [(int(part[x[0]]), x) for x in np.split(order, cut)]
 
 
+_kept: dict[str, object] = {}
+
+
+def keeps(owner: str, forget) -> None:
+    """Say that this worker keeps memory for the tasks of an operator that come after; forget() drops it."""
+    _kept[owner] = forget
+
+
+def room_for(owner: str) -> None:
+    """Called as a task begins: what other operators kept in this worker is dropped, as workers outlive their tasks."""
+    others = [o for o in _kept if o != owner]
+    for o in others:
+        _kept.pop(o)()
+    if others:
+        release()
+
+
 def release() -> None:
     """Give freed memory back to the system; workers live on after a task with large arrays."""
     import ctypes

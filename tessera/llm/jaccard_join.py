@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, drop_staged, free_shuffles, mix, pack, partitions, release, split_by, stage, table, unpack, utf8_column
+from .common import U64, drop_staged, free_shuffles, keeps, mix, pack, partitions, release, room_for, split_by, stage, table, unpack, utf8_column
 
 SHINGLE, PERCENT = 5, 80
 #: Share of H by which segments exceed what the pigeonhole principle needs.
@@ -244,6 +244,8 @@ def describe(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        room_for("sets")
+        keeps("sets", _powers.cache_clear)
         for batch in batches:
             n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, U64)
             marks: list[bytes] = []
@@ -281,6 +283,8 @@ def find_signatures(docs: DataFrame, buckets: int, population: dict[int, int]) -
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "raw"])
 
     def run(batches):
+        room_for("sets")
+        keeps("sets", _powers.cache_clear)
         held, n, seen = [], 0, set()
         for batch in batches:
             for _, s, off in batch_sets(batch.column("body")):
@@ -326,6 +330,7 @@ def groups(found: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int32(), pa.int64()] + [pa.int32()] * 2 + [pa.bool_()]
 
     def reduce(tables):
+        room_for("sets")
         parts = [unpack(x.as_py()) for x in tables.column("raw")]
         raw_node = np.concatenate([p["node"] for p in parts])
         own, spare = (np.concatenate([p[k] for p in parts]).astype(np.int32) for k in ("band", "spare"))

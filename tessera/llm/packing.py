@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet, vocabulary
-from .common import partitions, release, stage, table
+from .common import keeps, release, room_for, stage, table
 
-#: Salted parts in which the pieces of a class are ranked.
-PARTS = 64
+#: Salted parts in which the pieces of a class are ranked, at least, and pieces for each.
+PARTS, PART = 64, 1_000_000
 #: Words that a worker memoises before it starts anew.
 WORDS = 500_000
 #: Characters of the texts that are encoded together.
@@ -159,6 +159,8 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", en
     schema = StructType([kept.schema[0], *StructType.fromDDL("start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)])
 
     def run(batches):
+        room_for("packing")
+        keeps("packing", load.cache_clear)
         bpe, arrow = load(path), to_arrow_schema(schema)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
@@ -265,14 +267,14 @@ def assign(cut: DataFrame, key: str = "doc_id", max_length: int = 2048, parts: i
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    parts = parts or max(PARTS, partitions(cut.sparkSession))
+    parts = parts or max(PARTS, cut.count() // PART)
     salted = cut.withColumn("__part", F.pmod(F.xxhash64(key, "start", "ids_crc32"), F.lit(parts)))
     counts = salted.groupBy("length", "__part").agg(F.count("*").alias("__n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("__n")).collect()}  # at most length / grain + grain rows
     at = slots(plan(histogram, max_length))
     before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
-    # at most (length / grain + grain) * parts rows: a bound that does not grow with the input
-    ranked = salted.join(F.broadcast(before.select("length", "__part", F.coalesce("__before", F.lit(0)).alias("__before"))), ["length", "__part"])
+    # the join deals pieces as the ranking after it does, so both take one shuffle
+    ranked = salted.join(before.select("length", "__part", F.coalesce("__before", F.lit(0)).alias("__before")), ["length", "__part"])
     ranked = ranked.withColumn("__rank", F.col("__before") + F.row_number().over(Window.partitionBy("length", "__part").orderBy(key, "start", "ids_crc32")) - 1)
     names = cut.columns
     schema = StructType([*cut.schema, *StructType.fromDDL("sequence_id long, offset long")])

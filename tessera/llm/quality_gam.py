@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, table, utf8_column
+from .common import release, room_for, table, utf8_column
 from .jaccard_join import PIECE, words
 
 #: Labelled rows the model is fitted to, at most.
@@ -257,6 +257,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
     def run(batches):
         arrow = to_arrow_schema(schema)
+        room_for("sets")  # the same words are cut
         for batch in batches:
             s = model.score(_column_features(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], schema=arrow)

@@ -21,7 +21,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, stage, table
+from .common import new_path, room_for, stage, table
 
 class Rule(NamedTuple):
     """What to look for: a match counts if its group is `least` code points long; `hint` is a cheaper pattern that any match holds."""
@@ -79,6 +79,7 @@ def spans(df: DataFrame, content: str = "content", keep: str = "blob", rules: tu
 
     def run(batches):
         arrow = to_arrow_schema(schema)
+        room_for("secrets")
         for batch in batches:
             rows = []
             for t in batch.column("__content"):

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, drop_staged, mix, pack, partitions, release, split_by, stage, table, unpack, utf8_column
+from .common import U64, drop_staged, mix, pack, partitions, release, room_for, split_by, stage, table, unpack, utf8_column
 
 #: Bytes of the strings that count as repeated.
 LENGTH = 100
@@ -137,17 +137,21 @@ def find_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     schema = _schema("bucket", "raw")
 
     def run(batches):
+        room_for("suffixes")
         held, n = [], 0
         for batch in batches:
             data, off = utf8_column(batch.column("body"))
             text, h, *_ = anchors(data, off)
             held.append((h, batch.column("grp").to_numpy()[text].astype(np.uint32)))
             n += len(h)
+            del data, off, text, h
             if n > 2_000_000:
                 yield flush(held)
                 held, n = [], 0
         if n:
             yield flush(held)
+        held = []
+        release()
 
     return docs.select("grp", "body").mapInArrow(run, "bucket int, raw binary")
 
@@ -178,6 +182,7 @@ def gather(docs: DataFrame, lists: DataFrame) -> DataFrame:
     def work(left, right):
         import pyarrow as pa
 
+        room_for("suffixes")
         rows, grp = [], None
         if left.num_rows:
             grp = left.column("grp")[0].as_py()
