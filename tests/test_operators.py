@@ -308,3 +308,44 @@ def test_streams_of_runs(spark, tmp_path):
     sink(log, 7)
     sink(log, 7)
     assert spark.read.parquet(f"file://{tmp_path}/batches").count() == 5
+
+
+def test_small_expressions(spark, tmp_path):
+    assert [one(spark, x, "x string", text.tail(F.col("x"), 3)) for x in ("abcdef", "ab", None)] == ["def", "ab", None]
+    assert [one(spark, x, "x string", text.judge_score(F.col("x"))) for x in ("I give 7.5 of 10", "12", "none", None)] == [0.75, 1.0, None, None]
+    assert [one(spark, x, "x double", events.progress(F.col("x"))) for x in (-3.0, 12.345, 250.0)] == [0.0, 12.3, 100.0]
+    log = spark.createDataFrame([("j", 1, "ValueError: first"), ("j", 2, "  KeyError: indented"), ("j", 3, "RuntimeError: " + "x" * 500), ("j", 4, "bye"), ("k", 1, "one"), ("k", 2, "two"), ("k", 3, " ")], "job string, n int, line string")
+    said = {r["job"]: r["message"] for r in events.error_message(log, ["job"], "n").collect()}
+    assert said["j"] == ("RuntimeError: " + "x" * 500)[:400] and said["k"] == "two"
+    from tessera.operators import models
+
+    words = models.compression(spark.createDataFrame([("a b  c", "a"), (" d", "d e")], "x string, y string"), "x", "y").first()
+    assert tuple(words) == (4, 3, 0.75)
+    files_ = spark.createDataFrame([({"a": "1", "b": "2", "c": "3"}, ["a"])], "w map<string,string>, o array<string>")
+    assert sorted(files_.select(graph.refused_paths(F.col("w"), F.col("o"))).first()[0]) == ["b", "c"]
+    inputs = spark.createDataFrame([("p", "t1"), ("q", ""), ("r", None)], "input string, tests string")
+    assert [r["input"] for r in curation.usable_inputs(inputs, True).collect()] == ["p"] and curation.usable_inputs(inputs, False).count() == 3
+    answered = spark.createDataFrame([("p", "a"), ("z", "b")], "input string, answer string")
+    assert [tuple(r) for r in curation.with_tests_of(answered, inputs).collect()] == [("p", "a", "t1")]
+    assert sorted(r["external"] for r in curation.with_provenance(inputs.limit(2), inputs.limit(1)).collect()) == [False, False, True]
+    assert tuple(curation.cut_rows(spark.createDataFrame([([1, 2, 3],), ([1],)], "input_ids array<int>"), 3).first()) == (2, 1)
+    tries = spark.createDataFrame([("a", 5), ("a", 9), ("b", 1)], "t string, n int")
+    assert {(r["t"], r["n"], r["attempt"]) for r in events.attempts(tries, "t", "n").collect()} == {("a", 5, 1), ("a", 9, 2), ("b", 1, 1)}
+    assert [r["n"] for r in events.replay(tries, 5, "n").collect()] == [9]
+    shown = spark.createDataFrame([(0, "done"), (1, "running"), (2, "failed"), (3, "waiting"), (4, "odd")], "ord int, state string")
+    assert [r["ord"] for r in answers.in_view(shown.where("ord < 4"), 2).collect()] == [1, 2]
+    held = spark.createDataFrame([(0, "i", "c", "t"), (1, "j", None, "t"), (2, "k", "py", ""), (3, "l", "js", "t")], "idx int, input string, language string, tests string")
+    assert [(r["id"], r["language"]) for r in files.held_out_problems(held).orderBy("id").collect()] == [("heldout/0", "c"), ("heldout/3", "javascript")]
+    sinks.json_document(spark.createDataFrame([(1, "x")], "n int, s string"), f"file://{tmp_path}/doc")
+    assert spark.read.json(f"file://{tmp_path}/doc").first()["s"] == "x"
+
+
+def test_replayed_events_count_once(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in (1, 2):
+        (folder / f"{k}.json").write_text('{"id": 1, "ts": "2026-01-01 00:00:00"}\n{"id": %d, "ts": "2026-01-01 00:00:01"}\n' % (k + 1))
+    stream = spark.readStream.schema("id long, ts timestamp").json(f"file://{folder}")
+    q = logs.once(stream, "id", "ts").writeStream.format("memory").queryName("seen_once").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r["id"] for r in spark.table("seen_once").collect()) == [1, 2, 3]
