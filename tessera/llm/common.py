@@ -89,6 +89,20 @@ def utf8_column(column) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def by_bytes(column, most: int):
+    """(first row, slice) of an Arrow string array, each of about `most` bytes, or one longer value."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    end = np.cumsum(pc.fill_null(pc.binary_length(a), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(a):
+        stop = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + most, "right")))
+        yield at, a.slice(at, stop - at)
+        at = stop
+
+
 def pack(arrays: dict, compress: bool = False) -> bytes:
     """Arrays as bytes; compressed where they hold text."""
     import pickle

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, drop_staged, free_shuffles, keeps, mix, pack, partitions, release, room_for, split_by, stage, table, unpack, utf8_column
+from .common import U64, by_bytes, drop_staged, free_shuffles, keeps, mix, pack, partitions, release, room_for, split_by, stage, table, unpack, utf8_column
 
 SHINGLE, PERCENT = 5, 80
 #: Share of H by which segments exceed what the pigeonhole principle needs.
@@ -129,13 +129,8 @@ def sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def batch_sets(column):
     """sets() of an Arrow column, in parts of bounded size: (first row, data, offsets)."""
-    data, off = utf8_column(column)
-    at, n = 0, len(off) - 1
-    while at < n:
-        end = max(at + 1, int(np.searchsorted(off, off[at] + PIECE, "right")) - 1)
-        s, o = sets(data[off[at] : off[end]], off[at : end + 1] - off[at])
-        yield at, s, o
-        at = end
+    for at, part in by_bytes(column, PIECE):
+        yield at, *sets(*utf8_column(part))
 
 
 def node_ids(s: np.ndarray, off: np.ndarray) -> np.ndarray:

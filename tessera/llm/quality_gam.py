@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, room_for, table, utf8_column
+from .common import by_bytes, release, room_for, table, utf8_column
 from .jaccard_join import PIECE, words
 
 #: Labelled rows the model is fitted to, at most.
@@ -98,12 +98,7 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _column_features(column):
-    data, off = utf8_column(column)
-    parts, at = [], 0
-    while at < len(off) - 1:
-        end = max(at + 1, int(np.searchsorted(off, off[at] + PIECE, "right")) - 1)
-        parts.append(features(data[off[at] : off[end]], off[at : end + 1] - off[at]))
-        at = end
+    parts = [features(*utf8_column(part)) for _, part in by_bytes(column, PIECE)]
     return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
 
 

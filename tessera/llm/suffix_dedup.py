@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, drop_staged, mix, pack, partitions, release, room_for, split_by, stage, table, unpack, utf8_column
+from .common import U64, by_bytes, drop_staged, mix, pack, partitions, release, room_for, split_by, stage, table, unpack, utf8_column
 
 #: Bytes of the strings that count as repeated.
 LENGTH = 100
@@ -42,6 +42,8 @@ HOT = 200
 GROUP, CHUNK = 8 << 20, 4 << 20
 #: Bytes of contexts that are refined at a time.
 SLICE = 2 << 20
+#: Anchors that a task holds before it writes them out.
+ANCHORS = 500_000
 _WINDOW = LENGTH - Q + 1
 _BLOCK = 2 << 20
 
@@ -140,14 +142,14 @@ def find_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         room_for("suffixes")
         held, n = [], 0
         for batch in batches:
-            data, off = utf8_column(batch.column("body"))
-            text, h, *_ = anchors(data, off)
-            held.append((h, batch.column("grp").to_numpy()[text].astype(np.uint32)))
-            n += len(h)
-            del data, off, text, h
-            if n > 2_000_000:
-                yield flush(held)
-                held, n = [], 0
+            grp = batch.column("grp").to_numpy()
+            for at, part in by_bytes(batch.column("body"), _BLOCK):
+                text, h, *_ = anchors(*utf8_column(part))
+                held.append((h, grp[at + text].astype(np.uint32)))
+                n += len(h)
+                if n > ANCHORS:
+                    yield flush(held)
+                    held, n = [], 0
         if n:
             yield flush(held)
         held = []
