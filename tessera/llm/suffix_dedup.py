@@ -39,7 +39,9 @@ Q = 16
 #: Members of an anchor's bucket from which on its windows are dealt by their own identifiers.
 HOT = 200
 #: Bytes of text that a group of documents holds, and that a chunk holds, about.
-GROUP, CHUNK = 8 << 20, 4 << 20
+GROUP, CHUNK = 4 << 20, 2 << 20
+#: Bytes of text for each bucket of anchors.
+BUCKET = 16 << 20
 #: Bytes of contexts that are refined at a time.
 SLICE = 2 << 20
 #: Anchors that a task holds before it writes them out.
@@ -433,10 +435,10 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bo
     rep = firsts.select(F.col("first_id").alias("id"), "sha")
     last = F.lit(np.iinfo(np.int64).max)
     names = rep.select(group(F.col("sha")), F.lit(1).alias("kind"), F.concat(F.unhex(F.lpad(F.hex(F.coalesce("id", last)), 16, "0")), F.unhex("sha")).alias("raw"))
-    lists = stage(repeated(find_anchors(grouped, max(partitions(spark), size // (2 * GROUP)))), "repeated")
+    lists = stage(repeated(find_anchors(grouped, max(partitions(spark), size // BUCKET))), "repeated")
     chunks = stage(gather(grouped, lists.select("grp", F.lit(0).alias("kind"), "raw").unionByName(names)), "chunks")
     drop_staged(lists)
-    marks = stage(refine(contexts(chunks, max(partitions(spark), size // (2 * GROUP)))), "marks")
+    marks = stage(refine(contexts(chunks, max(partitions(spark), size // BUCKET))), "marks")
     done = results(chunks, marks, with_text)
     # the first copy is known by id and text together, which no other row has, so a text that many rows have is no hot key
     mark = firsts.select("first_id", F.col("sha").alias("__sha"))
