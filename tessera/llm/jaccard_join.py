@@ -380,23 +380,30 @@ def bit_filter(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """df without most of the rows whose column is none of the keys (its only column): a filter of bounded size, no shuffle of df."""
+def among(df: DataFrame, column: str, keys: DataFrame, work=None, to: str | None = None) -> DataFrame:
+    """df without most of the rows whose column is none of the keys (its only column): a filter of bounded size, no shuffle of df.
+
+    work maps the batches that are left, to the schema `to`, in the same worker: a second Python step in a task would take a
+    second process, and executors keep those.
+    """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER)) + 1  # noqa: E731 - buckets and positions count from 1
     needed, names, schema = bit_filter(keys.select(slot(keys.columns[0]).alias("h"))), df.columns, df.schema
 
-    def run(batches):
+    def left(batches):
         arrow = to_arrow_schema(schema)
         for batch in batches:
             h = batch.column("__h").to_numpy() - 1
             kept = pa.array((needed[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names], schema=arrow).filter(kept)
+
+    def run(batches):
+        yield from work(left(batches)) if work else left(batches)
         release()
 
-    return df.withColumn("__h", slot(column)).mapInArrow(run, schema)
+    return df.withColumn("__h", slot(column)).mapInArrow(run, to or schema)
 
 
 def node_sets(docs: DataFrame, first: DataFrame) -> DataFrame:
@@ -410,9 +417,8 @@ def node_sets(docs: DataFrame, first: DataFrame) -> DataFrame:
                 node += node_ids(s, off).view(np.int64).tolist()
                 raw += [s[off[k] : off[k + 1]].tobytes() for k in range(len(off) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node, pa.int64()), pa.array(raw, pa.binary())], names=["id", "node", "elements"])
-        release()
 
-    return among(docs.select("id", "body"), "id", first.select("id")).mapInArrow(run, "id long, node long, elements binary")
+    return among(docs.select("id", "body"), "id", first.select("id"), run, "id long, node long, elements binary")
 
 
 def verify(pairs: DataFrame, elements: DataFrame, first: DataFrame) -> DataFrame:

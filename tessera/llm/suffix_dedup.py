@@ -43,11 +43,12 @@ GROUP, CHUNK = 4 << 20, 2 << 20
 #: Bytes of text for each bucket of anchors.
 BUCKET = 16 << 20
 #: Bytes of contexts that are refined at a time.
-SLICE = 2 << 20
+SLICE = 512 << 10
 #: Anchors that a task holds before it writes them out.
 ANCHORS = 500_000
 _WINDOW = LENGTH - Q + 1
-_BLOCK = 2 << 20
+#: Bytes of text whose anchors are sought at a time: each takes arrays of 8 bytes a byte, about ten at once.
+_BLOCK = 128 << 10
 
 
 def words8(data: np.ndarray) -> np.ndarray:
@@ -262,9 +263,11 @@ def contexts(chunks: DataFrame, buckets: int) -> DataFrame:
     """The repeated anchors of each chunk with the text around them, dealt by anchor; hot ones as windows, dealt by content."""
 
     def run(batches):
+        room_for("suffixes")
         for batch in batches:
             for grp, raw in zip(batch.column("grp"), batch.column("raw"), strict=True):
                 yield from chunk(grp.as_py(), unpack(raw.as_py(), True))
+        release()
 
     def chunk(grp, c):
         data, off = c["data"], c["off"]
@@ -308,55 +311,60 @@ def refine(dealt: DataFrame) -> DataFrame:
     def reduce(tables):
         import pyarrow as pa
 
-        parts = [unpack(x.as_py(), True) for x in tables.column("raw")]
-        out = [(p["grp"], p["id"], p["tie"], p["from"], p["to"]) for p in parts if "from" in p]
-        cold, hot = [p for p in parts if "h" in p], [p for p in parts if "w" in p]
+        room_for("suffixes")
+        out, cold, hot, data = [], [], [], bytearray()
+        for x in tables.column("raw"):
+            p = unpack(x.as_py(), True)
+            if "from" in p:
+                out.append((np.full(len(p["id"]), p["grp"]), p["id"], p["tie"], p["from"], p["to"]))
+            elif "h" in p:
+                data += memoryview(p.pop("data"))  # one copy of the contexts is held, not a second in parts
+                cold.append(p)
+            else:
+                hot.append(p)
         if cold:
-            for part in _refined(cold):
-                out += marked(cold, *part)
+            ranks = ranked(cold)
+            out += [marked(*ranks, *part) for part in _refined(cold, np.frombuffer(data, np.uint8))]
         if hot:
             n = [len(p["w"]) for p in hot]
             w, start = (np.concatenate([p[k] for p in hot]) for k in ("w", "start"))
             part = np.repeat(np.arange(len(hot)), n)
             doc = np.concatenate([p["doc"] for p in hot]).astype(np.int64)
-            out += marked(hot, part, doc, start.astype(np.int64), w)
+            out.append(marked(*ranked(hot), part, doc, start.astype(np.int64), w))
         rows = []
-        by: dict[int, list] = {}
-        for g, *rest in out:
-            by.setdefault(int(g), []).append(rest)
-        for g, some in by.items():
-            i, t, s, e = (np.concatenate(x) for x in zip(*some, strict=True))
-            rows.append((g, pack({"id": i, "tie": t, "from": s, "to": e}, True)))
-        del parts, cold, hot, out, by
+        if out:
+            g, i, t, s, e = (np.concatenate(x) for x in zip(*out, strict=True))
+            rows = [(k, pack({"id": i[x], "tie": t[x], "from": s[x], "to": e[x]}, True)) for k, x in split_by(g)]
+        out = cold = hot = data = None
         release()
         return pa.Table.from_batches([_emit(rows, schema)])
 
-    def marked(parts, part, doc, start, w):
-        """Sort by identifier, then by document and place; all but the first of each bucket are marked."""
-        base = np.concatenate([[0], np.cumsum([len(p["id"]) for p in parts])])[:-1]
+    def ranked(parts):
+        """Of all documents of the parts: group, id, tie, rank; and where each part's begin."""
+        n = [len(p["id"]) for p in parts]
         ids, tie = (np.concatenate([p[k] for p in parts]) for k in ("id", "tie"))
         rank = np.empty(len(ids), np.int64)
         order = np.lexsort((tie, ids))
         new = np.concatenate([[False], (ids[order][1:] != ids[order][:-1]) | (tie[order][1:] != tie[order][:-1])])
         rank[order] = np.cumsum(new)
+        return np.repeat([p["grp"] for p in parts], n), ids, tie, rank, np.cumsum([0, *n])[:-1]
+
+    def marked(grp, ids, tie, rank, base, part, doc, start, w):
+        """Sort by identifier, then by document and place; all but the first of each bucket are marked."""
         doc = base[part] + doc
         where = (rank[doc] << 32) + start
         order = np.lexsort((where, w))
         same = np.flatnonzero(w[order][1:] == w[order][:-1]) + 1
         again = order[same]
         d, s, e = ranges_of(start[again], doc[again])
-        owner = np.searchsorted(base, d, "right") - 1
-        return [(parts[k]["grp"], ids[d[i]], tie[d[i]], s[i], e[i]) for k, i in split_by(owner)]
+        return grp[d], ids[d], tie[d], s, e
 
-    def _refined(parts):
+    def _refined(parts, data):
         """Refine in slices of the bucket: equal strings have the same anchor, so a slice has all or none of them."""
-        data = np.concatenate([p["data"] for p in parts])
         n = np.concatenate([p["n"] for p in parts]).astype(np.int64)
         before, place, h, doc = (np.concatenate([p[k].astype(t) for p in parts]) for k, t in (("before", np.int64), ("place", np.int64), ("h", U64), ("doc", np.int64)))
         part = np.repeat(np.arange(len(parts)), [len(p["n"]) for p in parts])
         first = np.cumsum(n + LENGTH) - (n + LENGTH)  # of each context in data
-        for p in parts:
-            del p["data"]
         slices = -(-len(data) // SLICE)
         for _, own in split_by((h >> U64(40)).astype(np.int64) % slices):
             at, _ = _spread(first[own], first[own] + n[own] + LENGTH - 1)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -92,6 +93,13 @@ def test_jaccard_edges(spark):
     assert sorted((r["doc_id"], r["node"]) for r in jaccard_join.keep_one(docs).where("doc_id is not null").collect()) == [(1, "n"), (3, None)]
 
 
+def test_sets_take_one_python_step(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, None)], "id long, body string")
+    got = jaccard_join.node_sets(docs, docs.select(F.lit(0).cast("long").alias("node"), "id"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r["id"], len(r["elements"])) for r in got.collect()) == [(1, 16), (2, 0)]
+
+
 @pytest.mark.parametrize("population", [0, 10**12])
 @pytest.mark.parametrize("band", [0, 3, 8, 14, 20])
 def test_partners_share_a_signature(band, population):
@@ -149,6 +157,15 @@ def test_long_texts_are_cut_into_overlapping_parts(monkeypatch):
     assert ((place >= lo) & (place <= hi + 84)).all() and (place >= hi).all()
 
 
+def test_anchors_take_little_memory():
+    data = np.random.default_rng(5).integers(97, 123, 4 << 20).astype(np.uint8)
+    tracemalloc.start()
+    suffix_dedup.anchors(data, np.arange(0, len(data) + 1, 4096))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 48 << 20
+
+
 def test_removal_from_texts(spark):
     e = "".join(chr(0x100 + k) for k in range(60))
     docs = spark.createDataFrame([(1, "k " + e, "s"), (2, "x" + e + " tail", "s"), (3, None, None), (4, "k " + e, "t")], "doc_id long, text string, sha string")
