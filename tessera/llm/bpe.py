@@ -4,8 +4,9 @@ The vocabulary is a file of a public tokenizer in the ``tokenizers`` JSON format
 here. For each pre-token a segment tree holds one leaf per symbol: the rank of the merge of that
 symbol with its right neighbour (infinite where there is none). Its root yields the leftmost pair of
 lowest rank; a merge changes three leaves, each updated in logarithmic time, until no mergeable pair
-remains. Very long pre-tokens thus cost n log n. Pre-tokens repeat, so each worker memoises them
-(bounded: the memory is emptied at CACHE entries, which changes no result).
+remains. Very long pre-tokens thus cost n log n. The trees of short ones, of a single node, are the
+columns of one array, and a step merges one pair in each of them. Pre-tokens repeat, so each worker memoises
+them, and the stretches between spaces (bounded: a memory is emptied at CACHE entries, which changes no result).
 
 Edge cases: a null or empty text has no ids and decodes to the empty text; the strings of special
 tokens in a text become their ids, as in the library's default; any other column is ignored, rows
@@ -19,6 +20,7 @@ import hashlib
 import json
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 CACHE = 800_000
 #: Longer strings aren't memoised.
 LONGEST = 64
+#: Bytes of texts whose new pre-tokens are merged together; those of longer texts are merged one by one.
+PIECE = 4 << 20
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -81,6 +85,62 @@ def merge_all(ids: list[int], merges: dict[int, int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
+class Forest:
+    """The merges of many short pre-tokens at once: the trees of those of one length are the columns of an array."""
+
+    #: Leaf where there is no merge.
+    NONE = np.int64(1 << 62)
+
+    def __init__(self, first: list[int], merges: dict[int, int]) -> None:
+        self.pairs = np.array(sorted(merges), np.int64)
+        value = np.array([merges[k] for k in self.pairs.tolist()], np.int64)
+        self.leaf, self.merged = (value >> 20) << 8, np.zeros(int((value >> 20).max(initial=0)) + 1, np.int32)  # ranks may have gaps
+        self.merged[value >> 20] = value & 0xFFFFF
+        self.first = np.array(first, np.int32)
+        two = self.leaves(np.repeat(self.first, 256), np.tile(self.first, 256)) if len(self.pairs) else np.full(1 << 16, self.NONE)
+        self.two = two.reshape(256, 256)
+
+    def leaves(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank << 8 of the merge of each a with b; NONE where there is none or an id is -1."""
+        pair = a.astype(np.int64) << 20 | b
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.leaf[at], self.NONE)
+
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words of one length, of 2 to 255 bytes."""
+        w, n = len(words), len(words[0])
+        raw = np.frombuffer(b"".join(words), np.uint8).reshape(w, n).T
+        # row n stands for what is before the first and after the last symbol
+        ids = np.full((n + 1, w), -1, np.int32)
+        ids[:n] = self.first[raw]
+        leaves = np.full((n + 1, w), self.NONE)
+        leaves[: n - 1] = self.two[raw[:-1], raw[1:]] | np.arange(n - 1)[:, None]
+        after = np.repeat(np.append(np.arange(1, n + 1), n), w)
+        before = np.repeat(np.append(n, np.arange(n)), w)
+        flat, leaf = ids.ravel(), leaves.ravel()
+        while True:
+            root = leaves.min(0)
+            c = np.flatnonzero(root != self.NONE)
+            if not len(c):
+                break
+            root = root[c]
+            i = root & 255
+            at = i * w + c
+            j = after[at] * w + c
+            k = after[j]
+            h = before[at]
+            merged = flat[at] = self.merged[root >> 8]
+            flat[j], leaf[j] = -1, self.NONE
+            after[at], before[k * w + c] = k, i
+            leaf[at] = self.leaves(merged, flat[k * w + c]) | i
+            leaf[h * w + c] = self.leaves(flat[h * w + c], merged) | h
+            np.minimum(leaf, self.NONE, out=leaf)
+        ids = ids.T
+        left = ids >= 0
+        found, ends = ids[left].tolist(), np.cumsum(left.sum(1)).tolist()
+        return [found[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class Memo(dict):
     """A bounded dictionary that computes what it lacks; it is emptied when full."""
 
@@ -117,15 +177,46 @@ class ByteBPE:
         self.comma = {i: b",%d" % i for i in self.token_bytes}
         self.split = regex.compile(PATTERN).findall
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
+        self.forest = Forest(self.first, self.merges)
         self.whole = Memo(self.chunk)
         self.spaced = Memo(lambda t: self.chunk(" " + t))
+        self.tokens = Memo(lambda t: self.written(merge_all([self.first[b] for b in t.encode("utf-8", "replace")], self.merges)))
 
-    def chunk(self, text: str) -> tuple[bytes, bytes]:
-        """Of a stretch that no pre-token crosses: b',id' for each id, and the bytes they decode to."""
-        first = self.first.__getitem__
-        ids = [i for w in self.split(text) for i in merge_all(list(map(first, w.encode("utf-8", "replace"))), self.merges)]
+    def written(self, ids: list[int]) -> tuple[bytes, bytes]:
+        """b',id' for each id, and the bytes they decode to."""
         return b"".join(map(self.comma.__getitem__, ids)), b"".join(map(self.token_bytes.__getitem__, ids))
 
+    def chunk(self, text: str) -> tuple[bytes, bytes]:
+        """written() of a stretch that no pre-token crosses."""
+        return self.join(self.split(text))
+
+    def join(self, tokens: list[str]) -> tuple[bytes, bytes]:
+        got = [self.tokens[t] for t in tokens]
+        return got[0] if len(got) == 1 else (b"".join([x for x, _ in got]), b"".join([x for _, x in got]))
+
+    def learn(self, texts: list[str]) -> None:
+        """Memoise the stretches of texts that are new, merging their new pre-tokens together."""
+        fresh: set[str] = set()
+        for text in texts:
+            if len(text) <= PIECE:
+                fresh.update(text.split(" "))
+        fresh = {t for t in fresh - self.spaced.keys() if len(t) <= LONGEST}
+        found = {t: self.split(" " + t) for t in fresh}
+        new = set().union(*found.values())
+        for memo, size in ((self.tokens, len(new)), (self.spaced, len(found))):
+            if len(memo) + size > memo.size:
+                memo.clear()
+        by: dict[int, list[tuple[str, bytes]]] = {}
+        for t in new - self.tokens.keys():
+            raw = t.encode("utf-8", "replace")
+            if 2 <= len(raw) <= (1 << FAN) + 1:  # leaves of one node
+                by.setdefault(len(raw), []).append((t, raw))
+        for same in by.values():
+            for (t, _), ids in zip(same, self.forest.merge([raw for _, raw in same]), strict=True):
+                self.tokens[t] = self.written(ids)
+        for t, tokens in found.items():
+            self.spaced[t] = self.join(tokens)
+
     #: White space before a space: there a pre-token may cross the place where a chunk would start.
     _run = re.compile(r"\s ")
 
@@ -172,12 +263,12 @@ def vocabulary(name: str) -> str:
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """df with a column ids array<int>."""
-    return _map(df, path, text, "ids array<int>", lambda bpe, t: (bpe.encode(t),))
+    return _map(df, path, text, "ids array<int>", lambda bpe, t: (bpe.encode(t),), True)
 
 
 def digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """df with n_tokens, ids_sha256, decoded_sha256; the ids are decoded again, never kept."""
-    return _map(df, path, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda bpe, t: bpe.digest(t))
+    return _map(df, path, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda bpe, t: bpe.digest(t), True)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -185,7 +276,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return _map(df, path, ids, "decoded string", lambda bpe, x: (bpe.decode(x or []),))
 
 
-def _map(df: DataFrame, path: str, column: str, added: str, work) -> DataFrame:
+def _map(df: DataFrame, path: str, column: str, added: str, work, learns: bool = False) -> DataFrame:
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -196,13 +287,20 @@ def _map(df: DataFrame, path: str, column: str, added: str, work) -> DataFrame:
     schema = StructType([f for f in kept.schema if f.name.lower() not in clash] + list(more))
 
     def run(batches):
-        from .common import keeps, room_for
+        from .common import by_bytes, keeps, room_for
 
         room_for("bpe")
         keeps("bpe", load.cache_clear)
         bpe, arrow = load(path), to_arrow_schema(schema)
         for batch in batches:
-            done = [work(bpe, x.as_py() if x.is_valid else "") for x in batch.column(column)]
+            if learns:
+                done = []
+                for _, part in by_bytes(batch.column(column).cast(pa.large_string()), PIECE):
+                    some = [x or "" for x in part.to_pylist()]
+                    bpe.learn(some)
+                    done += [work(bpe, x) for x in some]
+            else:
+                done = [work(bpe, x.as_py() if x.is_valid else "") for x in batch.column(column)]
             new = [pa.array([d[k] for d in done], arrow.field(f.name).type) for k, f in enumerate(more)]
             old = [batch.column(f.name) for f in schema.fields[: len(schema) - len(more)]]
             yield pa.RecordBatch.from_arrays(old + new, schema=arrow)

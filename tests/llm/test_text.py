@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 
@@ -41,6 +42,38 @@ def test_merges_take_the_leftmost_lowest_rank():
         assert bpe.merge_all([1] * n, merges) == want
 
 
+def test_many_trees_equal_one_by_one():
+    rng = random.Random(6)
+    merges, ids = {}, 256
+    for rank in range(400):
+        merges.setdefault(rng.randrange(97, 97 + 4 + rank // 8) << 20 | rng.randrange(97, 97 + 4), rank << 20 | ids)
+        merges.setdefault(rng.randrange(256, ids + 1) << 20 | rng.randrange(256, ids + 1), (rank + 400) << 20 | ids + 400)
+        ids += 1
+    forest = bpe.Forest(list(range(256)), merges)
+    for n in range(2, 18):
+        words = [bytes(rng.choices(range(97, 101), k=n)) for _ in range(200)] + [b"z" * n]
+        assert forest.merge(words) == [bpe.merge_all(list(w), merges) for w in words]
+    assert bpe.Forest(list(range(256)), {}).merge([b"ab"]) == [[97, 98]]
+
+
+def test_new_words_are_merged_together(monkeypatch):
+    one_by_one, plain = [], bpe.merge_all
+    monkeypatch.setattr(bpe, "merge_all", lambda ids, merges: one_by_one.append(len(ids)) or plain(ids, merges))
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choices("abcdefgé,\n", k=rng.randint(1, 14))) for _ in range(200)) for _ in range(5)] + ["", "<|endoftext|> a  b\n c", "x" * 100]
+    known = bpe.ByteBPE(bpe.vocabulary("byte_bpe_50k.json"))
+    if hasattr(known, "learn"):
+        known.learn(texts)
+    got = [known.digest(t) for t in texts]
+    assert sum(2 <= n <= 17 for n in one_by_one) < 20
+    for size in (4, 60):  # memories that are emptied on the way
+        small = bpe.ByteBPE(bpe.vocabulary("byte_bpe_50k.json"))
+        small.tokens.size = small.spaced.size = small.whole.size = size
+        for t, want in zip(texts, got, strict=True):
+            small.learn([t])
+            assert small.digest(t) == want and small.decode(small.encode(t)) == t
+
+
 def test_bpe_equals_the_library(spark, docs):
     from tokenizers import Tokenizer
 
